@@ -6,11 +6,11 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlake import spec as S
-from adlake.operators.clean import business_filter, clean, dedupe_order
-from adlake.operators.incremental import new_rows
+from adlake.operators.clean import business_filter, clean
+from adlake.operators.incremental import unseen_rows
 from adlake.operators.quality import profile, validate
 from adlake.plans.increment import as_bronze, refresh_gold, run_increment
+from adlake.sources import lake as L
 from adlake.sources.lake import Lake
 from adlake.sources.readers import read_csv, schema_listing, to_micros, with_lineage
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
@@ -42,35 +42,32 @@ def run_full(
     lake = Lake(spark, root)
     raw = read_csv(spark, raw_path, spec.raw_schema)
 
-    bronze = lake.bronze.replace(as_bronze(with_lineage(raw), run_ts), mark)
-    silver = lake.silver.replace(clean(bronze, spec, run_ts), mark)
+    bronze = lake.replace(L.BRONZE, as_bronze(with_lineage(raw), run_ts), mark)
+    silver = lake.replace(L.SILVER, clean(bronze, spec, run_ts), mark)
     kept = business_filter(silver, spec, run_ts)
-    if lake.filtered.exists():
-        known = lake.filtered.read()
-        fresh = new_rows(kept, known, spec.keys, dedupe_order(kept, spec))
-        lake.filtered.append(fresh.select(known.columns), mark)
+    if lake.has(L.FILTERED):
+        unseen = unseen_rows(kept, lake.read(L.FILTERED), spec.keys)
+        lake.append(L.FILTERED, unseen, mark)
     else:
-        lake.filtered.replace(kept, mark)
-    refresh_gold(lake, spec, run_ts, mark, metrics_mode=metrics_mode)
+        lake.replace(L.FILTERED, kept, mark)
+    refresh_gold(lake, spec, run_ts, mark, metrics_mode, rebuild=True)
     if then_increment:
         later = run_ts + timedelta(microseconds=1)
         again = with_lineage(read_csv(spark, raw_path, spec.raw_schema))
         run_increment(spark, again, root, spec, later, metrics_mode)
+        lake = Lake(spark, root)
 
-    bronze, filtered = lake.bronze.read(), lake.filtered.read()
-    gold = {
-        "campaign_summary": lake.campaign_summary.read(),
-        "channel_summary": lake.channel_summary.read(),
-        "daily_summary": lake.daily_summary.read(),
-    }
+    bronze, filtered = lake.read(L.BRONZE), lake.read(L.FILTERED)
+    summaries = (L.CAMPAIGN_SUMMARY, L.CHANNEL_SUMMARY, L.DAILY_SUMMARY)
+    gold = {name: lake.read(name) for name in summaries}
     reports = {f"profile_{name}": df for name, df in profile(bronze, spec).items()}
     return {
         "schema": schema_listing(raw),
         "bronze": bronze,
-        "silver": lake.silver.read(),
+        "silver": lake.read(L.SILVER),
         "filtered": filtered,
         **gold,
-        "sql_metrics": lake.sql_metrics.read(),
+        "sql_metrics": lake.read(L.SQL_METRICS),
         **reports,
         "validation": validate(filtered, gold, spec),
     }

@@ -8,6 +8,7 @@ next run, whatever batch that one brings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,15 @@ from pyspark.sql import functions as F
 from adlake import spec as S
 from adlake.operators import gold as G
 from adlake.operators.clean import business_filter, clean, dedupe_order
-from adlake.operators.incremental import few_keys, ingested_after, new_rows, unseen_rows
+from adlake.operators.incremental import (
+    few_keys,
+    ingested_after,
+    new_rows,
+    unseen_rows,
+)
 from adlake.operators.metrics import campaign_metrics, update_metrics
-from adlake.sources.lake import Lake, Layer
+from adlake.sources import lake as L
+from adlake.sources.lake import Lake
 from adlake.sources.readers import stamp, time_literal, to_micros
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
 
@@ -40,35 +47,44 @@ def extend_bronze(
 
     Returns the row counts of the batch and of what was added.
     """
-    mark = lake.bronze.high_water()
-    now = to_micros(run_ts)
+    mark, now = lake.high_water(L.BRONZE), to_micros(run_ts)
     if mark is None:
-        stored = lake.bronze.replace(as_bronze(batch, run_ts), now)
-        count = stored.count()
+        lake.replace(L.BRONZE, as_bronze(batch, run_ts), now)
+        count = lake.row_count(L.BRONZE)
         return count, count
     if now <= mark:
-        raise ValueError("run_ts must be later than the last finished run")
-    before = lake.bronze.read()
-    batch_rows, rows_before = batch.count(), before.count()
-    few = few_keys(batch, spec.keys, batch_rows)
-    fresh = new_rows(batch, before, spec.keys, dedupe_order(batch, spec), few)
-    after = lake.bronze.append(as_bronze(fresh, run_ts).select(before.columns), now)
-    return batch_rows, after.count() - rows_before
+        raise ValueError("run_ts must be later than that of the last finished run")
+    received = batch.count()
+    few = few_keys(batch, spec.keys, received)
+    order = dedupe_order(batch, spec)
+    fresh = new_rows(batch, lake.read(L.BRONZE), spec.keys, order, few)
+    return received, lake.append(L.BRONZE, as_bronze(fresh, run_ts), now)
 
 
-def _extend(
-    layer: Layer, rows: DataFrame, backlog: DataFrame, keys: list[str], mark: int
+def carry(
+    lake: Lake,
+    layer: str,
+    source: DataFrame,
+    mark: int,
+    keys: list[str],
+    step: Callable[[DataFrame], DataFrame],
 ) -> int:
-    """Append rows with unseen keys to a layer. Returns the number added.
+    """Bring a layer up to ``mark``: run its backlog of source rows through
+    ``step`` and store the rows with unseen keys. Returns the number added.
 
-    ``rows`` are derived from ``backlog`` and have no other keys than it has.
+    ``step`` must not make up keys.
     """
-    if not layer.exists():
-        return layer.replace(rows, mark).count()
-    before = layer.read()
-    rows_before = before.count()
-    fresh = unseen_rows(rows, before, keys, few_keys(backlog, keys))
-    return layer.append(fresh.select(before.columns), mark).count() - rows_before
+    if not lake.has(layer):
+        lake.replace(layer, step(source), mark)
+        return lake.row_count(layer)
+    backlog = ingested_after(source, lake.high_water(layer))
+    waiting = backlog.count()
+    if waiting == 0:
+        lake.advance(layer, mark)
+        return 0
+    few = few_keys(backlog, keys, waiting)
+    fresh = unseen_rows(step(backlog), lake.read(layer), keys, few)
+    return lake.append(layer, fresh, mark)
 
 
 def refresh_gold(
@@ -76,35 +92,41 @@ def refresh_gold(
     spec: CampaignSpec,
     run_ts: datetime,
     mark: int,
-    backlog: DataFrame | None = None,
     metrics_mode: str = "recompute",
+    rebuild: bool = False,
 ) -> None:
-    """Bring the four reporting tables in line with the filtered layer.
+    """Bring the reporting tables in line with the filtered layer.
 
     Averages do not add up, so the channel, daily and metrics tables are built
     from all filtered rows; they need a few columns and shuffle a row per group
     and task. The campaign table is different: its group includes the unique
-    key, so groups of new rows never touch existing ones. Given the new rows as
-    ``backlog``, only their groups are computed and appended, which yields the
-    same table without a shuffle of the whole layer.
+    key, so groups of new rows never touch existing ones. Only their groups are
+    computed and appended, which yields the same table without a shuffle of the
+    whole layer. ``rebuild`` makes all of it anew.
     """
-    filtered = lake.filtered.read()
-    campaigns = lake.campaign_summary
-    if backlog is None or not campaigns.exists():
-        campaigns.replace(G.campaign_summary(filtered, spec, run_ts), mark)
+    filtered = lake.read(L.FILTERED)
+    metrics = campaign_metrics(filtered, run_ts)
+    if lake.has(L.SQL_METRICS):
+        metrics = update_metrics(lake.read(L.SQL_METRICS), metrics, metrics_mode)
+    tables = {
+        L.CHANNEL_SUMMARY: G.channel_summary(filtered, spec, run_ts),
+        L.DAILY_SUMMARY: G.daily_summary(filtered, spec, run_ts),
+        L.SQL_METRICS: metrics,
+    }
+
+    def per_campaign(rows: DataFrame) -> DataFrame:
+        return G.campaign_summary(rows, spec, run_ts)
+
+    if rebuild:
+        tables[L.CAMPAIGN_SUMMARY] = per_campaign(filtered)
     else:
-        groups = G.campaign_summary(backlog, spec, run_ts)
-        _extend(campaigns, groups, backlog, list(spec.keys), mark)
-    lake.channel_summary.replace(G.channel_summary(filtered, spec, run_ts), mark)
-    lake.daily_summary.replace(G.daily_summary(filtered, spec, run_ts), mark)
-    fresh = campaign_metrics(filtered, run_ts)
-    if lake.sql_metrics.exists():
-        fresh = update_metrics(lake.sql_metrics.read(), fresh, metrics_mode)
-    lake.sql_metrics.replace(fresh, mark)
-
-
-def _behind(layer: Layer, mark: int) -> bool:
-    reached = layer.high_water()
+        keys = list(spec.keys)
+        carry(lake, L.CAMPAIGN_SUMMARY, filtered, mark, keys, per_campaign)
+    lake.replace_all(tables, mark)
+
+
+def _behind(lake: Lake, layer: str, mark: int) -> bool:
+    reached = lake.high_water(layer)
     return reached is None or reached < mark
 
 
@@ -118,32 +140,35 @@ def propagate(
 ) -> dict[str, int]:
     """Carry bronze rows up to ``mark`` on to silver, filtered and gold.
 
-    Layers that have reached the mark are left alone, so a run without new rows
-    ends here. Returns the rows added per layer.
+    A layer whose source has not changed since is left alone, so a run without
+    new rows ends here. Returns the rows added per layer.
     """
     keys = list(spec.keys)
-    within = bronze.where(F.col(S.INGESTED_AT) <= time_literal(mark))
-    added = {"silver": 0, "filtered": 0}
-
-    if _behind(lake.silver, mark):
-        backlog = ingested_after(within, lake.silver.high_water())
-        rows = clean(backlog, spec, run_ts)
-        added["silver"] = _extend(lake.silver, rows, backlog, keys, mark)
-    if _behind(lake.filtered, mark):
-        backlog = ingested_after(lake.silver.read(), lake.filtered.high_water())
-        rows = business_filter(backlog, spec, run_ts)
-        added["filtered"] = _extend(lake.filtered, rows, backlog, keys, mark)
+    added = {L.SILVER: 0, L.FILTERED: 0}
+    if _behind(lake, L.SILVER, mark):
+        source = bronze.where(F.col(S.INGESTED_AT) <= time_literal(mark))
+        added[L.SILVER] = carry(
+            lake, L.SILVER, source, mark, keys, lambda rows: clean(rows, spec, run_ts)
+        )
+    changed = lake.changed_to(L.SILVER)
+    if _behind(lake, L.FILTERED, changed):
+        added[L.FILTERED] = carry(
+            lake,
+            L.FILTERED,
+            lake.read(L.SILVER),
+            changed,
+            keys,
+            lambda rows: business_filter(rows, spec, run_ts),
+        )
+    changed = lake.changed_to(L.FILTERED)
     tables = (
-        lake.campaign_summary,
-        lake.channel_summary,
-        lake.daily_summary,
-        lake.sql_metrics,
+        L.CAMPAIGN_SUMMARY,
+        L.CHANNEL_SUMMARY,
+        L.DAILY_SUMMARY,
+        L.SQL_METRICS,
     )
-    if any(_behind(table, mark) for table in tables):
-        backlog = ingested_after(
-            lake.filtered.read(), lake.campaign_summary.high_water()
-        )
-        refresh_gold(lake, spec, run_ts, mark, backlog, metrics_mode)
+    if any(_behind(lake, table, changed) for table in tables):
+        refresh_gold(lake, spec, run_ts, changed, metrics_mode)
     return added
 
 
@@ -163,14 +188,14 @@ def run_increment(
     run_ts = run_ts or datetime.now(UTC)
     lake = Lake(spark, root)
     received, stored = extend_bronze(lake, batch, spec, run_ts)
-    mark = lake.bronze.high_water()
-    added = propagate(lake, lake.bronze.read(), mark, spec, run_ts, metrics_mode)
+    mark = lake.changed_to(L.BRONZE)
+    added = propagate(lake, lake.read(L.BRONZE), mark, spec, run_ts, metrics_mode)
     return spark.createDataFrame(
         [
             ("bronze", "rows_received", received),
             ("bronze", "rows_added", stored),
-            ("silver", "rows_added", added["silver"]),
-            ("filtered", "rows_added", added["filtered"]),
+            ("silver", "rows_added", added[L.SILVER]),
+            ("filtered", "rows_added", added[L.FILTERED]),
         ],
         COUNTS,
     )

@@ -1,23 +1,27 @@
 """Layer tables that can be rebuilt from themselves and appended to.
 
-A layer is a folder with a few data slots and a list of commits, all of it
-Parquet that Spark reads and writes:
+A lake is a folder with a list of commits and, per layer, a few data slots. All
+of it is Parquet that Spark reads and writes:
 
-    <layer>/commits     one row per finished write: version, slot, high_water
-    <layer>/slot_<i>    the rows of a version
+    <root>/commits           one row per layer and finished write
+    <root>/<layer>/slot_<i>  the rows of a version of a layer
 
 A replacement goes to another slot than the one in use and counts only once its
 commit row is there, so a plan may read the layer it is about to replace, and a
 job that dies half way leaves the old rows in force. The slot of an old version
-is overwritten ``keep`` replacements later; nothing is deleted or renamed.
+is overwritten ``keep`` - 1 replacements later; nothing is deleted or renamed.
 
-``high_water`` is the ingestion time (microseconds, UTC) up to which the layer's source has been
-taken over completely. It moves only after a write has finished, which makes it
-safe to skip older source rows. One writer per layer is assumed.
+Rows appended by a run that died before its commit may already be visible. The
+anti join by key makes the next run complete them instead of adding them again.
+
+One run at a time is assumed to write to a lake.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,103 +31,160 @@ from pyspark.sql import types as T
 from adlake.sources.readers import read_or_empty, read_parquet
 from adlake.sources.sinks import append_rows, overwrite
 
-COMMITS = T.StructType(
+BRONZE = "bronze"
+SILVER = "silver"
+FILTERED = "filtered"
+CAMPAIGN_SUMMARY = "campaign_summary"
+CHANNEL_SUMMARY = "channel_summary"
+DAILY_SUMMARY = "daily_summary"
+SQL_METRICS = "sql_metrics"
+
+
+class Commit(NamedTuple):
+    """State of a layer after a write.
+
+    ``high_water`` is the ingestion time (microseconds, UTC) up to which the
+    layer's source has been taken over completely; ``changed_to`` is its value
+    at the last write that changed rows. Both move only after a write has
+    finished, so it is safe to skip source rows up to there.
+    """
+
+    layer: str
+    version: int
+    slot: int
+    high_water: int
+    changed_to: int
+    row_count: int
+    schema_json: str
+
+
+COMMIT_SCHEMA = T.StructType(
     [
+        T.StructField("layer", T.StringType()),
         T.StructField("version", T.LongType()),
         T.StructField("slot", T.IntegerType()),
         T.StructField("high_water", T.LongType()),
+        T.StructField("changed_to", T.LongType()),
+        T.StructField("row_count", T.LongType()),
+        T.StructField("schema_json", T.StringType()),
     ]
 )
 
 
-class Commit(NamedTuple):
-    version: int
-    slot: int
-    high_water: int | None
-
+class Lake:
+    """The layers below one folder.
 
-class Layer:
-    """One layer. The object knows the commits made before its first use and its
-    own; take a new object to see what another run has written since."""
+    The object knows the commits made before its first use and its own; take a
+    new one to see what another run has written since.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
         if keep < 2:
             raise ValueError("a layer needs at least two slots")
         self.spark = spark
-        self.path = path
+        self.root = root.rstrip("/")
         self.keep = keep
-        self._current: Commit | None = None
+        self._state: dict[str, Commit] | None = None
 
     def commits(self) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.path}/commits", COMMITS)
-
-    def current(self) -> Commit | None:
-        if self._current is None:
-            last = self.commits().orderBy(F.desc("version")).first()
-            self._current = Commit(*last) if last else None
-        return self._current
-
-    def exists(self) -> bool:
-        return self.current() is not None
-
-    def high_water(self) -> int | None:
-        commit = self.current()
-        return commit.high_water if commit else None
-
-    def slot_path(self, slot: int) -> str:
-        return f"{self.path}/slot_{slot}"
-
-    def read(self) -> DataFrame:
-        commit = self.current()
-        if commit is None:
-            raise FileNotFoundError(f"nothing committed at {self.path}")
-        return read_parquet(self.spark, self.slot_path(commit.slot))
-
-    def replace(self, df: DataFrame, high_water: int | None) -> DataFrame:
-        """Write ``df`` as the layer's new content and return what was stored."""
-        commit = self.current()
-        if commit is None:
-            upcoming = Commit(0, 0, high_water)
+        return read_or_empty(self.spark, f"{self.root}/commits", COMMIT_SCHEMA)
+
+    def state(self) -> dict[str, Commit]:
+        """The latest commit of each layer: a handful of rows."""
+        if self._state is None:
+            last = self.commits().groupBy("layer").agg(
+                F.max_by(F.struct(*COMMIT_SCHEMA.names), "version").alias("last")
+            )
+            rows = last.select("last.*").collect()
+            self._state = {row.layer: Commit(*row) for row in rows}
+        return self._state
+
+    def has(self, layer: str) -> bool:
+        return layer in self.state()
+
+    def high_water(self, layer: str) -> int | None:
+        return self.state()[layer].high_water if self.has(layer) else None
+
+    def changed_to(self, layer: str) -> int | None:
+        return self.state()[layer].changed_to if self.has(layer) else None
+
+    def row_count(self, layer: str) -> int:
+        return self.state()[layer].row_count if self.has(layer) else 0
+
+    def read(self, layer: str) -> DataFrame:
+        if not self.has(layer):
+            raise FileNotFoundError(f"no {layer} committed at {self.root}")
+        commit = self.state()[layer]
+        return self._scan(layer, commit.slot, commit.schema_json)
+
+    def replace(self, layer: str, df: DataFrame, mark: int) -> DataFrame:
+        """Write ``df`` as the new content of a layer; returns what was stored."""
+        self.replace_all({layer: df}, mark)
+        return self.read(layer)
+
+    def replace_all(self, tables: Mapping[str, DataFrame], mark: int) -> None:
+        """Replace several layers, side by side, under one commit: readers see
+        all of the new tables or none."""
+        if len(tables) == 1:
+            commits = [self._replace(*item, mark) for item in tables.items()]
         else:
-            slot = (commit.slot + 1) % self.keep
-            upcoming = Commit(commit.version + 1, slot, high_water)
-        overwrite(df, self.slot_path(upcoming.slot))
-        self._commit(upcoming)
-        return self.read()
-
-    def append(self, df: DataFrame, high_water: int | None) -> DataFrame:
-        """Add the rows of ``df``; a layer without commits is started."""
-        commit = self.current()
-        if commit is None:
-            return self.replace(df, high_water)
-        append_rows(df, self.slot_path(commit.slot))
-        self._commit(Commit(commit.version + 1, commit.slot, high_water))
-        return self.read()
-
-    def _commit(self, commit: Commit) -> None:
-        values = (
-            F.lit(value).cast(field.dataType).alias(field.name)
-            for value, field in zip(commit, COMMITS)
+            with ThreadPoolExecutor(len(tables)) as pool:
+                jobs = [pool.submit(self._replace, *t, mark) for t in tables.items()]
+                commits = [job.result() for job in jobs]
+        self._publish(commits)
+
+    def append(self, layer: str, df: DataFrame, mark: int) -> int:
+        """Add rows to an existing layer. Returns how many it has more now."""
+        before = self.state()[layer]
+        names = T.StructType.fromJson(json.loads(before.schema_json)).names
+        append_rows(df.select(*names), self._path(layer, before.slot))
+        count = self._scan(layer, before.slot, before.schema_json).count()
+        changed = count != before.row_count
+        self._publish(
+            [
+                before._replace(
+                    version=before.version + 1,
+                    high_water=mark,
+                    changed_to=mark if changed else before.changed_to,
+                    row_count=count,
+                )
+            ]
         )
-        row = self.spark.range(1, numPartitions=1).select(*values)
-        append_rows(row, f"{self.path}/commits")
-        self._current = commit
-
-
-class Lake:
-    """The layers below one root folder."""
-
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
-        self.spark = spark
-        self.root = root.rstrip("/")
-
-        def layer(name: str) -> Layer:
-            return Layer(spark, f"{self.root}/{name}", keep)
-
-        self.bronze = layer("bronze")
-        self.silver = layer("silver")
-        self.filtered = layer("filtered")
-        self.campaign_summary = layer("campaign_summary")
-        self.channel_summary = layer("channel_summary")
-        self.daily_summary = layer("daily_summary")
-        self.sql_metrics = layer("sql_metrics")
+        return count - before.row_count
+
+    def advance(self, layer: str, mark: int) -> None:
+        """Note that the source had nothing for the layer up to ``mark``."""
+        before = self.state()[layer]
+        self._publish([before._replace(version=before.version + 1, high_water=mark)])
+
+    def _path(self, layer: str, slot: int) -> str:
+        return f"{self.root}/{layer}/slot_{slot}"
+
+    def _scan(self, layer: str, slot: int, schema_json: str) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(schema_json))
+        return read_parquet(self.spark, self._path(layer, slot), schema)
+
+    def _replace(self, layer: str, df: DataFrame, mark: int) -> Commit:
+        before = self.state().get(layer)
+        version = before.version + 1 if before else 0
+        slot = (before.slot + 1) % self.keep if before else 0
+        overwrite(df, self._path(layer, slot))
+        schema_json = df.schema.json()
+        count = self._scan(layer, slot, schema_json).count()
+        return Commit(layer, version, slot, mark, mark, count, schema_json)
+
+    def _publish(self, commits: list[Commit]) -> None:
+        rows = F.array(
+            *(
+                F.struct(
+                    *(
+                        F.lit(value).cast(field.dataType).alias(field.name)
+                        for value, field in zip(commit, COMMIT_SCHEMA)
+                    )
+                )
+                for commit in commits
+            )
+        )
+        listing = self.spark.range(1, numPartitions=1).select(F.inline(rows))
+        append_rows(listing, f"{self.root}/commits")
+        self.state().update({commit.layer: commit for commit in commits})

@@ -80,18 +80,22 @@ def dedupe_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         """SELECT Campaign_ID,
                   round(CASE WHEN sum(Impressions) = 0 OR sum(Impressions) IS NULL THEN 0
                              ELSE sum(Conversion_Rate * Impressions) / sum(Impressions)
-                        END, 6) AS weighted_rate
+                        END, 10) AS weighted_rate
            FROM campaigns GROUP BY Campaign_ID"""
     )
 )
 def safe_div(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted rates over raw rows: many keys have no weight at all."""
+    """Weighted rates over raw rows: many keys have no weight at all.
+
+    Ten digits, as a rate over a few rows may end in a 5 at the seventh, which
+    the engines round differently.
+    """
     rows = feed.campaigns(
         spark, sf_dir, "Campaign_ID", "Conversion_Rate", "Impressions"
     )
     weighted = F.sum(F.col("Conversion_Rate") * F.col("Impressions"))
     rate = ratio(weighted, F.sum("Impressions"))
-    return rows.groupBy("Campaign_ID").agg(F.round(rate, 6).alias("weighted_rate"))
+    return rows.groupBy("Campaign_ID").agg(F.round(rate, 10).alias("weighted_rate"))
 
 
 @checked(

@@ -7,6 +7,8 @@ measures and channels. Rows that share a key are ordered by ``TIE_BREAK``.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,7 +96,9 @@ def _campaign_columns() -> dict[str, Column]:
     }
 
 
+@lru_cache
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; its footer is looked at once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

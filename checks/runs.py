@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from adlake import sources as io
 from adlake.operators.incremental import union_by_name
 from adlake.plans import run_full, run_increment
-from adlake.sources import Lake, Layer
+from adlake.sources import Lake
 from adlake.streaming import run_stream
 from checks import feed
 from checks.aggregates import GOLD_TOTALS, PLAIN_AVERAGES
@@ -55,10 +55,10 @@ def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layer is replaced by a table made from itself."""
     rows = feed.campaigns(spark, sf_dir, "Channel_Used", "Clicks")
-    layer = Layer(spark, io.shared_dir(spark, "snapshot_replace"))
-    stored = layer.replace(feed.earlier(rows), None)
-    layer.replace(union_by_name(stored, feed.later(rows)), None)
-    return per_channel(Layer(spark, layer.path).read())
+    lake = Lake(spark, io.shared_dir(spark, "snapshot_replace"))
+    stored = lake.replace("rows", feed.earlier(rows), 1)
+    lake.replace("rows", union_by_name(stored, feed.later(rows)), 2)
+    return per_channel(Lake(spark, lake.root).read("rows"))
 
 
 def raw_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +76,7 @@ def increment_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     for hours, batch in enumerate((first, second, second)):
         run_ts = FIRST_RUN + timedelta(hours=hours)
         run_increment(spark, batch, root, SPEC, run_ts)
-    return Lake(spark, root).filtered.read().select(*BUSINESS)
+    return Lake(spark, root).read("filtered").select(*BUSINESS)
 
 
 @checked(
@@ -92,7 +92,7 @@ def stream_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_csv(batch, f"{root}/raw/drop_{hours}")
         run_ts = FIRST_RUN + timedelta(hours=hours)
         run_stream(spark, f"{root}/raw/*", f"{root}/lake", SPEC, run_ts)
-    summary = Lake(spark, f"{root}/lake").channel_summary.read()
+    summary = Lake(spark, f"{root}/lake").read("channel_summary")
     return summary.select(
         "Channel_Used",
         "Total_Impressions",
