@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,12 +17,17 @@ from adlake.sources.readers import stamp
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
 
 
-def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropna("any", subset=list(keys))
+def require_non_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in which none of the columns is null.
+
+    Plain null tests reach the Parquet scan; ``dropna`` would not, and it would
+    drop NaN as well.
+    """
+    return df.where(reduce(and_, (F.col(name).isNotNull() for name in columns)))
 
 
-def require_non_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.dropna("any", subset=list(columns))
+def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return require_non_null(df, keys)
 
 
 def dedupe_order(df: DataFrame, spec: CampaignSpec = DEFAULT_SPEC) -> list[str]:

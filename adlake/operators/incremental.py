@@ -7,16 +7,25 @@ twice nor forgotten when a run was cut short.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from adlake import spec as S
 from adlake.operators.clean import drop_null_keys, first_per_key
 from adlake.sources.readers import has_rows, time_literal
 
-# Largest batch whose keys are broadcast: a few tens of MB as a hash table.
-BROADCAST_KEYS = 1_000_000
+# Most that the keys of a batch may take up for them to be broadcast, with the
+# space a hash table needs for each of them.
+BROADCAST_BYTES = 64 * 1024 * 1024
+BYTES_PER_KEY = 32
+
+
+class KeyVolume(NamedTuple):
+    rows: int
+    size: int
 
 
 def high_water_mark(df: DataFrame, ts: str) -> DataFrame:
@@ -47,16 +56,27 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
+def key_volume(df: DataFrame, keys: Sequence[str]) -> KeyVolume:
+    """Number of rows, and bytes of their keys, from one aggregate."""
+    width = F.lit(BYTES_PER_KEY)
+    for name in keys:
+        if isinstance(df.schema[name].dataType, (StringType, BinaryType)):
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    measured = df.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0)).cast("long")
+    )
+    return KeyVolume(*measured.first())
+
+
 def few_keys(
-    df: DataFrame, keys: Sequence[str], rows: int | None = None
+    df: DataFrame, keys: Sequence[str], volume: KeyVolume | None = None
 ) -> DataFrame | None:
-    """The keys of ``df`` if they are known to be few enough to broadcast.
+    """The keys of ``df`` if they are few enough to broadcast, by measurement.
 
-    ``rows`` is the size of ``df`` where the caller knows it; otherwise it is
-    counted. None means: too many, join by shuffle.
+    None means that they are not: join by shuffle.
     """
-    rows = df.count() if rows is None else rows
-    return df.select(*keys) if rows <= BROADCAST_KEYS else None
+    volume = volume or key_volume(df, keys)
+    return df.select(*keys) if volume.size <= BROADCAST_BYTES else None
 
 
 def unseen_rows(

@@ -20,6 +20,7 @@ from adlake.operators.clean import business_filter, clean, dedupe_order
 from adlake.operators.incremental import (
     few_keys,
     ingested_after,
+    key_volume,
     new_rows,
     unseen_rows,
 )
@@ -54,11 +55,11 @@ def extend_bronze(
         return count, count
     if now <= mark:
         raise ValueError("run_ts must be later than that of the last finished run")
-    received = batch.count()
+    received = key_volume(batch, spec.keys)
     few = few_keys(batch, spec.keys, received)
     order = dedupe_order(batch, spec)
     fresh = new_rows(batch, lake.read(L.BRONZE), spec.keys, order, few)
-    return received, lake.append(L.BRONZE, as_bronze(fresh, run_ts), now)
+    return received.rows, lake.append(L.BRONZE, as_bronze(fresh, run_ts), now)
 
 
 def carry(
@@ -78,8 +79,8 @@ def carry(
         lake.replace(layer, step(source), mark)
         return lake.row_count(layer)
     backlog = ingested_after(source, lake.high_water(layer))
-    waiting = backlog.count()
-    if waiting == 0:
+    waiting = key_volume(backlog, keys)
+    if waiting.rows == 0:
         lake.advance(layer, mark)
         return 0
     few = few_keys(backlog, keys, waiting)

@@ -125,6 +125,7 @@ class Lake:
     def replace_all(self, tables: Mapping[str, DataFrame], mark: int) -> None:
         """Replace several layers, side by side, under one commit: readers see
         all of the new tables or none."""
+        self.state()
         if len(tables) == 1:
             commits = [self._replace(*item, mark) for item in tables.items()]
         else:

@@ -10,11 +10,12 @@ from __future__ import annotations
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
+from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from adlake import spec as S
 from adlake.plans.increment import propagate
 from adlake.sources.lake import Lake
-from adlake.sources.readers import stamp, to_micros, with_lineage
+from adlake.sources.readers import read_or_empty, stamp, to_micros, with_lineage
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
 
 
@@ -48,6 +49,16 @@ def stream_to_bronze(
     return target
 
 
+def bronze_schema(spec: CampaignSpec = DEFAULT_SPEC) -> StructType:
+    return StructType(
+        [
+            *spec.raw_schema.fields,
+            StructField(S.SOURCE_FILE, StringType()),
+            StructField(S.INGESTED_AT, TimestampType()),
+        ]
+    )
+
+
 def run_stream(
     spark: SparkSession,
     raw_path: str,
@@ -63,5 +74,6 @@ def run_stream(
     """
     run_ts = run_ts or datetime.now(UTC)
     lake = Lake(spark, root)
-    bronze = spark.read.parquet(stream_to_bronze(spark, raw_path, root, spec, run_ts))
+    table = stream_to_bronze(spark, raw_path, root, spec, run_ts)
+    bronze = read_or_empty(spark, table, bronze_schema(spec))
     return propagate(lake, bronze, to_micros(run_ts), spec, run_ts, metrics_mode)
