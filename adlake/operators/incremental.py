@@ -11,7 +11,13 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import (
+    BinaryType,
+    DataType,
+    DateType,
+    IntegralType,
+    StringType,
+)
 
 from adlake import spec as S
 from adlake.operators.clean import drop_null_keys, first_per_key
@@ -23,9 +29,14 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 BYTES_PER_KEY = 32
 
 
-class KeyVolume(NamedTuple):
+class BatchKeys(NamedTuple):
+    """What is known about the keys of a batch, from one aggregate over them."""
+
     rows: int
     size: int
+    lowest: tuple
+    highest: tuple
+    few: DataFrame | None
 
 
 def high_water_mark(df: DataFrame, ts: str) -> DataFrame:
@@ -56,34 +67,51 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
-def key_volume(df: DataFrame, keys: Sequence[str]) -> KeyVolume:
-    """Number of rows, and bytes of their keys, from one aggregate."""
+def _has_order(dtype: DataType) -> bool:
+    """Types whose bounds mean the same to Python, Spark and Parquet."""
+    return isinstance(dtype, (IntegralType, StringType, DateType))
+
+
+def measure_keys(df: DataFrame, keys: Sequence[str]) -> BatchKeys:
+    """Count the rows of a batch, size its keys and find their bounds.
+
+    ``few`` are the keys themselves if they were measured to be small enough to
+    broadcast, else None: join by shuffle.
+    """
     width = F.lit(BYTES_PER_KEY)
     for name in keys:
         if isinstance(df.schema[name].dataType, (StringType, BinaryType)):
             width = width + F.coalesce(F.octet_length(name), F.lit(0))
-    measured = df.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0)).cast("long")
-    )
-    return KeyVolume(*measured.first())
-
-
-def few_keys(
-    df: DataFrame, keys: Sequence[str], volume: KeyVolume | None = None
-) -> DataFrame | None:
-    """The keys of ``df`` if they are few enough to broadcast, by measurement.
-
-    None means that they are not: join by shuffle.
+    bounds = [
+        bound(name) if _has_order(df.schema[name].dataType) else F.lit(None)
+        for bound in (F.min, F.max)
+        for name in keys
+    ]
+    rows, size, *bounds = df.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0)).cast("long"), *bounds
+    ).first()
+    few = df.select(*keys) if size <= BROADCAST_BYTES else None
+    half = len(keys)
+    return BatchKeys(rows, size, tuple(bounds[:half]), tuple(bounds[half:]), few)
+
+
+def within_bounds(df: DataFrame, keys: Sequence[str], batch: BatchKeys) -> DataFrame:
+    """Rows whose keys lie between the lowest and highest of the batch.
+
+    Reaches the Parquet scan, which skips row groups without such keys: most of
+    a layer, where keys rise over time.
     """
-    volume = volume or key_volume(df, keys)
-    return df.select(*keys) if volume.size <= BROADCAST_BYTES else None
+    for name, low, high in zip(keys, batch.lowest, batch.highest):
+        if low is not None:
+            df = df.where(F.col(name).between(low, high))
+    return df
 
 
 def unseen_rows(
     new: DataFrame,
     existing: DataFrame,
     keys: Sequence[str],
-    few: DataFrame | None = None,
+    batch: BatchKeys | None = None,
     salts: int = 1,
 ) -> DataFrame:
     """Rows of ``new`` whose key does not occur in ``existing``.
@@ -93,9 +121,10 @@ def unseen_rows(
     of its own, the join needs the same partitioning, and a key that fills a
     third of ``existing`` shrinks to one row per map task.
 
-    ``few`` (from :func:`few_keys`) holds all keys of ``new``, and perhaps some
-    more, in a number that was checked. It is broadcast to cut ``existing`` down
-    where it is scanned, and no shuffle of the large side is left. Without it,
+    ``batch`` (from :func:`measure_keys`) describes the keys of ``new``, or of
+    rows that ``new`` was made from. Their bounds limit what is read of
+    ``existing``; if they are few, they are broadcast to cut it down further
+    where it is scanned, and no shuffle of the large side is left. Otherwise
     both sides are shuffled once.
 
     ``salts`` > 1 splits every key of ``new`` over that many partitions, for a
@@ -105,8 +134,10 @@ def unseen_rows(
     keys = list(keys)
     new = drop_null_keys(new, keys)
     seen = existing.select(*keys)
-    if few is not None:
-        seen = seen.join(F.broadcast(few), keys, "left_semi")
+    if batch is not None:
+        seen = within_bounds(seen, keys, batch)
+        if batch.few is not None:
+            seen = seen.join(F.broadcast(batch.few), keys, "left_semi")
     seen = seen.distinct()
     if salts == 1:
         return new.join(seen, keys, "left_anti")
@@ -119,19 +150,19 @@ def unseen_rows(
 
 
 def new_rows(
-    batch: DataFrame,
+    new: DataFrame,
     existing: DataFrame,
     keys: Sequence[str],
     order_by: Sequence[str],
-    few: DataFrame | None = None,
+    batch: BatchKeys | None = None,
 ) -> DataFrame:
     """Unseen keys of a batch, one row each.
 
     The dedupe comes first and leaves the batch partitioned by key, so the anti
     join adds no second shuffle of it, and no hot key reaches the join.
     """
-    unique = first_per_key(drop_null_keys(batch, keys), keys, order_by)
-    return unseen_rows(unique, existing, keys, few)
+    unique = first_per_key(drop_null_keys(new, keys), keys, order_by)
+    return unseen_rows(unique, existing, keys, batch)
 
 
 def union_by_name(existing: DataFrame, more: DataFrame) -> DataFrame:
@@ -144,8 +175,8 @@ def merge_new(
     new: DataFrame,
     keys: Sequence[str],
     order_by: Sequence[str],
-    few: DataFrame | None = None,
+    batch: BatchKeys | None = None,
 ) -> DataFrame:
     """``existing`` plus one row for each key it does not have yet."""
-    fresh = new_rows(new, existing, keys, order_by, few)
+    fresh = new_rows(new, existing, keys, order_by, batch)
     return union_by_name(existing, fresh)

@@ -18,13 +18,19 @@ from adlake import spec as S
 from adlake.operators import gold as G
 from adlake.operators.clean import business_filter, clean, dedupe_order
 from adlake.operators.incremental import (
-    few_keys,
     ingested_after,
-    key_volume,
+    measure_keys,
     new_rows,
     unseen_rows,
 )
-from adlake.operators.metrics import campaign_metrics, update_metrics
+from adlake.operators.metrics import update_metrics
+from adlake.operators.rollup import (
+    channel_summary_of,
+    daily_summary_of,
+    merge_rollups,
+    metrics_of,
+    rollup,
+)
 from adlake.sources import lake as L
 from adlake.sources.lake import Lake
 from adlake.sources.readers import stamp, time_literal, to_micros
@@ -55,13 +61,18 @@ def extend_bronze(
         return count, count
     if now <= mark:
         raise ValueError("run_ts must be later than that of the last finished run")
-    received = key_volume(batch, spec.keys)
-    few = few_keys(batch, spec.keys, received)
+    received = measure_keys(batch, spec.keys)
     order = dedupe_order(batch, spec)
-    fresh = new_rows(batch, lake.read(L.BRONZE), spec.keys, order, few)
+    fresh = new_rows(batch, lake.read(L.BRONZE), spec.keys, order, received)
     return received.rows, lake.append(L.BRONZE, as_bronze(fresh, run_ts), now)
 
 
+def up_to(df: DataFrame, mark: int) -> DataFrame:
+    """Rows ingested up to a mark. Later ones, left by a run that died before its
+    commit, have to wait for theirs."""
+    return df.where(F.col(S.INGESTED_AT) <= time_literal(mark))
+
+
 def carry(
     lake: Lake,
     layer: str,
@@ -79,12 +90,11 @@ def carry(
         lake.replace(layer, step(source), mark)
         return lake.row_count(layer)
     backlog = ingested_after(source, lake.high_water(layer))
-    waiting = key_volume(backlog, keys)
+    waiting = measure_keys(backlog, keys)
     if waiting.rows == 0:
         lake.advance(layer, mark)
         return 0
-    few = few_keys(backlog, keys, waiting)
-    fresh = unseen_rows(step(backlog), lake.read(layer), keys, few)
+    fresh = unseen_rows(step(backlog), lake.read(layer), keys, waiting)
     return lake.append(layer, fresh, mark)
 
 
@@ -98,31 +108,36 @@ def refresh_gold(
 ) -> None:
     """Bring the reporting tables in line with the filtered layer.
 
-    Averages do not add up, so the channel, daily and metrics tables are built
-    from all filtered rows; they need a few columns and shuffle a row per group
-    and task. The campaign table is different: its group includes the unique
-    key, so groups of new rows never touch existing ones. Only their groups are
-    computed and appended, which yields the same table without a shuffle of the
-    whole layer. ``rebuild`` makes all of it anew.
+    Only rows that are new since the last time are looked at. The channel, daily
+    and metrics tables come from the stored rollup, to which the new rows are
+    added. The campaign table's groups include the unique key, so those of new
+    rows never touch existing ones and are appended. The result is what all
+    filtered rows together would give. ``rebuild`` does start from all of them.
     """
     filtered = lake.read(L.FILTERED)
-    metrics = campaign_metrics(filtered, run_ts)
+
+    def per_campaign(rows: DataFrame) -> DataFrame:
+        return G.campaign_summary(rows, spec, run_ts)
+
+    if rebuild or not lake.has(L.ROLLUP):
+        rolled = rollup(filtered, spec)
+    else:
+        new = ingested_after(up_to(filtered, mark), lake.high_water(L.ROLLUP))
+        rolled = merge_rollups(lake.read(L.ROLLUP), rollup(new, spec), spec)
+    rolled = lake.replace(L.ROLLUP, rolled, mark)
+    metrics = metrics_of(rolled, run_ts)
     if lake.has(L.SQL_METRICS):
         metrics = update_metrics(lake.read(L.SQL_METRICS), metrics, metrics_mode)
     tables = {
-        L.CHANNEL_SUMMARY: G.channel_summary(filtered, spec, run_ts),
-        L.DAILY_SUMMARY: G.daily_summary(filtered, spec, run_ts),
+        L.CHANNEL_SUMMARY: channel_summary_of(rolled, spec, run_ts),
+        L.DAILY_SUMMARY: daily_summary_of(rolled, spec, run_ts),
         L.SQL_METRICS: metrics,
     }
-
-    def per_campaign(rows: DataFrame) -> DataFrame:
-        return G.campaign_summary(rows, spec, run_ts)
-
     if rebuild:
         tables[L.CAMPAIGN_SUMMARY] = per_campaign(filtered)
     else:
         keys = list(spec.keys)
-        carry(lake, L.CAMPAIGN_SUMMARY, filtered, mark, keys, per_campaign)
+        carry(lake, L.CAMPAIGN_SUMMARY, up_to(filtered, mark), mark, keys, per_campaign)
     lake.replace_all(tables, mark)
 
 
@@ -147,16 +162,20 @@ def propagate(
     keys = list(spec.keys)
     added = {L.SILVER: 0, L.FILTERED: 0}
     if _behind(lake, L.SILVER, mark):
-        source = bronze.where(F.col(S.INGESTED_AT) <= time_literal(mark))
         added[L.SILVER] = carry(
-            lake, L.SILVER, source, mark, keys, lambda rows: clean(rows, spec, run_ts)
+            lake,
+            L.SILVER,
+            up_to(bronze, mark),
+            mark,
+            keys,
+            lambda rows: clean(rows, spec, run_ts),
         )
     changed = lake.changed_to(L.SILVER)
     if _behind(lake, L.FILTERED, changed):
         added[L.FILTERED] = carry(
             lake,
             L.FILTERED,
-            lake.read(L.SILVER),
+            up_to(lake.read(L.SILVER), changed),
             changed,
             keys,
             lambda rows: business_filter(rows, spec, run_ts),

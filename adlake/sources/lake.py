@@ -38,6 +38,7 @@ CAMPAIGN_SUMMARY = "campaign_summary"
 CHANNEL_SUMMARY = "channel_summary"
 DAILY_SUMMARY = "daily_summary"
 SQL_METRICS = "sql_metrics"
+ROLLUP = "rollup"
 
 
 class Commit(NamedTuple):

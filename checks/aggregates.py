@@ -10,6 +10,7 @@ from adlake.operators import clean as C
 from adlake.operators import gold as G
 from adlake.operators import incremental as I
 from adlake.operators import metrics as M
+from adlake.operators import rollup as R
 from adlake.sources import row_count as count_rows
 from checks import feed
 from checks.feed import SPEC, TIE_BREAK, sql
@@ -143,6 +144,28 @@ def sql_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_metrics(M.campaign_metrics(rows))
 
 
+def merged_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of two row sets, added up."""
+    rows = feed.filtered(spark, sf_dir, "Campaign_Type", "Date", "Engagement_Score")
+    first, second = feed.earlier(rows), feed.later(rows)
+    return R.merge_rollups(R.rollup(first, SPEC), R.rollup(second, SPEC), SPEC)
+
+
+@checked(
+    sql(
+        f"""SELECT "Date", {GOLD_TOTALS}, {PLAIN_AVERAGES}
+            FROM filtered WHERE "Date" IS NOT NULL GROUP BY "Date\""""
+    )
+)
+def gold_daily_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded_gold(R.daily_summary_of(merged_rollup(spark, sf_dir), SPEC))
+
+
+@checked(sql(METRICS_SQL.format(rows="filtered")))
+def sql_metrics_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded_metrics(R.metrics_of(merged_rollup(spark, sf_dir)))
+
+
 @checked(sql(METRICS_SQL.format(rows="filtered")))
 def sql_metrics_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feed.filtered(spark, sf_dir, "Campaign_Type")

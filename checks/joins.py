@@ -79,8 +79,8 @@ def new_keys_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The increment of a layer: one row for each unseen key."""
     rows = feed.campaigns(spark, sf_dir, "Campaign_ID")
     batch, stored = feed.later(rows), feed.earlier(rows)
-    few = I.few_keys(batch, SPEC.keys)
-    fresh = I.new_rows(batch, stored, SPEC.keys, dedupe_order(batch, SPEC), few)
+    measured = I.measure_keys(batch, SPEC.keys)
+    fresh = I.new_rows(batch, stored, SPEC.keys, dedupe_order(batch, SPEC), measured)
     return fresh.drop("l_shipdate")
 
 

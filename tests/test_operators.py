@@ -14,6 +14,7 @@ from adlake.operators import gold as G
 from adlake.operators import incremental as I
 from adlake.operators import metrics as M
 from adlake.operators import quality as Q
+from adlake.operators import rollup as R
 from adlake.spec import DEFAULT_SPEC as SPEC
 from adlake.spec import CampaignSpec
 
@@ -122,27 +123,87 @@ def brute_unseen(new, existing):
 
 
 @pytest.mark.parametrize("salts", [1, 4])
-@pytest.mark.parametrize("use_few", [True, False])
-def test_unseen_rows_with_a_hot_key_on_both_sides(spark, salts, use_few):
+@pytest.mark.parametrize("measured", [True, False])
+def test_unseen_rows_with_a_hot_key_on_both_sides(spark, salts, measured):
     """A third of the rows share one key; result as by brute force."""
     new = [(7 if i % 3 == 0 else i, i) for i in range(900)] + [(None, 1)]
     existing = [(11 if i % 3 == 0 else 2 * i, i) for i in range(600)]
     left = spark.createDataFrame(new, "k long, v long")
     right = spark.createDataFrame(existing, "k long, v long")
-    few = I.few_keys(left, ["k"]) if use_few else None
-    found = I.unseen_rows(left, right, ["k"], few, salts)
+    batch = I.measure_keys(left, ["k"]) if measured else None
+    found = I.unseen_rows(left, right, ["k"], batch, salts)
     assert found.columns == ["k", "v"]
     assert rows_of(found) == brute_unseen(new, existing)
 
 
-def test_few_keys_measures_bytes(spark, monkeypatch):
-    df = spark.createDataFrame([("x" * 100,)] * 10, "k string")
-    volume = I.key_volume(df, ["k"])
-    assert volume == (10, 10 * (100 + I.BYTES_PER_KEY))
-    assert I.few_keys(df, ["k"]) is not None
-    monkeypatch.setattr(I, "BROADCAST_BYTES", volume.size - 1)
-    assert I.few_keys(df, ["k"]) is None
-    assert I.key_volume(df.limit(0), ["k"]) == (0, 0)
+def test_keys_are_measured_in_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([("x" * 100,)] * 9 + [(None,)], "k string")
+    batch = I.measure_keys(df, ["k"])
+    assert batch.rows == 10
+    assert batch.size == 9 * 100 + 10 * I.BYTES_PER_KEY
+    assert batch.lowest == batch.highest == ("x" * 100,)
+    assert batch.few is not None
+    monkeypatch.setattr(I, "BROADCAST_BYTES", batch.size - 1)
+    assert I.measure_keys(df, ["k"]).few is None
+    empty = I.measure_keys(df.limit(0), ["k"])
+    assert (empty.rows, empty.size, empty.lowest) == (0, 0, (None,))
+
+
+@pytest.mark.parametrize(
+    ("kind", "known", "new"),
+    [
+        ("a long, b string", [(1, "p"), (5, "q")], [(1, "p"), (5, "r"), (9, "q")]),
+        ("a double, b date", [(1.0, None)], [(float("nan"), dt.date(2021, 1, 1))]),
+        (
+            "a double, b date",
+            [(float("nan"), dt.date(2021, 1, 1)), (2.0, dt.date(2021, 1, 1))],
+            [(float("nan"), dt.date(2021, 1, 1)), (2.0, dt.date(2021, 1, 2))],
+        ),
+    ],
+)
+def test_unseen_rows_by_compound_keys_of_any_type(spark, kind, known, new):
+    left, right = spark.createDataFrame(new, kind), spark.createDataFrame(known, kind)
+    keys = ["a", "b"]
+    found = I.unseen_rows(left, right, keys, I.measure_keys(left, keys))
+    expected = [row for row in new if repr(row) not in {repr(k) for k in known}]
+    assert list(map(repr, rows_of(found))) == sorted(map(repr, expected))
+
+
+def test_rollups_add_up(spark):
+    """Two parts merged give the tables of the whole, gaps included."""
+    schema = (
+        "Campaign_ID long, Campaign_Type string, Channel_Used string, Date date,"
+        "Conversion_Rate double, Acquisition_Cost double, ROI double, Clicks int,"
+        "Impressions int, Engagement_Score int"
+    )
+    day = dt.date(2021, 1, 1)
+    first = [
+        (1, "Email", "Email", day, 0.2, 10.0, 6.0, 5, 10, 1),
+        (2, None, None, None, None, None, None, None, None, None),
+        (3, "Search", "Email", day, 0.05, 1.5, -2.0, 0, 10, 2),
+    ]
+    second = [
+        (4, "Email", None, day, None, 2.0, None, None, 20, 3),
+        (5, "Email", "YouTube", None, 0.1, 4.0, 0.5, 7, 0, None),
+    ]
+    a, b = (spark.createDataFrame(rows, schema) for rows in (first, second))
+    rolled = R.merge_rollups(R.rollup(a), R.rollup(b))
+    whole = a.union(b)
+
+    def close(df):
+        return [
+            tuple(round(v, 9) if isinstance(v, float) else v for v in row)
+            for row in rows_of(df)
+        ]
+
+    for made, direct in (
+        (R.channel_summary_of(rolled), G.channel_summary(whole)),
+        (R.daily_summary_of(rolled), G.daily_summary(whole)),
+        (R.metrics_of(rolled), M.campaign_metrics(whole)),
+    ):
+        assert made.columns == direct.columns
+        assert made.dtypes == direct.dtypes
+        assert close(made) == close(direct)
 
 
 def test_new_rows_takes_each_key_of_a_batch_once(spark):

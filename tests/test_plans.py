@@ -119,12 +119,13 @@ def test_increment_of_a_large_batch_is_two_shuffles(lake, no_broadcast):
 
 def test_increment_of_a_small_batch_does_not_shuffle_the_layer(lake, no_broadcast):
     batch, stored = lake.read("bronze"), lake.read("silver")
-    few = I.few_keys(batch, SPEC.keys)
-    text = plan(I.unseen_rows(batch, stored, SPEC.keys, few))
+    measured = I.measure_keys(batch, SPEC.keys)
+    text = plan(I.unseen_rows(batch, stored, SPEC.keys, measured))
     semi = text.index("LeftSemi")
     assert "BroadcastHashJoin" in text[semi - 80 : semi]
     scans_below_semi = text[semi:]
     assert "Exchange hashpartitioning" not in scans_below_semi
+    assert "GreaterThanOrEqual(Campaign_ID" in text and "LessThanOrEqual" in text
 
 
 def test_validation_scans_the_filtered_rows_once(lake):
