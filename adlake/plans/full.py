@@ -6,13 +6,11 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlake.operators.clean import business_filter, clean
-from adlake.operators.incremental import unseen_rows
-from adlake.operators.quality import profile, validate
-from adlake.plans.increment import as_bronze, refresh_gold, run_increment
+from adlake.plans import stages
+from adlake.plans.increment import require_later, run_increment
 from adlake.sources import lake as L
 from adlake.sources.lake import Lake
-from adlake.sources.readers import read_csv, schema_listing, to_micros, with_lineage
+from adlake.sources.readers import read_csv, with_lineage
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
 
 
@@ -28,8 +26,7 @@ def run_full(
     """Load the raw CSV files and rebuild every layer below ``root``.
 
     Bronze and silver are replaced. A filtered layer that exists keeps its rows
-    and gains the keys it does not have. Each layer is read back from where it
-    was written, so no stage repeats the work of an earlier one.
+    and gains the keys it does not have.
 
     ``then_increment`` looks at the raw files once more at the end, for files
     that arrived during the run; it adds nothing otherwise.
@@ -38,36 +35,30 @@ def run_full(
     DataFrames. An error in any stage is raised to the caller.
     """
     run_ts = run_ts or datetime.now(UTC)
-    mark = to_micros(run_ts)
     lake = Lake(spark, root)
-    raw = read_csv(spark, raw_path, spec.raw_schema)
-
-    bronze = lake.replace(L.BRONZE, as_bronze(with_lineage(raw), run_ts), mark)
-    silver = lake.replace(L.SILVER, clean(bronze, spec, run_ts), mark)
-    kept = business_filter(silver, spec, run_ts)
-    if lake.has(L.FILTERED):
-        unseen = unseen_rows(kept, lake.read(L.FILTERED), spec.keys)
-        lake.append(L.FILTERED, unseen, mark)
-    else:
-        lake.replace(L.FILTERED, kept, mark)
-    refresh_gold(lake, spec, run_ts, mark, metrics_mode, rebuild=True)
+    require_later(lake, run_ts)
+    stages.ingest(lake, raw_path, run_ts, spec)
+    stages.refine(lake, run_ts, spec)
+    stages.select_business(lake, run_ts, spec)
+    stages.summarise(lake, run_ts, spec, metrics_mode)
     if then_increment:
         later = run_ts + timedelta(microseconds=1)
         again = with_lineage(read_csv(spark, raw_path, spec.raw_schema))
         run_increment(spark, again, root, spec, later, metrics_mode)
         lake = Lake(spark, root)
-
-    bronze, filtered = lake.read(L.BRONZE), lake.read(L.FILTERED)
-    summaries = (L.CAMPAIGN_SUMMARY, L.CHANNEL_SUMMARY, L.DAILY_SUMMARY)
-    gold = {name: lake.read(name) for name in summaries}
-    reports = {f"profile_{name}": df for name, df in profile(bronze, spec).items()}
+    layers = (
+        L.BRONZE,
+        L.SILVER,
+        L.FILTERED,
+        L.CAMPAIGN_SUMMARY,
+        L.CHANNEL_SUMMARY,
+        L.DAILY_SUMMARY,
+        L.SQL_METRICS,
+    )
+    reports = stages.profile_bronze(lake, spec)
     return {
-        "schema": schema_listing(raw),
-        "bronze": bronze,
-        "silver": lake.read(L.SILVER),
-        "filtered": filtered,
-        **gold,
-        "sql_metrics": lake.read(L.SQL_METRICS),
-        **reports,
-        "validation": validate(filtered, gold, spec),
+        "schema": stages.explore_schema(lake, raw_path, spec),
+        **{name: lake.read(name) for name in layers},
+        **{f"profile_{name}": report for name, report in reports.items()},
+        "validation": stages.validate_gold(lake, spec),
     }

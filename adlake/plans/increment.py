@@ -47,6 +47,14 @@ def as_bronze(batch: DataFrame, run_ts: datetime) -> DataFrame:
     return stamp(batch, S.INGESTED_AT, run_ts)
 
 
+def require_later(lake: Lake, run_ts: datetime) -> None:
+    """Run times have to rise: rows stamped with a time that a layer has passed
+    would be taken for old ones."""
+    newest = max((commit.high_water for commit in lake.state().values()), default=None)
+    if newest is not None and to_micros(run_ts) <= newest:
+        raise ValueError("run_ts must be later than that of the last run")
+
+
 def extend_bronze(
     lake: Lake, batch: DataFrame, spec: CampaignSpec, run_ts: datetime
 ) -> tuple[int, int]:
@@ -54,13 +62,12 @@ def extend_bronze(
 
     Returns the row counts of the batch and of what was added.
     """
-    mark, now = lake.high_water(L.BRONZE), to_micros(run_ts)
-    if mark is None:
+    require_later(lake, run_ts)
+    now = to_micros(run_ts)
+    if not lake.has(L.BRONZE):
         lake.replace(L.BRONZE, as_bronze(batch, run_ts), now)
         count = lake.row_count(L.BRONZE)
         return count, count
-    if now <= mark:
-        raise ValueError("run_ts must be later than that of the last finished run")
     received = measure_keys(batch, spec.keys)
     order = dedupe_order(batch, spec)
     fresh = new_rows(batch, lake.read(L.BRONZE), spec.keys, order, received)

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from adlake import spec as S
-from adlake.plans.increment import propagate
+from adlake.plans.increment import propagate, require_later
 from adlake.sources.lake import Lake
 from adlake.sources.readers import read_or_empty, stamp, to_micros, with_lineage
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
@@ -74,6 +74,7 @@ def run_stream(
     """
     run_ts = run_ts or datetime.now(UTC)
     lake = Lake(spark, root)
+    require_later(lake, run_ts)
     table = stream_to_bronze(spark, raw_path, root, spec, run_ts)
     bronze = read_or_empty(spark, table, bronze_schema(spec))
     return propagate(lake, bronze, to_micros(run_ts), spec, run_ts, metrics_mode)

@@ -18,12 +18,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 
 from adlake import sources as io
-from adlake.operators import gold as G
-from adlake.operators.clean import business_filter, clean
-from adlake.operators.metrics import campaign_metrics
-from adlake.operators.quality import profile, validate
-from adlake.plans import run_increment
-from adlake.plans.increment import as_bronze
+from adlake.plans import run_increment, stages
 from adlake.sources import Lake
 from checks import QUERIES, feed
 from checks.feed import BUSINESS, SPEC, TIE_BREAK
@@ -61,7 +56,6 @@ def timed(work: Callable[[], object]) -> float:
 def steps(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     root = io.shared_dir(spark, "bench")
     run_ts = datetime(2026, 2, 2, tzinfo=UTC)
-    mark = io.readers.to_micros(run_ts)
     write_csv(feed.campaigns(spark, sf_dir).select(*BUSINESS, *TIE_BREAK), f"{root}/raw")
     lake = Lake(spark, f"{root}/lake")
 
@@ -69,43 +63,22 @@ def steps(spark: SparkSession, sf_dir: str) -> dict[str, float]:
         return io.with_lineage(io.read_csv(spark, f"{root}/raw", SPEC.raw_schema))
 
     def reports() -> None:
-        for report in profile(lake.read("bronze"), SPEC).values():
+        for report in stages.profile_bronze(lake, SPEC).values():
             compute(report)
 
-    def metrics() -> None:
-        table = campaign_metrics(lake.read("filtered"), run_ts)
-        lake.replace("sql_metrics", table, mark)
-
-    def gold() -> None:
-        lake.replace_all(G.gold(lake.read("filtered"), SPEC, run_ts), mark)
-
     def nothing_new() -> None:
         later = run_ts + timedelta(hours=1)
         run_increment(spark, raw(), f"{root}/lake", SPEC, later)
 
-    def checks() -> None:
-        tables = {
-            name: lake.read(name)
-            for name in ("campaign_summary", "channel_summary", "daily_summary")
-        }
-        compute(validate(lake.read("filtered"), tables, SPEC))
-
-    def silver() -> None:
-        lake.replace("silver", clean(lake.read("bronze"), SPEC, run_ts), mark)
-
-    def filtered() -> None:
-        rows = business_filter(lake.read("silver"), SPEC, run_ts)
-        lake.replace("filtered", rows, mark)
-
     work: dict[str, Callable[[], object]] = {
-        "step_bronze": lambda: lake.replace("bronze", as_bronze(raw(), run_ts), mark),
+        "step_bronze": lambda: stages.ingest(lake, f"{root}/raw", run_ts, SPEC),
         "step_profile": reports,
-        "step_silver": silver,
-        "step_filter": filtered,
-        "step_metrics": metrics,
-        "step_gold": gold,
+        "step_silver": lambda: stages.refine(lake, run_ts, SPEC),
+        "step_filter": lambda: stages.select_business(lake, run_ts, SPEC),
+        "step_metrics": lambda: stages.measure(lake, run_ts),
+        "step_gold": lambda: stages.summarise(lake, run_ts, SPEC),
         "step_increment_nothing_new": nothing_new,
-        "step_validate": checks,
+        "step_validate": lambda: compute(stages.validate_gold(lake, SPEC)),
     }
     return {name: timed(step) for name, step in work.items()}
 

@@ -7,10 +7,11 @@ import pytest
 from conftest import rows_of
 from samples import campaign, raw_table
 
+from adlake import __main__ as cli
 from adlake.operators import gold as G
 from adlake.operators.clean import business_filter, clean
 from adlake.operators.metrics import campaign_metrics
-from adlake.plans import run_full, run_increment
+from adlake.plans import run_full, run_increment, stages
 from adlake.plans.increment import extend_bronze
 from adlake.sources import Lake
 from adlake.spec import AUDIT_COLUMNS, DEFAULT_SPEC
@@ -127,6 +128,21 @@ def test_run_times_must_rise(spark, root):
         load(spark, BATCH_2, root, 0)
 
 
+def test_no_run_may_go_back_in_time(spark, root, tmp_path):
+    """Rows stamped before a layer's mark would be overlooked or counted twice."""
+    write_raw(spark, BATCH_2, str(tmp_path / "raw"))
+    for run in (run_full, run_stream):
+        with pytest.raises(ValueError, match="run_ts"):
+            run(spark, str(tmp_path / "raw"), root, run_ts=hour(-1))
+
+
+def test_stream_and_increments_share_a_lake(spark, root, tmp_path, expected):
+    write_raw(spark, BATCH_2, str(tmp_path / "raw"))
+    run_stream(spark, str(tmp_path / "raw"), root, run_ts=hour(1))
+    load(spark, BATCH_3, root, 2)
+    assert lake_content(spark, root) == expected
+
+
 def test_batch_with_nothing_for_the_filter(spark, root):
     dull = [campaign(Campaign_ID=1000 + i, Channel_Used="Radio") for i in range(3)]
     counts = load(spark, dull, root, 1)
@@ -241,6 +257,28 @@ def test_full_run_again_and_followed_by_an_increment(spark, tmp_path, expected):
     assert made["bronze"].count() == len(EVERYTHING)
 
 
+def test_command_line(spark, tmp_path, capsys):
+    raw, root = str(tmp_path / "raw"), str(tmp_path / "lake")
+    write_raw(spark, BATCH_1, f"{raw}/a")
+    cli.main(["full", f"{raw}/*", root])
+    write_raw(spark, BATCH_2, f"{raw}/b")
+    cli.main(["increment", f"{raw}/b", root])
+    cli.main(["validate", root])
+    cli.main(["profile", root])
+    cli.main(["read", f"{raw}/b", "--format", "csv", "--rows", "2"])
+    shown = capsys.readouterr().out
+    for word in ("totals_daily_summary", "rows_added", "distinct_counts", "row_json"):
+        assert word in shown
+    merged = expected_content(spark, BATCH_1 + BATCH_2)
+    assert lake_content(spark, root) == merged
+
+
+def test_metrics_stage_on_its_own(spark, root):
+    lake = Lake(spark, root)
+    before = content(lake.read("sql_metrics"))
+    assert content(stages.measure(lake, hour(5))) == before
+
+
 def test_full_run_raises_what_goes_wrong(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         run_full(spark, str(tmp_path / "none"), str(tmp_path / "lake"))
