@@ -52,7 +52,8 @@ def first_per_key(
     shuffle: every map task keeps its best row per key, so a key that holds a
     third of the table still sends just one row per task.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
+    order = order_by or keys
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     ranked = df.withColumn("__rank", rank)
     return ranked.where(F.col("__rank") == 1).drop("__rank")
 

@@ -230,24 +230,22 @@ def profile_counts(
 def profile(
     df: DataFrame, spec: CampaignSpec = DEFAULT_SPEC, sample: int = 5
 ) -> dict[str, DataFrame]:
-    """Everything known about a bronze table. Nothing runs until it is used, and
-    duplicates and distinct values stay tables, however many there are."""
+    """Everything known about a bronze table. Nothing runs until it is used,
+    samples read only what they show, and duplicates and distinct values stay tables, however many there are."""
     numeric = [*spec.keys, *spec.measures]
-    order = [*spec.keys, *(name for name in df.columns if name not in spec.keys)]
     return {
         "schema": schema_listing(df),
-        "sample": sample_rows(df, sample, order),
+        "sample": sample_rows(df, sample),
         "counts": profile_counts(df, numeric, spec),
         "duplicates": duplicate_keys(df, spec.keys),
-        "invalid_sample": sample_rows(
-            rows_any_negative(df, numeric, spec), sample, order
-        ),
+        "invalid_sample": sample_rows(rows_any_negative(df, numeric, spec), sample),
         "distinct_values": distinct_values(df, spec.profiled_dimensions),
         "distinct_counts": distinct_counts(df, spec.profiled_dimensions),
     }
 
 
 RECONCILED = ("Clicks", "Impressions")
+GOLD_TOTALS = "table string, scope string, metric string, gold long"
 
 
 def _scoped_total(column: str, scope: str, spec: CampaignSpec) -> Column:
@@ -348,7 +346,7 @@ def validate(
     """All checks as one table: (check, column, violations, passed).
 
     Reconciliation counts as violated when a summary's total differs from that
-    of the rows it is built from.
+    of the rows it is built from. Summaries that are not given are not checked.
     """
     numbers = _numbers(filtered, spec.measures, spec)
     tests: dict[tuple[str, str], Column] = {
@@ -378,9 +376,11 @@ def validate(
         "channel_summary": "all",
         "daily_summary": "dated",
     }
-    totals = _all_gold_totals(
-        gold, [(table, own_scope[table]) for table in own_scope if table in gold]
-    )
+    compared = [(table, own_scope[table]) for table in own_scope if table in gold]
+    if compared:
+        totals = _all_gold_totals(gold, compared)
+    else:
+        totals = filtered.sparkSession.createDataFrame([], GOLD_TOTALS)
     found = silver.join(totals, ["scope", "metric"], "left")
     is_total = F.col("scope").isin("all", "dated")
     differs = (~F.col("silver").eqNullSafe(F.col("gold"))).cast("long")

@@ -1,7 +1,8 @@
 """The stages of a full run, each of which can be run on its own.
 
 A stage reads the layer before it from where it is stored and writes its own, so
-no stage repeats the work of an earlier one.
+no stage repeats the work of an earlier one. A layer that is not there yet counts
+as an empty one.
 """
 
 from __future__ import annotations
@@ -18,9 +19,28 @@ from adlake.plans.increment import as_bronze, refresh_gold
 from adlake.sources import lake as L
 from adlake.sources.lake import Lake
 from adlake.sources.readers import read_csv, schema_listing, to_micros, with_lineage
+from adlake.sources.sinks import typed_empty
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
 
 
+def bronze_rows(lake: Lake, spec: CampaignSpec = DEFAULT_SPEC) -> DataFrame:
+    if lake.has(L.BRONZE):
+        return lake.read(L.BRONZE)
+    return typed_empty(lake.spark, spec.bronze_schema)
+
+
+def silver_rows(lake: Lake, spec: CampaignSpec = DEFAULT_SPEC) -> DataFrame:
+    if lake.has(L.SILVER):
+        return lake.read(L.SILVER)
+    return clean(typed_empty(lake.spark, spec.bronze_schema), spec)
+
+
+def filtered_rows(lake: Lake, spec: CampaignSpec = DEFAULT_SPEC) -> DataFrame:
+    if lake.has(L.FILTERED):
+        return lake.read(L.FILTERED)
+    return clean(typed_empty(lake.spark, spec.bronze_schema), spec)
+
+
 def explore_schema(
     lake: Lake, raw_path: str | list[str], spec: CampaignSpec = DEFAULT_SPEC
 ) -> DataFrame:
@@ -42,14 +62,14 @@ def ingest(
 def profile_bronze(
     lake: Lake, spec: CampaignSpec = DEFAULT_SPEC
 ) -> dict[str, DataFrame]:
-    return profile(lake.read(L.BRONZE), spec)
+    return profile(bronze_rows(lake, spec), spec)
 
 
 def refine(
     lake: Lake, run_ts: datetime, spec: CampaignSpec = DEFAULT_SPEC
 ) -> DataFrame:
     """Bronze → silver, replaced."""
-    rows = clean(lake.read(L.BRONZE), spec, run_ts)
+    rows = clean(bronze_rows(lake, spec), spec, run_ts)
     return lake.replace(L.SILVER, rows, to_micros(run_ts))
 
 
@@ -57,7 +77,7 @@ def select_business(
     lake: Lake, run_ts: datetime, spec: CampaignSpec = DEFAULT_SPEC
 ) -> DataFrame:
     """Silver → filtered. Rows that are there stay, unseen keys are added."""
-    kept = business_filter(lake.read(L.SILVER), spec, run_ts)
+    kept = business_filter(silver_rows(lake, spec), spec, run_ts)
     mark = to_micros(run_ts)
     if not lake.has(L.FILTERED):
         return lake.replace(L.FILTERED, kept, mark)
@@ -74,23 +94,28 @@ def summarise(
     metrics_mode: str = "recompute",
 ) -> dict[str, DataFrame]:
     """Filtered → all reporting tables, and the rollup behind them."""
+    if not lake.has(L.FILTERED):
+        select_business(lake, run_ts, spec)
     refresh_gold(lake, spec, run_ts, to_micros(run_ts), metrics_mode, rebuild=True)
     names = (L.CAMPAIGN_SUMMARY, L.CHANNEL_SUMMARY, L.DAILY_SUMMARY, L.SQL_METRICS)
     return {name: lake.read(name) for name in names}
 
 
 def measure(
-    lake: Lake, run_ts: datetime, metrics_mode: str = "recompute"
+    lake: Lake,
+    run_ts: datetime,
+    spec: CampaignSpec = DEFAULT_SPEC,
+    metrics_mode: str = "recompute",
 ) -> DataFrame:
     """Filtered → metrics per campaign type only."""
-    table = campaign_metrics(lake.read(L.FILTERED), run_ts)
+    table = campaign_metrics(filtered_rows(lake, spec), run_ts)
     if lake.has(L.SQL_METRICS):
         table = update_metrics(lake.read(L.SQL_METRICS), table, metrics_mode)
-    return lake.replace(L.SQL_METRICS, table, lake.high_water(L.FILTERED))
+    return lake.replace(L.SQL_METRICS, table, lake.high_water(L.FILTERED) or 0)
 
 
 def validate_gold(lake: Lake, spec: CampaignSpec = DEFAULT_SPEC) -> DataFrame:
     """Checks on the filtered rows, and of the summaries against them."""
     names = (L.CAMPAIGN_SUMMARY, L.CHANNEL_SUMMARY, L.DAILY_SUMMARY)
-    summaries = {name: lake.read(name) for name in names}
-    return validate(lake.read(L.FILTERED), summaries, spec)
+    summaries = {name: lake.read(name) for name in names if lake.has(name)}
+    return validate(filtered_rows(lake, spec), summaries, spec)

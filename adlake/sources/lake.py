@@ -138,8 +138,9 @@ class Lake:
     def append(self, layer: str, df: DataFrame, mark: int) -> int:
         """Add rows to an existing layer. Returns how many it has more now."""
         before = self.state()[layer]
-        names = T.StructType.fromJson(json.loads(before.schema_json)).names
-        append_rows(df.select(*names), self._path(layer, before.slot))
+        fields = T.StructType.fromJson(json.loads(before.schema_json)).fields
+        columns = (F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)
+        append_rows(df.select(*columns), self._path(layer, before.slot))
         count = self._scan(layer, before.slot, before.schema_json).count()
         changed = count != before.row_count
         self._publish(

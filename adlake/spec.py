@@ -121,5 +121,16 @@ class CampaignSpec:
     critical: tuple[str, ...] = CRITICAL_COLUMNS
     unknown: str = UNKNOWN
 
+    @property
+    def bronze_schema(self) -> T.StructType:
+        """Raw columns plus lineage and ingestion time."""
+        return T.StructType(
+            [
+                *self.raw_schema.fields,
+                T.StructField(SOURCE_FILE, T.StringType()),
+                T.StructField(INGESTED_AT, T.TimestampType()),
+            ]
+        )
+
 
 DEFAULT_SPEC = CampaignSpec()

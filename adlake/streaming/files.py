@@ -10,7 +10,6 @@ from __future__ import annotations
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
-from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from adlake import spec as S
 from adlake.plans.increment import propagate, require_later
@@ -49,16 +48,6 @@ def stream_to_bronze(
     return target
 
 
-def bronze_schema(spec: CampaignSpec = DEFAULT_SPEC) -> StructType:
-    return StructType(
-        [
-            *spec.raw_schema.fields,
-            StructField(S.SOURCE_FILE, StringType()),
-            StructField(S.INGESTED_AT, TimestampType()),
-        ]
-    )
-
-
 def run_stream(
     spark: SparkSession,
     raw_path: str,
@@ -76,5 +65,5 @@ def run_stream(
     lake = Lake(spark, root)
     require_later(lake, run_ts)
     table = stream_to_bronze(spark, raw_path, root, spec, run_ts)
-    bronze = read_or_empty(spark, table, bronze_schema(spec))
+    bronze = read_or_empty(spark, table, spec.bronze_schema)
     return propagate(lake, bronze, to_micros(run_ts), spec, run_ts, metrics_mode)

@@ -75,7 +75,7 @@ def steps(spark: SparkSession, sf_dir: str) -> dict[str, float]:
         "step_profile": reports,
         "step_silver": lambda: stages.refine(lake, run_ts, SPEC),
         "step_filter": lambda: stages.select_business(lake, run_ts, SPEC),
-        "step_metrics": lambda: stages.measure(lake, run_ts),
+        "step_metrics": lambda: stages.measure(lake, run_ts, SPEC),
         "step_gold": lambda: stages.summarise(lake, run_ts, SPEC),
         "step_increment_nothing_new": nothing_new,
         "step_validate": lambda: compute(stages.validate_gold(lake, SPEC)),

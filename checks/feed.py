@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adlake.operators.clean import business_filter, clean
+from adlake.sources import overwrite, shared_dir
 from adlake.spec import RAW_SCHEMA, CampaignSpec
 
 TIE_BREAK = (
@@ -151,6 +152,14 @@ def filtered(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return business_filter(silver(spark, sf_dir, *columns), SPEC)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Rows that several plans start from, written once to the shared folder."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    overwrite(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _with_cleaned(columns: tuple[str, ...]) -> tuple[str, ...]:
     """Add the columns that cleaning and the business filter look at."""
     if not columns:

@@ -117,7 +117,8 @@ ANY_NEGATIVE = {"*": " OR ".join(f"({test})" for test in NEGATIVES.values())}
 )
 def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile's figures as one table."""
-    found = Q.profile(feed.campaigns(spark, sf_dir).select(*BUSINESS), SPEC)
+    bronze = feed.campaigns(spark, sf_dir).select(*BUSINESS)
+    found = Q.profile(feed.stored(bronze, "profile_report"), SPEC)
     distinct = found["distinct_counts"].select(
         F.lit("distinct").alias("check"),
         "column",
@@ -163,6 +164,7 @@ def reconcile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feed.filtered(
         spark, sf_dir, "Campaign_Type", "Company", "Engagement_Score"
     )
+    rows = feed.stored(rows, "reconcile_totals")
     return Q.reconcile_gold(rows, gold_tables(rows), SPEC)
 
 
@@ -192,6 +194,7 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feed.filtered(
         spark, sf_dir, "Campaign_Type", "Company", "Engagement_Score"
     )
+    rows = feed.stored(rows, "validation_report")
     return Q.validate(rows, gold_tables(rows), SPEC)
 
 

@@ -51,6 +51,12 @@ def test_non_iso_dates_survive_cleaning(spark):
     assert silver_table(spark, rows).where(F.col("Date").isNull()).count() == 0
 
 
+def test_dedupe_of_keys_alone(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,)], "Campaign_ID long")
+    kept = C.first_per_key(df, ["Campaign_ID"], C.dedupe_order(df, SPEC))
+    assert rows_of(kept) == [(1,), (2,)]
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_dedupe_does_not_depend_on_partitioning(spark, parts):
     rows = [campaign(Campaign_ID=i % 5, Clicks=i) for i in range(60)]

@@ -273,6 +273,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert lake_content(spark, root) == merged
 
 
+def test_stages_of_an_empty_lake_yield_empty_tables(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    assert stages.refine(lake, START).isEmpty()
+    assert stages.select_business(lake, START).isEmpty()
+    assert stages.measure(Lake(spark, str(tmp_path / "none")), START).isEmpty()
+    assert stages.validate_gold(lake).where("NOT passed").isEmpty()
+    assert stages.profile_bronze(lake)["counts"].first().value == 0
+    made = stages.summarise(lake, START)
+    assert all(table.isEmpty() for table in made.values())
+    assert stages.validate_gold(lake).count() == 17
+
+
 def test_metrics_stage_on_its_own(spark, root):
     lake = Lake(spark, root)
     before = content(lake.read("sql_metrics"))

@@ -187,6 +187,17 @@ def test_append_advance_and_marks(spark, tmp_path):
     assert again.read("t").count() == 5
 
 
+def test_appended_columns_take_the_types_and_order_of_the_layer(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    first = spark.createDataFrame([(1, "a")], "k long, v string")
+    lake.replace("t", first, 1)
+    lake.append("t", spark.createDataFrame([("b", 2)], "v string, k int"), 2)
+    assert lake.read("t").dtypes == first.dtypes
+    assert rows_of(lake.read("t")) == [(1, "a"), (2, "b")]
+    with pytest.raises(AnalysisException):
+        lake.append("t", spark.createDataFrame([("b",)], "v string"), 3)
+
+
 def test_unknown_layer_and_too_few_slots(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         Lake(spark, str(tmp_path)).read("t")
