@@ -1,9 +1,9 @@
 """Incremental load: take over what is new, layer by layer.
 
-Each layer works out its own backlog from the layer before it: rows ingested
-after its high-water mark, less the keys it already has. A run that died
-between two layers, or in the middle of a write, is therefore made good by the
-next run, whatever batch that one brings.
+Each layer works out its own backlog from the layer before it: the rows that
+one has gained since the layer's high-water mark, less the keys it already has.
+A run that died between two layers, or in the middle of a write, is therefore
+made good by the next run, whatever batch that one brings.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from adlake import spec as S
 from adlake.operators import gold as G
 from adlake.operators.clean import business_filter, clean, dedupe_order
 from adlake.operators.incremental import (
-    ingested_after,
     measure_keys,
     new_rows,
     unseen_rows,
@@ -33,7 +32,7 @@ from adlake.operators.rollup import (
 )
 from adlake.sources import lake as L
 from adlake.sources.lake import Lake
-from adlake.sources.readers import stamp, time_literal, to_micros
+from adlake.sources.readers import stamp, to_micros
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
 
 COUNTS = "stage string, metric string, value long"
@@ -64,6 +63,8 @@ def extend_bronze(
     """
     require_later(lake, run_ts)
     now = to_micros(run_ts)
+    if lake.has(L.SILVER) and not lake.has(L.BRONZE):
+        raise ValueError("this lake is fed by a stream of files")
     if not lake.has(L.BRONZE):
         lake.replace(L.BRONZE, as_bronze(batch, run_ts), now)
         count = lake.row_count(L.BRONZE)
@@ -74,16 +75,10 @@ def extend_bronze(
     return received.rows, lake.append(L.BRONZE, as_bronze(fresh, run_ts), now)
 
 
-def up_to(df: DataFrame, mark: int) -> DataFrame:
-    """Rows ingested up to a mark. Later ones, left by a run that died before its
-    commit, have to wait for theirs."""
-    return df.where(F.col(S.INGESTED_AT) <= time_literal(mark))
-
-
 def carry(
     lake: Lake,
     layer: str,
-    source: DataFrame,
+    backlog: DataFrame,
     mark: int,
     keys: list[str],
     step: Callable[[DataFrame], DataFrame],
@@ -94,9 +89,8 @@ def carry(
     ``step`` must not make up keys.
     """
     if not lake.has(layer):
-        lake.replace(layer, step(source), mark)
+        lake.replace(layer, step(backlog), mark)
         return lake.row_count(layer)
-    backlog = ingested_after(source, lake.high_water(layer))
     waiting = measure_keys(backlog, keys)
     if waiting.rows == 0:
         lake.advance(layer, mark)
@@ -122,14 +116,10 @@ def refresh_gold(
     filtered rows together would give. ``rebuild`` does start from all of them.
     """
     filtered = lake.read(L.FILTERED)
-
-    def per_campaign(rows: DataFrame) -> DataFrame:
-        return G.campaign_summary(rows, spec, run_ts)
-
     if rebuild or not lake.has(L.ROLLUP):
         rolled = rollup(filtered, spec)
     else:
-        new = ingested_after(up_to(filtered, mark), lake.high_water(L.ROLLUP))
+        new = lake.read_since(L.FILTERED, lake.high_water(L.ROLLUP))
         rolled = merge_rollups(lake.read(L.ROLLUP), rollup(new, spec), spec)
     rolled = lake.replace(L.ROLLUP, rolled, mark)
     metrics = metrics_of(rolled, run_ts)
@@ -140,11 +130,11 @@ def refresh_gold(
         L.DAILY_SUMMARY: daily_summary_of(rolled, spec, run_ts),
         L.SQL_METRICS: metrics,
     }
-    if rebuild:
-        tables[L.CAMPAIGN_SUMMARY] = per_campaign(filtered)
-    else:
-        keys = list(spec.keys)
-        carry(lake, L.CAMPAIGN_SUMMARY, up_to(filtered, mark), mark, keys, per_campaign)
+    if rebuild or not lake.has(L.CAMPAIGN_SUMMARY):
+        tables[L.CAMPAIGN_SUMMARY] = G.campaign_summary(filtered, spec, run_ts)
+    elif _behind(lake, L.CAMPAIGN_SUMMARY, mark):
+        new = lake.read_since(L.FILTERED, lake.high_water(L.CAMPAIGN_SUMMARY))
+        lake.append(L.CAMPAIGN_SUMMARY, G.campaign_summary(new, spec, run_ts), mark)
     lake.replace_all(tables, mark)
 
 
@@ -155,7 +145,7 @@ def _behind(lake: Lake, layer: str, mark: int) -> bool:
 
 def propagate(
     lake: Lake,
-    bronze: DataFrame,
+    bronze_since: Callable[[int | None], DataFrame],
     mark: int,
     spec: CampaignSpec,
     run_ts: datetime,
@@ -163,6 +153,7 @@ def propagate(
 ) -> dict[str, int]:
     """Carry bronze rows up to ``mark`` on to silver, filtered and gold.
 
+    ``bronze_since`` gives the bronze rows ingested after a time (None: all).
     A layer whose source has not changed since is left alone, so a run without
     new rows ends here. Returns the rows added per layer.
     """
@@ -172,7 +163,7 @@ def propagate(
         added[L.SILVER] = carry(
             lake,
             L.SILVER,
-            up_to(bronze, mark),
+            bronze_since(lake.high_water(L.SILVER)),
             mark,
             keys,
             lambda rows: clean(rows, spec, run_ts),
@@ -182,7 +173,7 @@ def propagate(
         added[L.FILTERED] = carry(
             lake,
             L.FILTERED,
-            up_to(lake.read(L.SILVER), changed),
+            lake.read_since(L.SILVER, lake.high_water(L.FILTERED)),
             changed,
             keys,
             lambda rows: business_filter(rows, spec, run_ts),
@@ -216,7 +207,11 @@ def run_increment(
     lake = Lake(spark, root)
     received, stored = extend_bronze(lake, batch, spec, run_ts)
     mark = lake.changed_to(L.BRONZE)
-    added = propagate(lake, lake.read(L.BRONZE), mark, spec, run_ts, metrics_mode)
+
+    def bronze_since(time: int | None) -> DataFrame:
+        return lake.read_since(L.BRONZE, time)
+
+    added = propagate(lake, bronze_since, mark, spec, run_ts, metrics_mode)
     return spark.createDataFrame(
         [
             ("bronze", "rows_received", received),

@@ -3,16 +3,18 @@
 A lake is a folder with a list of commits and, per layer, a few data slots. All
 of it is Parquet that Spark reads and writes:
 
-    <root>/commits           one row per layer and finished write
-    <root>/<layer>/slot_<i>  the rows of a version of a layer
+    <root>/commits                    one row per layer and finished write
+    <root>/<layer>/slot_<i>           rows of the last replacement of a layer
+    <root>/<layer>/slot_<i>/part_<v>  rows appended to it since, per write
 
-A replacement goes to another slot than the one in use and counts only once its
-commit row is there, so a plan may read the layer it is about to replace, and a
-job that dies half way leaves the old rows in force. The slot of an old version
-is overwritten ``keep`` - 1 replacements later; nothing is deleted or renamed.
+A replacement goes to another slot than the one in use, an append to a part of
+its own, and neither counts before its commit row is there. So a plan may read
+the layer it is about to replace, and a job that dies half way leaves the old
+rows in force. An old slot is overwritten ``keep`` - 1 replacements later, with
+its parts; nothing is deleted or renamed one by one.
 
-Rows appended by a run that died before its commit may already be visible. The
-anti join by key makes the next run complete them instead of adding them again.
+As the commits say which part came when, the rows a layer has gained since some
+time are read from their parts alone, whatever the size of the layer.
 
 One run at a time is assumed to write to a lake.
 """
@@ -24,7 +26,7 @@ from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,20 +43,27 @@ SQL_METRICS = "sql_metrics"
 ROLLUP = "rollup"
 
 
+def _schema(commit: Commit) -> T.StructType:
+    return T.StructType.fromJson(json.loads(commit.schema_json))
+
+
 class Commit(NamedTuple):
     """State of a layer after a write.
 
     ``high_water`` is the ingestion time (microseconds, UTC) up to which the
     layer's source has been taken over completely; ``changed_to`` is its value
     at the last write that changed rows. Both move only after a write has
-    finished, so it is safe to skip source rows up to there.
+    finished, so it is safe to skip source rows up to there. ``epoch`` is the
+    version of the last replacement.
     """
 
     layer: str
     version: int
+    epoch: int
     slot: int
     high_water: int
     changed_to: int
+    part_rows: int
     row_count: int
     schema_json: str
 
@@ -63,9 +72,11 @@ COMMIT_SCHEMA = T.StructType(
     [
         T.StructField("layer", T.StringType()),
         T.StructField("version", T.LongType()),
+        T.StructField("epoch", T.LongType()),
         T.StructField("slot", T.IntegerType()),
         T.StructField("high_water", T.LongType()),
         T.StructField("changed_to", T.LongType()),
+        T.StructField("part_rows", T.LongType()),
         T.StructField("row_count", T.LongType()),
         T.StructField("schema_json", T.StringType()),
     ]
@@ -85,20 +96,25 @@ class Lake:
         self.spark = spark
         self.root = root.rstrip("/")
         self.keep = keep
-        self._state: dict[str, Commit] | None = None
+        self._history: dict[str, list[Commit]] | None = None
 
     def commits(self) -> DataFrame:
         return read_or_empty(self.spark, f"{self.root}/commits", COMMIT_SCHEMA)
 
+    def history(self) -> dict[str, list[Commit]]:
+        """Per layer, the commits since its last replacement: a few rows a run."""
+        if self._history is None:
+            newest = F.max("epoch").over(Window.partitionBy("layer"))
+            valid = self.commits().withColumn("newest", newest)
+            valid = valid.where(F.col("epoch") == F.col("newest")).drop("newest")
+            self._history = {}
+            for row in valid.orderBy("version").collect():
+                self._history.setdefault(row.layer, []).append(Commit(*row))
+        return self._history
+
     def state(self) -> dict[str, Commit]:
-        """The latest commit of each layer: a handful of rows."""
-        if self._state is None:
-            last = self.commits().groupBy("layer").agg(
-                F.max_by(F.struct(*COMMIT_SCHEMA.names), "version").alias("last")
-            )
-            rows = last.select("last.*").collect()
-            self._state = {row.layer: Commit(*row) for row in rows}
-        return self._state
+        """The latest commit of each layer."""
+        return {layer: commits[-1] for layer, commits in self.history().items()}
 
     def has(self, layer: str) -> bool:
         return layer in self.state()
@@ -115,8 +131,16 @@ class Lake:
     def read(self, layer: str) -> DataFrame:
         if not self.has(layer):
             raise FileNotFoundError(f"no {layer} committed at {self.root}")
-        commit = self.state()[layer]
-        return self._scan(layer, commit.slot, commit.schema_json)
+        return self._scan(self.history()[layer])
+
+    def read_since(self, layer: str, mark: int | None) -> DataFrame:
+        """The rows a layer has gained by writes beyond ``mark``."""
+        if mark is None:
+            return self.read(layer)
+        commits = [c for c in self.history()[layer] if c.high_water > mark]
+        if any(commit.part_rows for commit in commits):
+            return self._scan(commits)
+        return self.read(layer).limit(0)
 
     def replace(self, layer: str, df: DataFrame, mark: int) -> DataFrame:
         """Write ``df`` as the new content of a layer; returns what was stored."""
@@ -138,43 +162,51 @@ class Lake:
     def append(self, layer: str, df: DataFrame, mark: int) -> int:
         """Add rows to an existing layer. Returns how many it has more now."""
         before = self.state()[layer]
-        fields = T.StructType.fromJson(json.loads(before.schema_json)).fields
+        fields = _schema(before).fields
         columns = (F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)
-        append_rows(df.select(*columns), self._path(layer, before.slot))
-        count = self._scan(layer, before.slot, before.schema_json).count()
-        changed = count != before.row_count
+        added = before._replace(version=before.version + 1, high_water=mark)
+        overwrite(df.select(*columns), self._path(added))
+        count = read_parquet(self.spark, self._path(added), _schema(added)).count()
         self._publish(
             [
-                before._replace(
-                    version=before.version + 1,
-                    high_water=mark,
-                    changed_to=mark if changed else before.changed_to,
-                    row_count=count,
+                added._replace(
+                    changed_to=mark if count else before.changed_to,
+                    part_rows=count,
+                    row_count=before.row_count + count,
                 )
             ]
         )
-        return count - before.row_count
+        return count
 
     def advance(self, layer: str, mark: int) -> None:
         """Note that the source had nothing for the layer up to ``mark``."""
         before = self.state()[layer]
-        self._publish([before._replace(version=before.version + 1, high_water=mark)])
-
-    def _path(self, layer: str, slot: int) -> str:
-        return f"{self.root}/{layer}/slot_{slot}"
-
-    def _scan(self, layer: str, slot: int, schema_json: str) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(schema_json))
-        return read_parquet(self.spark, self._path(layer, slot), schema)
+        version = before.version + 1
+        self._publish([before._replace(version=version, high_water=mark, part_rows=0)])
+
+    def _path(self, commit: Commit) -> str:
+        slot = f"{self.root}/{commit.layer}/slot_{commit.slot}"
+        if commit.version == commit.epoch:
+            return slot
+        return f"{slot}/part_{commit.version}"
+
+    def _scan(self, commits: list[Commit]) -> DataFrame:
+        paths = [
+            self._path(commit)
+            for commit in commits
+            if commit.part_rows or commit.version == commit.epoch
+        ]
+        return read_parquet(self.spark, paths, _schema(commits[-1]))
 
     def _replace(self, layer: str, df: DataFrame, mark: int) -> Commit:
         before = self.state().get(layer)
         version = before.version + 1 if before else 0
         slot = (before.slot + 1) % self.keep if before else 0
-        overwrite(df, self._path(layer, slot))
         schema_json = df.schema.json()
-        count = self._scan(layer, slot, schema_json).count()
-        return Commit(layer, version, slot, mark, mark, count, schema_json)
+        made = Commit(layer, version, version, slot, mark, mark, 0, 0, schema_json)
+        overwrite(df, self._path(made))
+        count = read_parquet(self.spark, self._path(made), _schema(made)).count()
+        return made._replace(part_rows=count, row_count=count)
 
     def _publish(self, commits: list[Commit]) -> None:
         rows = F.array(
@@ -190,4 +222,8 @@ class Lake:
         )
         listing = self.spark.range(1, numPartitions=1).select(F.inline(rows))
         append_rows(listing, f"{self.root}/commits")
-        self.state().update({commit.layer: commit for commit in commits})
+        for commit in commits:
+            if commit.version == commit.epoch:
+                self.history()[commit.layer] = [commit]
+            else:
+                self.history()[commit.layer].append(commit)

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from adlake import spec as S
+from adlake.operators.incremental import ingested_after
 from adlake.plans.increment import propagate, require_later
+from adlake.sources import lake as L
 from adlake.sources.lake import Lake
 from adlake.sources.readers import read_or_empty, stamp, to_micros, with_lineage
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
@@ -58,12 +60,19 @@ def run_stream(
 ) -> dict[str, int]:
     """Ingest what is new below ``raw_path`` and carry it through all layers.
 
-    Run it on a schedule with rising ``run_ts``. Rows added per layer are
+    Run it on a schedule with rising ``run_ts``. A lake takes either streams or
+    batches: marks of the one say nothing about the other. Rows added per layer are
     returned.
     """
     run_ts = run_ts or datetime.now(UTC)
     lake = Lake(spark, root)
     require_later(lake, run_ts)
+    if lake.has(L.BRONZE):
+        raise ValueError("this lake is fed by batches")
     table = stream_to_bronze(spark, raw_path, root, spec, run_ts)
     bronze = read_or_empty(spark, table, spec.bronze_schema)
-    return propagate(lake, bronze, to_micros(run_ts), spec, run_ts, metrics_mode)
+
+    def bronze_since(time: int | None) -> DataFrame:
+        return ingested_after(bronze, time)
+
+    return propagate(lake, bronze_since, to_micros(run_ts), spec, run_ts, metrics_mode)

@@ -175,6 +175,40 @@ def test_tables_replaced_together_share_one_commit(spark, tmp_path):
     assert Lake(spark, str(tmp_path)).read("a").count() == 1
 
 
+def test_rows_gained_since_a_mark(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    lake.replace("t", spark.range(0, 3), 1)
+    lake.append("t", spark.range(3, 5), 2)
+    lake.append("t", spark.range(0), 3)
+    lake.append("t", spark.range(5, 6), 4)
+    again = Lake(spark, str(tmp_path))
+    ids = {m: [r[0] for r in rows_of(again.read_since("t", m))] for m in (None, 0, 1, 2, 3, 4)}
+    assert ids == {
+        None: [0, 1, 2, 3, 4, 5],
+        0: [0, 1, 2, 3, 4, 5],
+        1: [3, 4, 5],
+        2: [5],
+        3: [5],
+        4: [],
+    }
+    again.replace("t", again.read("t"), 5)
+    again.append("t", spark.range(6, 7), 6)
+    assert rows_of(Lake(spark, str(tmp_path)).read("t")) == [(i,) for i in range(7)]
+    again.replace("t", spark.range(2), 7)
+    assert rows_of(Lake(spark, str(tmp_path)).read("t")) == [(0,), (1,)]
+
+
+def test_append_without_commit_stays_invisible(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    lake.replace("t", spark.range(3), 1)
+    commit = lake.state()["t"]
+    lost = lake._path(commit._replace(version=commit.version + 1))
+    spark.range(50).write.parquet(lost)
+    assert Lake(spark, str(tmp_path)).read("t").count() == 3
+    assert Lake(spark, str(tmp_path)).append("t", spark.range(1), 2) == 1
+    assert Lake(spark, str(tmp_path)).read("t").count() == 4
+
+
 def test_append_advance_and_marks(spark, tmp_path):
     lake = Lake(spark, str(tmp_path))
     lake.replace("t", spark.range(3), 1)
