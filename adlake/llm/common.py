@@ -6,6 +6,8 @@ import io
 import os
 import zipfile
 
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,21 @@ def words_of(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(batches, column: int, most: int = 8 << 20):
+    """The rows of Arrow batches, in slices of about ``most`` bytes of one column."""
+    for batch in batches:
+        at, size = 0, 0
+        for i, length in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+            size += length
+            if size >= most:
+                yield batch.slice(at, i + 1 - at)
+                at, size = i + 1, 0
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder or file in the shared store, for tasks."""
+    return fs.FileSystem.from_uri(uri)
