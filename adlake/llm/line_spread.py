@@ -100,7 +100,7 @@ def drop_spread_lines(
     rows = docs.select(
         F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
         F.xxhash64(text).alias("of_text"),
-    ).join(of_text, "of_text", "left")
+    ).join(of_text.hint("merge"), "of_text", "left")
     lines = _lines(F.col("row")[text])
     removed = F.filter(
         lines, lambda line: has_word(line) & F.array_contains("spread", F.xxhash64(line))
