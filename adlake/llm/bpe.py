@@ -109,32 +109,38 @@ class Encoder:
             self.young[word] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text."""
+    def parts(self, text: str) -> tuple[list[str], list[bytes]]:
+        """Units of a text, which make it up when joined by spaces, and their ids."""
         words = text.split(" ")
         get = self.young.get
-        parts = [get(word) for word in words]
-        parts[0] = None
-        missing = [i for i, part in enumerate(parts) if part is None]
+        ids = [get(word) for word in words]
+        ids[0] = None
+        missing = [i for i, part in enumerate(ids) if part is None]
         if any(_joins(words[i]) for i in missing[1:]):
-            return b"".join(self._merged(words))
-        parts[0] = self.unit(words[0])
+            return self._merged(words)
+        ids[0] = self.unit(words[0])
         for i in missing[1:]:
-            parts[i] = self._spaced(words[i])
-        return b"".join(parts)
+            ids[i] = self._spaced(words[i])
+        return words, ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text."""
+        return b"".join(self.parts(text)[1])
 
-    def _merged(self, words: list[str]):
-        """Unit by unit, where some words have white space on both sides of their cut."""
-        at = 0
+    def _merged(self, words: list[str]) -> tuple[list[str], list[bytes]]:
+        """The same where some words have white space on both sides of their cut."""
+        units, ids, at = [], [], 0
         while at < len(words):
             end = at + 1
             while end < len(words) and _joins(words[end]):
                 end += 1
+            units.append(" ".join(words[at:end]))
             if at and end == at + 1:
-                yield self._spaced(words[at])
+                ids.append(self._spaced(words[at]))
             else:
-                yield self.unit(" " * bool(at) + " ".join(words[at:end]))
+                ids.append(self.unit(" " * bool(at) + units[-1]))
             at = end
+        return units, ids
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library decodes, special tokens included."""
