@@ -61,7 +61,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     # Only the attempt that succeeds reports its file, so no other one is ever read.
     name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
     count = 0
-    with files.open_output_stream(f"{base}/{name}") as out:
+    # By its name the file system would compress the archive as a whole once more.
+    with files.open_output_stream(f"{base}/{name}", compression=None) as out:
         for batch in small_batches(batches, 2):
             ids, urls, pages, firsts = (column.to_pylist() for column in batch.columns)
             for id, url, html, first in zip(ids, urls, pages, firsts, strict=True):
@@ -127,7 +128,10 @@ class _Window:
         """Have bytes up to ``end``; False if the file ends before."""
         while self.start + len(self.data) < min(end, self.size):
             at = self.start + len(self.data)
-            self.data += self.file.read_at(min(BUFFER, self.size - at), at)
+            more = self.file.read_at(min(BUFFER, self.size - at), at)
+            if not more:
+                raise EOFError(f"the archive ends at {at}, before {self.size}")
+            self.data += more
         return end <= self.size
 
     def find(self, at: int, end: int) -> int:

@@ -24,10 +24,10 @@ def op5_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("payload").cast("long").alias("own_bytes"),
     )
     records = stored(read, "records")
-    named = records.where("refers_to IS NOT NULL").select("refers_to").distinct()
+    named = records.select(F.col("refers_to").alias("named")).where("named IS NOT NULL").distinct()
     sizes = stored(
         records.where("record_type = 'response'")
-        .join(named, F.col("page_id") == F.col("refers_to"), "left_semi")
+        .join(named, F.col("page_id") == F.col("named"), "left_semi")
         .groupBy(F.col("page_id").alias("refers_to"))
         .agg(F.max("own_bytes").alias("full_bytes")),
         "sizes",
