@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlake.llm import warc
+from adlake.llm import host_paths, warc
 from adlake.llm.common import stored, table
 from adlake.llm.registry import registered
 from adlake.sources import shared_dir
@@ -39,3 +39,12 @@ def op5_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         "refers_to",
     )
+
+
+@registered()
+def op6_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return host_paths.extract(pages).select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
