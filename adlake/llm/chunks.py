@@ -20,7 +20,7 @@ BITS = 10
 LEAST = 128
 
 #: Characters of encoded chunks that a worker keeps for other documents.
-KEPT = 24 << 20
+KEPT = 16 << 20
 
 _GEAR = np.random.default_rng(17).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -47,14 +47,27 @@ def cuts(data: bytes) -> list[int]:
     return [*ends, len(data)]
 
 
+#: Units at either end of a chunk that are kept one by one.
+EDGE = 2
+
+
 class Chunk:
-    """A chunk encoded by itself: its units, joined by spaces, and their ids."""
+    """A chunk encoded by itself: its ids, and units one by one only near its ends.
+
+    A chunk of few units is kept as ``head`` alone.
+    """
 
-    __slots__ = ("units", "ids", "size")
+    __slots__ = ("head", "head_ids", "middle", "tail", "tail_ids", "size")
 
     def __init__(self, text: str, encoder: bpe.Encoder):
-        self.units, self.ids = encoder.parts(text)
+        units, ids = encoder.parts(text)
         self.size = len(text)
+        self.head, self.head_ids, self.middle = units, ids, b""
+        self.tail, self.tail_ids = [], []
+        if len(units) > 2 * EDGE:
+            self.head, self.head_ids = units[:EDGE], ids[:EDGE]
+            self.middle = b"".join(ids[EDGE:-EDGE])
+            self.tail, self.tail_ids = units[-EDGE:], ids[-EDGE:]
 
 
 class ChunkEncoder:
@@ -81,45 +94,42 @@ class ChunkEncoder:
         return chunk
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text."""
+        """Ids of a whole text.
+
+        At every join the units on both sides are encoded anew as one window, which must
+        begin with the ids that its first unit had and end with those that its last unit
+        had: units are cut where no token can cross, so beyond them both sides stand. A
+        window that takes in a whole side needs no agreement there. Where a window
+        disagrees the text is encoded as a whole.
+        """
         data = text.encode()
-        units: list[str] = []
+        done: list[bytes] = []
+        units: list[str] = []  # the last units, whose ids aren't in ``done`` yet
         ids: list[bytes] = []
         start = 0
         for end in cuts(data):
             chunk = self._chunk(data[start:end])
-            start = end
-            if units:
-                self._join(units, ids, chunk)
+            if start:
+                window = " ".join(units) + " ".join(chunk.head)
+                again, made = self.encoder.parts(" " + window if done else window)
+                if done:  # the space that stands before a unit belongs to its ids
+                    del again[0], made[0]
+                    if again[0] != units[0] or made[0] != ids[0]:
+                        return self.encoder.encode(text)
+                if chunk.tail and (again[-1] != chunk.head[-1] or made[-1] != chunk.head_ids[-1]):
+                    return self.encoder.encode(text)
             else:
-                units, ids = list(chunk.units), list(chunk.ids)
-        return b"".join(ids)
-
-    def _join(self, units: list[str], ids: list[bytes], chunk: Chunk) -> None:
-        """Append a chunk, repairing the ids around the join.
-
-        A window of units on both sides is encoded anew, wider each time, until it
-        begins with the ids that its first unit had and ends with those that its last
-        unit had: units are cut where no token can cross, so beyond them both sides
-        stand. A window that takes in a whole side needs no agreement there.
-        """
-        reach = 1
-        while True:
-            reach *= 2
-            left = max(0, len(units) - reach)
-            right = min(len(chunk.units), reach)
-            window = " ".join(units[left:]) + " ".join(chunk.units[:right])
-            again, made = self.encoder.parts(" " + window if left else window)
-            if left:  # the space that stands before a unit belongs to its ids
-                del again[0], made[0]
-            starts = left == 0 or (again[0] == units[left] and made[0] == ids[left])
-            ends = right == len(chunk.units) or (
-                again[-1] == chunk.units[right - 1] and made[-1] == chunk.ids[right - 1]
-            )
-            if starts and ends:
-                units[left:] = again + chunk.units[right:]
-                ids[left:] = made + chunk.ids[right:]
-                return
+                again, made = list(chunk.head), list(chunk.head_ids)
+            if chunk.tail:
+                done += made
+                done.append(chunk.middle)
+                units, ids = list(chunk.tail), list(chunk.tail_ids)
+            else:
+                keep = max(0, len(again) - EDGE)
+                done += made[:keep]
+                units, ids = again[keep:], made[keep:]
+            start = end
+        return b"".join(done + ids)
 
 
 @lru_cache(maxsize=2)
