@@ -3,21 +3,23 @@
     python -m adlake full RAW ROOT
     python -m adlake increment RAW ROOT
     python -m adlake stream RAW ROOT
-    python -m adlake profile ROOT
+    python -m adlake profile ROOT OUT
     python -m adlake validate ROOT
     python -m adlake read PATH [--format csv] [--rows 10]
 
-The Spark session is whatever the environment configures.
+A profile lists as many rows as there are values, so it is written, as one Parquet table
+per report; what is printed has a row per column or check, and is printed whole. The Spark
+session is whatever the environment configures.
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from adlake.plans import run_full, run_increment, stages
-from adlake.sources import Lake, read_any, read_csv, read_report, with_lineage
+from adlake.sources import Lake, overwrite, read_any, read_csv, read_report, with_lineage
 from adlake.streaming import run_stream
 
 
@@ -31,8 +33,10 @@ def parser() -> argparse.ArgumentParser:
         command.add_argument(
             "--metrics", choices=["recompute", "insert_only"], default="recompute"
         )
-    for name in ("profile", "validate"):
-        commands.add_parser(name).add_argument("root")
+    profile = commands.add_parser("profile")
+    profile.add_argument("root")
+    profile.add_argument("out")
+    commands.add_parser("validate").add_argument("root")
     read = commands.add_parser("read")
     read.add_argument("path")
     read.add_argument("--format", default="parquet")
@@ -40,28 +44,34 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def show_all(report: DataFrame) -> None:
+    """Print a report whose rows are bounded by the columns and checks there are."""
+    report = report.cache()
+    report.show(report.count(), truncate=False)
+    report.unpersist()
+
+
 def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     spark = SparkSession.builder.appName(f"adlake-{args.command}").getOrCreate()
     if args.command == "full":
         made = run_full(spark, args.raw, args.root, metrics_mode=args.metrics)
-        made["validation"].show(100, truncate=False)
+        show_all(made["validation"])
     elif args.command == "increment":
         batch = with_lineage(read_csv(spark, args.raw))
-        run_increment(spark, batch, args.root, metrics_mode=args.metrics).show()
+        show_all(run_increment(spark, batch, args.root, metrics_mode=args.metrics))
     elif args.command == "stream":
         added = run_stream(spark, args.raw, args.root, metrics_mode=args.metrics)
         for layer, rows in added.items():
             print(f"{layer}: {rows} rows added")
     elif args.command == "profile":
         for name, report in stages.profile_bronze(Lake(spark, args.root)).items():
-            print(name)
-            report.show(100, truncate=False)
+            overwrite(report, f"{args.out}/{name}")
     elif args.command == "validate":
-        stages.validate_gold(Lake(spark, args.root)).show(100, truncate=False)
+        show_all(stages.validate_gold(Lake(spark, args.root)))
     else:
         report = read_report(read_any(spark, args.path, args.format), show_rows=args.rows)
-        report["schema"].show(1000, truncate=False)
+        show_all(report["schema"])
         report["sample"].show(args.rows, truncate=False)
 
 

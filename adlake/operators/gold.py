@@ -10,6 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from adlake import spec as S
 from adlake.functions import safe_div
@@ -42,6 +43,10 @@ def _totals() -> list[Column]:
     return [F.sum(name).alias(f"Total_{name}") for name in TOTALLED]
 
 
+def _sum_type(df: DataFrame, name: str) -> str:
+    return "long" if isinstance(df.schema[name].dataType, IntegralType) else "double"
+
+
 def _plain_averages() -> list[Column]:
     return [F.avg(name).alias(f"Avg_{name}") for name in ("Conversion_Rate", "ROI")]
 
@@ -55,11 +60,35 @@ def _stamped(df: DataFrame, run_ts: datetime | None) -> DataFrame:
     return df if run_ts is None else stamp(df, S.AGGREGATED_AT, run_ts)
 
 
+def one_row_per_group(spec: CampaignSpec) -> bool:
+    """Whether rows that are unique by key are each a group of the campaign table."""
+    return "Campaign_ID" in spec.keys and set(spec.keys) <= set(CAMPAIGN_GRAIN)
+
+
 def campaign_summary(
-    df: DataFrame, spec: CampaignSpec = DEFAULT_SPEC, run_ts: datetime | None = None
+    df: DataFrame,
+    spec: CampaignSpec = DEFAULT_SPEC,
+    run_ts: datetime | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Per campaign, type and company; the conversion rate is weighted by
-    impressions."""
+    impressions.
+
+    ``unique`` says that every row is a group by itself, which spares the shuffle.
+    """
+    if unique:
+        rows = gold_rows(df, spec)
+        rate, weight = F.col("Conversion_Rate"), F.col("Impressions")
+        totals = [
+            F.col(name).cast(_sum_type(rows, name)).alias(f"Total_{name}") for name in TOTALLED
+        ]
+        summary = rows.select(
+            *CAMPAIGN_GRAIN,
+            *totals,
+            safe_div(rate * weight, weight).alias("Avg_Conversion_Rate"),
+            F.col("ROI").cast("double").alias("Avg_ROI"),
+        )
+        return _stamped(summary, run_ts)
     summary = gold_rows(df, spec).groupBy(*CAMPAIGN_GRAIN).agg(
         *_totals(),
         weighted_average("Conversion_Rate", "Impressions").alias("Avg_Conversion_Rate"),

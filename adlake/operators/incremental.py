@@ -72,11 +72,13 @@ def _has_order(dtype: DataType) -> bool:
     return isinstance(dtype, (IntegralType, StringType, DateType))
 
 
-def measure_keys(df: DataFrame, keys: Sequence[str]) -> BatchKeys:
+def measure_keys(
+    df: DataFrame, keys: Sequence[str], broadcast_bytes: int = BROADCAST_BYTES
+) -> BatchKeys:
     """Count the rows of a batch, size its keys and find their bounds.
 
-    ``few`` are the keys themselves if they were measured to be small enough to
-    broadcast, else None: join by shuffle.
+    ``few`` are the keys themselves if they were measured to take no more than
+    ``broadcast_bytes``, so that they may be broadcast, else None: join by shuffle.
     """
     width = F.lit(BYTES_PER_KEY)
     for name in keys:
@@ -90,7 +92,7 @@ def measure_keys(df: DataFrame, keys: Sequence[str]) -> BatchKeys:
     rows, size, *bounds = df.agg(
         F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0)).cast("long"), *bounds
     ).first()
-    few = df.select(*keys) if size <= BROADCAST_BYTES else None
+    few = df.select(*keys) if size <= broadcast_bytes else None
     half = len(keys)
     return BatchKeys(rows, size, tuple(bounds[:half]), tuple(bounds[half:]), few)
 

@@ -111,10 +111,13 @@ def refresh_gold(
 
     Only rows that are new since the last time are looked at. The channel, daily
     and metrics tables come from the stored rollup, to which the new rows are
-    added. The campaign table's groups include the unique key, so those of new
-    rows never touch existing ones and are appended. The result is what all
-    filtered rows together would give. ``rebuild`` does start from all of them.
+    added. Where the campaign table's groups include the unique key, those of new
+    rows never touch existing ones: each is a row by itself and is appended. Under
+    other keys a new row may belong to a stored group, and the table is made anew.
+    The result is what all filtered rows together would give. ``rebuild`` does
+    start from all of them.
     """
+    alone = G.one_row_per_group(spec)
     filtered = lake.read(L.FILTERED)
     if rebuild or not lake.has(L.ROLLUP):
         rolled = rollup(filtered, spec)
@@ -130,11 +133,12 @@ def refresh_gold(
         L.DAILY_SUMMARY: daily_summary_of(rolled, spec, run_ts),
         L.SQL_METRICS: metrics,
     }
-    if rebuild or not lake.has(L.CAMPAIGN_SUMMARY):
-        tables[L.CAMPAIGN_SUMMARY] = G.campaign_summary(filtered, spec, run_ts)
+    if rebuild or not alone or not lake.has(L.CAMPAIGN_SUMMARY):
+        tables[L.CAMPAIGN_SUMMARY] = G.campaign_summary(filtered, spec, run_ts, alone)
     elif _behind(lake, L.CAMPAIGN_SUMMARY, mark):
         new = lake.read_since(L.FILTERED, lake.high_water(L.CAMPAIGN_SUMMARY))
-        lake.append(L.CAMPAIGN_SUMMARY, G.campaign_summary(new, spec, run_ts), mark)
+        summary = G.campaign_summary(new, spec, run_ts, alone)
+        lake.append(L.CAMPAIGN_SUMMARY, summary, mark)
     lake.replace_all(tables, mark)
 
 

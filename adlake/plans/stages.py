@@ -10,6 +10,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from adlake.operators.clean import business_filter, clean
 from adlake.operators.incremental import unseen_rows
@@ -22,6 +23,8 @@ from adlake.sources.readers import read_csv, schema_listing, to_micros, with_lin
 from adlake.sources.sinks import typed_empty
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
 
+PRESENCE = "check string, column string, violations long"
+
 
 def bronze_rows(lake: Lake, spec: CampaignSpec = DEFAULT_SPEC) -> DataFrame:
     if lake.has(L.BRONZE):
@@ -93,10 +96,14 @@ def summarise(
     spec: CampaignSpec = DEFAULT_SPEC,
     metrics_mode: str = "recompute",
 ) -> dict[str, DataFrame]:
-    """Filtered → all reporting tables, and the rollup behind them."""
+    """Filtered → all reporting tables, and the rollup behind them.
+
+    They are marked by the filtered rows they hold; ``run_ts`` is but their stamp.
+    """
     if not lake.has(L.FILTERED):
         select_business(lake, run_ts, spec)
-    refresh_gold(lake, spec, run_ts, to_micros(run_ts), metrics_mode, rebuild=True)
+    mark = lake.changed_to(L.FILTERED)
+    refresh_gold(lake, spec, run_ts, mark, metrics_mode, rebuild=True)
     names = (L.CAMPAIGN_SUMMARY, L.CHANNEL_SUMMARY, L.DAILY_SUMMARY, L.SQL_METRICS)
     return {name: lake.read(name) for name in names}
 
@@ -111,11 +118,21 @@ def measure(
     table = campaign_metrics(filtered_rows(lake, spec), run_ts)
     if lake.has(L.SQL_METRICS):
         table = update_metrics(lake.read(L.SQL_METRICS), table, metrics_mode)
-    return lake.replace(L.SQL_METRICS, table, lake.high_water(L.FILTERED) or 0)
+    return lake.replace(L.SQL_METRICS, table, lake.changed_to(L.FILTERED) or 0)
 
 
 def validate_gold(lake: Lake, spec: CampaignSpec = DEFAULT_SPEC) -> DataFrame:
-    """Checks on the filtered rows, and of the summaries against them."""
+    """Checks on the filtered rows, and of the summaries against them.
+
+    A layer without rows, and a summary that is not there, are violations too.
+    """
     names = (L.CAMPAIGN_SUMMARY, L.CHANNEL_SUMMARY, L.DAILY_SUMMARY)
     summaries = {name: lake.read(name) for name in names if lake.has(name)}
-    return validate(filtered_rows(lake, spec), summaries, spec)
+    found = [
+        ("layer_empty", name, int(lake.row_count(name) == 0))
+        for name in (L.SILVER, L.FILTERED)
+    ] + [("table_absent", name, int(not lake.has(name))) for name in names]
+    present = lake.spark.createDataFrame(found, PRESENCE).withColumn(
+        "passed", F.col("violations") == 0
+    )
+    return validate(filtered_rows(lake, spec), summaries, spec).unionByName(present)

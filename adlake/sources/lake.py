@@ -16,7 +16,8 @@ its parts; nothing is deleted or renamed one by one.
 As the commits say which part came when, the rows a layer has gained since some
 time are read from their parts alone, whatever the size of the layer.
 
-One run at a time is assumed to write to a lake.
+One run at a time may write to a lake. A write that finds another one's commit in its
+place stops before its own counts, and a mark below the layer's is refused.
 """
 
 from __future__ import annotations
@@ -83,6 +84,12 @@ COMMIT_SCHEMA = T.StructType(
 )
 
 
+def _require_rising(before: Commit | None, mark: int) -> None:
+    """Rows marked with a time that a layer has passed would be taken for old ones."""
+    if before is not None and mark < before.high_water:
+        raise ValueError(f"{before.layer} has come to {before.high_water}, beyond {mark}")
+
+
 class Lake:
     """The layers below one folder.
 
@@ -162,6 +169,7 @@ class Lake:
     def append(self, layer: str, df: DataFrame, mark: int) -> int:
         """Add rows to an existing layer. Returns how many it has more now."""
         before = self.state()[layer]
+        _require_rising(before, mark)
         fields = _schema(before).fields
         columns = (F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)
         added = before._replace(version=before.version + 1, high_water=mark)
@@ -181,6 +189,7 @@ class Lake:
     def advance(self, layer: str, mark: int) -> None:
         """Note that the source had nothing for the layer up to ``mark``."""
         before = self.state()[layer]
+        _require_rising(before, mark)
         version = before.version + 1
         self._publish([before._replace(version=version, high_water=mark, part_rows=0)])
 
@@ -200,6 +209,7 @@ class Lake:
 
     def _replace(self, layer: str, df: DataFrame, mark: int) -> Commit:
         before = self.state().get(layer)
+        _require_rising(before, mark)
         version = before.version + 1 if before else 0
         slot = (before.slot + 1) % self.keep if before else 0
         schema_json = df.schema.json()
@@ -208,7 +218,16 @@ class Lake:
         count = read_parquet(self.spark, self._path(made), _schema(made)).count()
         return made._replace(part_rows=count, row_count=count)
 
+    def _require_latest(self, commits: list[Commit]) -> None:
+        """No other writer has taken the versions that are about to be published."""
+        mine = {commit.layer: commit.version for commit in commits}
+        latest = self.commits().where(F.col("layer").isin(list(mine)))
+        for layer, version in latest.groupBy("layer").agg(F.max("version")).collect():
+            if version >= mine[layer]:
+                raise RuntimeError(f"another run has written {layer} meanwhile")
+
     def _publish(self, commits: list[Commit]) -> None:
+        self._require_latest(commits)
         rows = F.array(
             *(
                 F.struct(

@@ -40,16 +40,6 @@ SPEC = CampaignSpec(
 )
 SPLIT_DAY = "1998-06-01"
 
-# Which table, besides lineitem, a column comes from.
-COLUMN_SOURCE = {
-    "Company": "supplier",
-    "Campaign_Type": "part",
-    "Target_Audience": "part",
-    "Engagement_Score": "part",
-    "Location": "nation",
-    "Customer_Segment": "customer",
-}
-
 
 def _one_in(column: str, n: int) -> Column:
     return F.col(column) % n == 0
@@ -107,27 +97,19 @@ def campaigns(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The campaign rows with the given business columns (all if none is given),
     the tie-break columns and the ship date.
 
-    Every line item has its part, supplier and order, so a table that no wanted
-    column comes from need not be joined: the row set is the same. That spares
-    narrow queries the join with orders, which is as large as the facts.
+    All five joins are made whatever the columns: a line item without its partners
+    is no campaign.
     """
     wanted = columns or BUSINESS
-    sources = {COLUMN_SOURCE.get(name, "lineitem") for name in wanted}
     rows = table(spark, sf_dir, "lineitem")
-    if "supplier" in sources:
-        supplier = table(spark, sf_dir, "supplier")
-        rows = rows.join(supplier, rows.l_suppkey == supplier.s_suppkey)
-    if "part" in sources:
-        part = table(spark, sf_dir, "part")
-        rows = rows.join(part, rows.l_partkey == part.p_partkey)
-    if sources & {"customer", "nation"}:
-        orders = table(spark, sf_dir, "orders")
-        customer = table(spark, sf_dir, "customer")
-        rows = rows.join(orders, rows.l_orderkey == orders.o_orderkey)
-        rows = rows.join(customer, rows.o_custkey == customer.c_custkey)
-    if "nation" in sources:
-        nation = table(spark, sf_dir, "nation")
-        rows = rows.join(nation, rows.c_nationkey == nation.n_nationkey)
+    for name, foreign, own in (
+        ("supplier", "l_suppkey", "s_suppkey"),
+        ("part", "l_partkey", "p_partkey"),
+        ("orders", "l_orderkey", "o_orderkey"),
+        ("customer", "o_custkey", "c_custkey"),
+        ("nation", "c_nationkey", "n_nationkey"),
+    ):
+        rows = rows.join(table(spark, sf_dir, name), F.col(foreign) == F.col(own))
     expressions = _campaign_columns()
     return rows.select(
         *(expressions[name].alias(name) for name in wanted), *TIE_BREAK, "l_shipdate"

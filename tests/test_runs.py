@@ -2,6 +2,7 @@
 
 import datetime as dt
 import shutil
+from dataclasses import replace
 
 import pytest
 from conftest import rows_of
@@ -11,6 +12,7 @@ from adlake import __main__ as cli
 from adlake.operators import gold as G
 from adlake.operators.clean import business_filter, clean
 from adlake.operators.metrics import campaign_metrics
+from adlake.operators.incremental import measure_keys, unseen_rows
 from adlake.plans import run_full, run_increment, stages
 from adlake.plans.increment import extend_bronze
 from adlake.sources import Lake
@@ -268,11 +270,12 @@ def test_command_line(spark, tmp_path, capsys):
     write_raw(spark, BATCH_2, f"{raw}/b")
     cli.main(["increment", f"{raw}/b", root])
     cli.main(["validate", root])
-    cli.main(["profile", root])
+    cli.main(["profile", root, str(tmp_path / "profile")])
     cli.main(["read", f"{raw}/b", "--format", "csv", "--rows", "2"])
     shown = capsys.readouterr().out
-    for word in ("totals_daily_summary", "rows_added", "distinct_counts", "row_json"):
+    for word in ("totals_daily_summary", "rows_added", "layer_empty", "row_json"):
         assert word in shown
+    assert spark.read.parquet(str(tmp_path / "profile" / "distinct_counts")).count() > 0
     merged = expected_content(spark, BATCH_1 + BATCH_2)
     assert lake_content(spark, root) == merged
 
@@ -282,11 +285,16 @@ def test_stages_of_an_empty_lake_yield_empty_tables(spark, tmp_path):
     assert stages.refine(lake, START).isEmpty()
     assert stages.select_business(lake, START).isEmpty()
     assert stages.measure(Lake(spark, str(tmp_path / "none")), START).isEmpty()
-    assert stages.validate_gold(lake).where("NOT passed").isEmpty()
+    failed = stages.validate_gold(lake).where("NOT passed").select("check", "column")
+    empty = {("layer_empty", "silver"), ("layer_empty", "filtered")}
+    absent = {("table_absent", f"{name}_summary") for name in ("campaign", "channel", "daily")}
+    assert set(map(tuple, failed.collect())) == empty | absent
     assert stages.profile_bronze(lake)["counts"].first().value == 0
     made = stages.summarise(lake, START)
     assert all(table.isEmpty() for table in made.values())
-    assert stages.validate_gold(lake).count() == 17
+    checks = stages.validate_gold(lake)
+    assert checks.count() == 22
+    assert set(map(tuple, checks.where("NOT passed").select("check", "column").collect())) == empty
 
 
 def test_metrics_stage_on_its_own(spark, root):
@@ -311,3 +319,74 @@ def test_stream_takes_each_file_once(spark, tmp_path, expected):
     assert lake_content(spark, root) == expected
     streamed = spark.read.parquet(f"{root}/bronze_stream")
     assert streamed.count() == len(BATCH_1 + BATCH_2 + BATCH_3)
+
+
+def test_a_resummary_stamped_between_increments_counts_nothing_twice(spark, tmp_path, expected):
+    root = str(tmp_path / "lake")
+    run_increment(spark, raw_table(spark, BATCH_1), root, run_ts=hour(0))
+    run_increment(spark, raw_table(spark, BATCH_2), root, run_ts=hour(2))
+    stages.summarise(Lake(spark, root), hour(1))
+    run_increment(spark, raw_table(spark, BATCH_3), root, run_ts=hour(3))
+    assert lake_content(spark, root) == expected
+    assert stages.validate_gold(Lake(spark, root)).where("NOT passed").isEmpty()
+
+
+def test_marks_never_fall(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    run_increment(spark, raw_table(spark, BATCH_1), root, run_ts=hour(2))
+    lake = Lake(spark, root)
+    with pytest.raises(ValueError, match="beyond"):
+        stages.select_business(lake, hour(1))
+    with pytest.raises(ValueError, match="beyond"):
+        lake.advance("filtered", 0)
+    with pytest.raises(ValueError, match="beyond"):
+        lake.replace("silver", lake.read("silver"), 0)
+
+
+def test_a_second_writer_is_noticed(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    run_increment(spark, raw_table(spark, BATCH_1), root, run_ts=hour(0))
+    one, other = Lake(spark, root), Lake(spark, root)
+    mark = one.high_water("bronze")
+    assert other.high_water("bronze") == mark
+    one.advance("bronze", mark + 1)
+    with pytest.raises(RuntimeError, match="another run"):
+        other.append("bronze", other.read("bronze"), mark + 2)
+    assert Lake(spark, root).row_count("bronze") == one.row_count("bronze")
+
+
+def test_full_run_leaves_a_stream_fed_lake_alone(spark, tmp_path):
+    raw, root = str(tmp_path / "raw"), str(tmp_path / "lake")
+    write_raw(spark, BATCH_1, f"{raw}/a")
+    run_stream(spark, f"{raw}/*", root, run_ts=hour(0))
+    with pytest.raises(ValueError, match="stream"):
+        run_full(spark, f"{raw}/*", root, run_ts=hour(1))
+
+
+def test_campaign_table_under_other_keys_equals_one_load(spark, tmp_path):
+    spec = replace(DEFAULT_SPEC, keys=("Campaign_ID", "Date"))
+    days = [campaign(Campaign_ID=2, Date=day, Clicks=5, Impressions=10) for day in ("2021-01-01", "2021-01-02")]
+    for i, day in enumerate(days):
+        run_increment(spark, raw_table(spark, [day]), str(tmp_path / "two"), spec, hour(i))
+    run_increment(spark, raw_table(spark, days), str(tmp_path / "one"), spec, hour(0))
+    two, one = (content(Lake(spark, str(tmp_path / name)).read("campaign_summary")) for name in ("two", "one"))
+    assert two == one
+    assert Lake(spark, str(tmp_path / "two")).read("campaign_summary").first().Total_Clicks == 10
+
+
+def test_unique_rows_are_summed_up_without_a_shuffle(spark):
+    rows = business_filter(clean(raw_table(spark, EVERYTHING)))
+    alone = G.campaign_summary(rows, unique=True)
+    assert alone.dtypes == G.campaign_summary(rows).dtypes
+    assert content(alone) == content(G.campaign_summary(rows))
+    given = spark.createDataFrame(rows.collect(), rows.schema)
+    plan = G.campaign_summary(given, unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_keys_are_broadcast_only_up_to_the_limit_and_rows_agree(spark):
+    batch, target = raw_table(spark, BATCH_2), raw_table(spark, BATCH_1)
+    few, many = (measure_keys(batch, ["Campaign_ID"], limit) for limit in (1 << 20, 0))
+    assert few.few is not None and many.few is None
+    fresh = [unseen_rows(batch, target, ["Campaign_ID"], keys) for keys in (few, many)]
+    assert rows_of(fresh[0]) == rows_of(fresh[1])
