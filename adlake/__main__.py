@@ -57,6 +57,10 @@ def main(arguments: list[str] | None = None) -> None:
     if args.command == "full":
         made = run_full(spark, args.raw, args.root, metrics_mode=args.metrics)
         show_all(made["validation"])
+        lost = made["unreadable"].groupBy("column").sum("unreadable")
+        if not lost.isEmpty():
+            show_all(lost)
+            raise SystemExit("some cells can't be read as their column's type")
     elif args.command == "increment":
         batch = with_lineage(read_csv(spark, args.raw))
         show_all(run_increment(spark, batch, args.root, metrics_mode=args.metrics))

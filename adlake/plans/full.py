@@ -10,7 +10,7 @@ from adlake.plans import stages
 from adlake.plans.increment import require_later, run_increment
 from adlake.sources import lake as L
 from adlake.sources.lake import Lake
-from adlake.sources.readers import read_csv, with_lineage
+from adlake.sources.readers import read_csv, unreadable_cells, with_lineage
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
 
 
@@ -31,8 +31,8 @@ def run_full(
     ``then_increment`` looks at the raw files once more at the end, for files
     that arrived during the run; it adds nothing otherwise.
 
-    Returns the layers and the reports (schema, profile, validation), all as
-    DataFrames. An error in any stage is raised to the caller.
+    Returns the layers and the reports (schema, unreadable cells, profile,
+    validation), all as DataFrames. An error in any stage is raised to the caller.
     """
     run_ts = run_ts or datetime.now(UTC)
     lake = Lake(spark, root)
@@ -60,6 +60,7 @@ def run_full(
     reports = stages.profile_bronze(lake, spec)
     return {
         "schema": stages.explore_schema(lake, raw_path, spec),
+        "unreadable": unreadable_cells(spark, raw_path, spec.raw_schema),
         **{name: lake.read(name) for name in layers},
         **{f"profile_{name}": report for name, report in reports.items()},
         "validation": stages.validate_gold(lake, spec),

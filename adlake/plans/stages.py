@@ -47,8 +47,14 @@ def filtered_rows(lake: Lake, spec: CampaignSpec = DEFAULT_SPEC) -> DataFrame:
 def explore_schema(
     lake: Lake, raw_path: str | list[str], spec: CampaignSpec = DEFAULT_SPEC
 ) -> DataFrame:
-    """Columns, types and counts of the raw files."""
-    return schema_listing(read_csv(lake.spark, raw_path, spec.raw_schema))
+    """Columns and types as the raw files have them (inferred), with counts, next to
+    the types expected; a column that only one side has is null on the other."""
+    found = schema_listing(read_csv(lake.spark, raw_path, None))
+    expected = lake.spark.createDataFrame(
+        [(field.name, field.dataType.simpleString()) for field in spec.raw_schema],
+        "column string, expected_type string",
+    )
+    return found.join(expected, "column", "full")
 
 
 def ingest(

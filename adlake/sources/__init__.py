@@ -14,6 +14,7 @@ from adlake.sources.readers import (
     sample_rows,
     schema_listing,
     stamp,
+    unreadable_cells,
     with_lineage,
 )
 from adlake.sources.sinks import append_rows, overwrite, shared_dir, typed_empty
@@ -36,5 +37,6 @@ __all__ = [
     "shared_dir",
     "stamp",
     "typed_empty",
+    "unreadable_cells",
     "with_lineage",
 ]

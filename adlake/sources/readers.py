@@ -12,7 +12,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
 from adlake import spec as S
 
@@ -39,6 +39,38 @@ def read_csv(
     return reader.csv(path)
 
 
+def unreadable_cells(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType = S.RAW_SCHEMA,
+    header: bool = True,
+) -> DataFrame:
+    """CSV cells that hold text but not a value of their column's type, which a read
+    with the schema makes null: ``source_file``, ``column`` and ``unreadable``, their
+    number, for every file and column that has some. One scan, one row per file."""
+    texts = StructType([StructField(field.name, StringType()) for field in schema])
+    typed = [field for field in schema if not isinstance(field.dataType, StringType)]
+    lost = []
+    for field in typed:
+        text = F.col(f"`{field.name}`")
+        reads = text.try_cast(field.dataType).isNotNull()
+        if isinstance(field.dataType, IntegralType):
+            reads = reads & text.rlike(r"^[+-]?[0-9]+$")
+        lost.append(F.count_if(text.isNotNull() & ~reads).alias(field.name))
+    per_file = with_lineage(read_csv(spark, path, texts, header)).groupBy(S.SOURCE_FILE).agg(*lost)
+    named = F.explode(
+        F.array(
+            *(
+                F.struct(F.lit(field.name).alias("column"), F.col(f"`{field.name}`").alias("unreadable"))
+                for field in typed
+            )
+        )
+    )
+    return per_file.select(S.SOURCE_FILE, named.alias("cell")).select(
+        S.SOURCE_FILE, "cell.column", "cell.unreadable"
+    ).where("unreadable > 0")
+
+
 def read_parquet(
     spark: SparkSession, path: str | list[str], schema: StructType | None = None
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlake import sources as io
@@ -24,6 +24,46 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_csv(spark, path)
 
 
+@checked(
+    sql(
+        """SELECT CAST(count(*) FILTER (l_linenumber = 1) AS BIGINT) AS keys,
+                  CAST(count(*) FILTER (l_linenumber = 2 AND Impressions IS NOT NULL) AS BIGINT)
+                    AS impressions,
+                  CAST(count(*) FILTER (l_linenumber = 3 AND Clicks IS NOT NULL) AS BIGINT)
+                    AS clicks
+           FROM campaigns"""
+    )
+)
+def scan_csv_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters in keys, thousands commas and decimals in whole numbers, counted."""
+    rows = feed.campaigns(spark, sf_dir)
+    line = F.col("l_linenumber")
+    dirty = {
+        "Campaign_ID": F.when(line == 1, F.lit("x1")),
+        "Impressions": F.when(
+            (line == 2) & F.col("Impressions").isNotNull(), F.lit("1,000")
+        ),
+        "Clicks": F.when(
+            (line == 3) & F.col("Clicks").isNotNull(), F.concat(F.col("Clicks"), F.lit(".0"))
+        ),
+    }
+    mixed = rows.withColumns(
+        {name: F.coalesce(value, F.col(name).cast("string")) for name, value in dirty.items()}
+    )
+    path = io.shared_dir(spark, "scan_csv_dirty")
+    write_csv(mixed.select(*BUSINESS), path)
+    found = io.unreadable_cells(spark, path)
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("column") == name, F.col("unreadable"))), F.lit(0))
+
+    return found.agg(
+        total("Campaign_ID").alias("keys"),
+        total("Impressions").alias("impressions"),
+        total("Clicks").alias("clicks"),
+    )
+
+
 @checked(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
               l_extendedprice, l_returnflag FROM lineitem"""
