@@ -1,11 +1,11 @@
 """SimHash near-duplicates, linked through a forest of vantage-point trees.
 
-A fingerprint is cut into blocks of 21 or 22 bits, three to a 64-bit word, and each
-block has a tree of its own that splits by Hamming distance over that block. Two
-64-bit fingerprints that differ in at most ``3 * (r + 1) - 1`` bits differ in at most
-``r`` bits of some block, so visiting every leaf that a ball of radius ``r`` overlaps
-finds every such pair. One tree over all 64 bits would prune next to nothing: random
-fingerprints lie 32 +- 4 bits from any vantage point, as wide as the ball searched for.
+Each 64-bit word of a fingerprint is cut into blocks, and each block has a tree of its
+own that splits by Hamming distance over that block. Two 64-bit fingerprints that differ
+in at most ``blocks * (r + 1) - 1`` bits differ in at most ``r`` bits of some block, so
+visiting every leaf that a ball of radius ``r`` overlaps finds every such pair. One tree
+over all 64 bits would prune next to nothing: random fingerprints lie 32 +- 4 bits from
+any vantage point, as wide as the ball searched for.
 """
 
 from __future__ import annotations
@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 from adlake.llm.common import ship, stored
 from adlake.llm.components import connected_components
 
-#: Low bit and width of the blocks of a 64-bit word.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-
 #: Fingerprints the trees are built from, a bounded sample by hash order.
 SAMPLE = 1 << 15
 
@@ -157,13 +154,15 @@ def _leaves(tree, values: np.ndarray, at: np.ndarray, home: np.ndarray, radius:
         yield from _leaves(child, values, at[reached], (home & inside)[reached], radius)
 
 
-def _block(words: np.ndarray, tree: int) -> np.ndarray:
-    low, width = BLOCKS[tree % 3]
-    return (words[:, tree // 3] >> np.uint64(low)) & np.uint64((1 << width) - 1)
+def _block(words: np.ndarray, tree: int, blocks: int) -> np.ndarray:
+    """What tree ``tree`` sees: one of ``blocks`` blocks of a word, near equal in width."""
+    word, block = divmod(tree, blocks)
+    low, high = 64 * block // blocks, 64 * (block + 1) // blocks
+    return (words[:, word] >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
 
 
 def _route(
-    batches: Iterator[pa.RecordBatch], forest: list, radius: int
+    batches: Iterator[pa.RecordBatch], forest: list, blocks: int, radius: int
 ) -> Iterator[pa.RecordBatch]:
     """Rows per cell of the leaves. ``side`` 1 is compared with side 2; 3 is on both."""
     for batch in batches:
@@ -172,7 +171,7 @@ def _route(
             continue
         mixed = _mixed(words[:, 0], 7)
         for number, tree in enumerate(forest):
-            values = _block(words, number)
+            values = _block(words, number, blocks)
             lived = np.zeros(len(words), bool)
             for (first, splits), at, home in _leaves(
                 tree, values, np.arange(len(words)), np.ones(len(words), bool), radius
@@ -208,7 +207,7 @@ def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(data), ">u8").astype(np.uint64).reshape(len(data), -1)
 
 
-def _link(cell: pa.Table, trees: int, radius: int, distance: int) -> pa.Table:
+def _link(cell: pa.Table, trees: int, blocks: int, radius: int, distance: int) -> pa.Table:
     """Of every linked set within a cell, each member but the smallest with the smallest.
 
     Compares block values first and whole fingerprints only where those are near. Rows
@@ -219,7 +218,7 @@ def _link(cell: pa.Table, trees: int, radius: int, distance: int) -> pa.Table:
     ids = cell.column("id").to_pylist()
     prints = cell.column("print").to_pylist()
     side = cell.column("side").to_numpy()
-    values = _block(words, number).astype(np.uint32)
+    values = _block(words, number, blocks).astype(np.uint32)
     left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
     parent = np.arange(len(words))
 
@@ -265,28 +264,30 @@ def _link(cell: pa.Table, trees: int, radius: int, distance: int) -> pa.Table:
     )
 
 
-def links(nodes: DataFrame, bits: int, distance: int, radius: int) -> DataFrame:
+def links(
+    nodes: DataFrame, bits: int, distance: int, blocks: int, radius: int
+) -> DataFrame:
     """Edges ``a``, ``b`` that connect all fingerprints within ``distance`` bits of each
     other which the forest brings together; ``nodes`` has distinct ``print`` with ``id``.
     """
     total = nodes.count()
     sample = nodes.select("print").orderBy(F.xxhash64("print", F.lit(7)), "print").limit(SAMPLE).collect()
     words = _words(pa.array([bytes(row[0]) for row in sample], pa.binary()))
-    trees = 3 * (bits // 64)
+    trees = blocks * (bits // 64)
     rng, forest, first = np.random.default_rng(11), [], 0
     depth = max(0, int(np.ceil(np.log2(max(1, total) / LEAF))))
     for number in range(trees):
         grown = 1.0
         if len(words):
-            grown = _grow(_block(words, number), radius, depth, rng, 1.0)
+            grown = _grow(_block(words, number, blocks), radius, depth, rng, 1.0)
         tree, first = _number(grown, total, first)
         forest.append(tree)
     routed = nodes.select("id", "print").mapInArrow(
-        partial(_route, forest=forest, radius=radius), "cell long, side int, id long, print binary"
+        partial(_route, forest=forest, blocks=blocks, radius=radius), "cell long, side int, id long, print binary"
     )
 
     def link(cell: pa.Table) -> pa.Table:
-        return _link(cell, trees, radius, distance)
+        return _link(cell, trees, blocks, radius, distance)
 
     found = routed.groupBy("cell").applyInArrow(
         link, "a_id long, a_print binary, b_id long, b_print binary"
@@ -304,14 +305,15 @@ def near_duplicates(
     size: int = 4,
     bits: int = 64,
     distance: int = 4,
+    blocks: int = 3,
     radius: int = 1,
 ) -> DataFrame:
     """``id``, ``of_text``, ``print`` and ``component`` (the smallest id reachable over
     links) of every row of ``docs``.
 
     Fingerprints of ``size``-word shingles link at ``distance`` differing bits or less.
-    With ``bits`` 64 and ``distance`` up to ``3 * radius + 2`` no link is lost; with
-    more words a pair is found if any of its blocks differs in ``radius`` bits or less.
+    With ``bits`` 64 and ``distance`` below ``blocks * (radius + 1)`` no link is lost;
+    with more words a pair is found if any block differs in ``radius`` bits or less.
     Null and wordless texts have fingerprint zero and link like any other. Null ids
     count as the smallest; equal texts share a fingerprint and are compared once;
     repeated rows come out once each; an empty table gives no rows. Leaves that grow
@@ -319,7 +321,7 @@ def near_duplicates(
     """
     marked = stored(fingerprints(docs, id, text, size, bits), "prints")
     nodes = stored(marked.groupBy("print").agg(F.min("id").alias("id")), "nodes")
-    linked = connected_components(links(nodes, bits, distance, radius))
+    linked = connected_components(links(nodes, bits, distance, blocks, radius))
     roots = stored(
         linked.select(F.col("node.print").alias("print"), F.col("root.id").alias("root_id"), F.col("root.print").alias("root_print")),
         "roots",
@@ -342,22 +344,28 @@ def one_of_each(
     size: int = 5,
     bits: int = 512,
     distance: int = 88,
-    radius: int = 1,
+    blocks: int = 5,
+    radius: int = 0,
 ) -> DataFrame:
     """``docs`` with only the smallest id of every group of near-duplicates.
 
     Five-word shingles of similarity 0.8 point in directions 27 degrees apart, which
-    ``bits`` 512 measures as 78 +- 8 differing bits. Equal rows are one document.
+    ``bits`` 512 measures as 78 +- 8 differing bits. Of its 40 blocks of 13 bits one is
+    equal in 99 of 100 such pairs; within radius 0 no ball crosses a boundary, so every
+    fingerprint lies in one leaf of a tree. Equal rows are one document.
     """
-    marked = stored(near_duplicates(docs, id, text, size, bits, distance, radius), "marked")
+    marked = stored(near_duplicates(docs, id, text, size, bits, distance, blocks, radius), "marked")
     first = F.col("id").eqNullSafe(F.col("component")) & (F.col("print") == F.col("root_print"))
     gone = stored(marked.where(~first).select("id", "of_text").distinct(), "gone")
-    left = docs.withColumn("__of_text", F.xxhash64(text)).join(
-        gone.select(F.col("id").alias("__id"), F.col("of_text").alias("__of")),
-        F.col(id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__of_text") == F.col("__of")),
-        "left_anti",
+    rows = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+        F.col(id).cast("long").alias("row_id"),
+        F.xxhash64(text).alias("row_text"),
+    )
+    left = rows.join(
+        gone, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_text") == F.col("of_text")), "left_anti"
     )
     twice = marked.where(first).groupBy("component", "root_print").count().where("count > 1")
     if not twice.isEmpty():
-        left = left.dropDuplicates([id, "__of_text"])
-    return left.select(*[F.col(f"`{name}`") for name in docs.columns])
+        left = left.dropDuplicates(["row_id", "row_text"])
+    return left.select("row.*")
