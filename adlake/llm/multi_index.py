@@ -25,7 +25,8 @@ from adlake.llm.common import partitions, ship, stored
 BITS = 256
 PART = 16
 
-#: Vectors the rotations and the radius are fitted on, a bounded sample by hash order.
+#: Vectors the rotations and the radius are fitted on, a bounded sample by hash: up to
+#: twice as many.
 SAMPLE = 4096
 
 #: Share of the sample's nearest neighbours that must lie within the radius.
@@ -194,7 +195,9 @@ def nearest(
         return spark.createDataFrame([], out).selectExpr("query_id", "0 AS rank", "vec_id", "score")
     fits = F.size("vector") == length["size"]
     rows, asked, total = rows.where(fits), asked.where(fits), length["count"]
-    sample = rows.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE).select("vector").collect()
+    # One in so many by hash, so that tasks send no more than their share of the sample.
+    drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, total // SAMPLE))) == 0
+    sample = rows.where(drawn).orderBy("id").select("vector").collect()
     book = fit(np.array([row["vector"] for row in sample], np.float64), k)
     coded = partial(_codes, book=book)
     schema = "id long, vector binary, code binary"

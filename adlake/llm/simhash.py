@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from adlake.llm.common import ship, stored
 from adlake.llm.components import connected_components
 
-#: Fingerprints the trees are built from, a bounded sample by hash order.
+#: Fingerprints the trees are built from, a bounded sample by hash: up to twice as many.
 SAMPLE = 1 << 15
 
 #: Fingerprints aimed at per leaf, and the most that one task compares with others.
@@ -271,7 +271,10 @@ def links(
     other which the forest brings together; ``nodes`` has distinct ``print`` with ``id``.
     """
     total = nodes.count()
-    sample = nodes.select("print").orderBy(F.xxhash64("print", F.lit(7)), "print").limit(SAMPLE).collect()
+    # One in so many by hash, so that tasks send no more than their share of the sample.
+    one_in = max(1, total // SAMPLE)
+    drawn = F.pmod(F.xxhash64("print", F.lit(7)), F.lit(one_in)) == 0
+    sample = nodes.where(drawn).select("print").orderBy("print").collect()
     words = _words(pa.array([bytes(row[0]) for row in sample], pa.binary()))
     trees = blocks * (bits // 64)
     rng, forest, first = np.random.default_rng(11), [], 0
