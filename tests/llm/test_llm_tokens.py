@@ -154,7 +154,7 @@ def test_scores_against_brute_force(spark, sf_dir):
 def test_probabilities_sum_to_one(spark, sf_dir):
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
     model = pitman_yor.learn(texts)
-    sums = sum(10 ** model.known(row.asDict()) for row in model.words.collect())
+    sums = (10 ** model.known(model.words.toArrow())).sum(0)
     assert sums + 10 ** model.unknown() == pytest.approx(np.ones(pitman_yor.CLASSES + 1), rel=1e-6)
 
 
