@@ -1,9 +1,9 @@
 """Timings at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``, as one JSON line.
 
 ``queries`` holds the headline queries from raw rows (median of three runs) and,
-as ``step_*``, the stages of one run over stored layers: raw CSV to bronze,
-profile, silver, filter, metrics, gold, an increment that brings nothing new,
-and validation. Every result is computed in full and thrown away.
+as ``step_*``, the stages of one run over stored layers: schema by inference, raw CSV
+to bronze, profile, silver, filter, metrics, gold, an increment that brings nothing new
+and one that brings only new keys, and validation; ``full_run`` is all of them at once. Every result is computed in full and thrown away.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from adlake import sources as io
-from adlake.plans import run_increment, stages
+from adlake.plans import run_full, run_increment, stages
 from adlake.sources import Lake
 from checks import QUERIES, feed
 from checks.feed import BUSINESS, SPEC, TIE_BREAK
@@ -70,7 +71,17 @@ def steps(spark: SparkSession, sf_dir: str) -> dict[str, float]:
         later = run_ts + timedelta(hours=1)
         run_increment(spark, raw(), f"{root}/lake", SPEC, later)
 
+    def new_rows() -> None:
+        batch = raw().withColumn("Campaign_ID", -F.col("Campaign_ID") - 1)
+        run_increment(spark, batch, f"{root}/lake", SPEC, run_ts + timedelta(hours=2))
+
+    def whole() -> None:
+        made = run_full(spark, f"{root}/raw", f"{root}/other", SPEC, run_ts)
+        for name in ("schema", "unreadable", "profile_distinct_counts", "validation"):
+            compute(made[name])
+
     work: dict[str, Callable[[], object]] = {
+        "step_schema": lambda: compute(stages.explore_schema(lake, f"{root}/raw", SPEC)),
         "step_bronze": lambda: stages.ingest(lake, f"{root}/raw", run_ts, SPEC),
         "step_profile": reports,
         "step_silver": lambda: stages.refine(lake, run_ts, SPEC),
@@ -78,7 +89,9 @@ def steps(spark: SparkSession, sf_dir: str) -> dict[str, float]:
         "step_metrics": lambda: stages.measure(lake, run_ts, SPEC),
         "step_gold": lambda: stages.summarise(lake, run_ts, SPEC),
         "step_increment_nothing_new": nothing_new,
+        "step_increment_new_rows": new_rows,
         "step_validate": lambda: compute(stages.validate_gold(lake, SPEC)),
+        "full_run": whole,
     }
     return {name: timed(step) for name, step in work.items()}
 
