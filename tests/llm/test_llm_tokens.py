@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import DOCS, clashing, docs
 
@@ -158,6 +159,46 @@ def test_probabilities_sum_to_one(spark, sf_dir):
     assert sums + 10 ** model.unknown() == pytest.approx(np.ones(pitman_yor.CLASSES + 1), rel=1e-6)
 
 
+def mean_tables(count, weight, d):
+    """Expected tables of a dish, from generalised Stirling numbers."""
+    tables = np.arange(count + 2)
+    ways = np.where(tables == 1, 0.0, -np.inf)
+    for seated in range(1, count):
+        stay = ways + np.log(np.maximum(seated - d * tables, 1e-300))
+        ways = np.logaddexp(stay, np.concatenate(([-np.inf], ways[:-1])))
+    p = ways + tables * np.log(weight)
+    p = np.exp(p - p.max())
+    return (p * tables).sum() / p.sum()
+
+
+@pytest.mark.parametrize("one_by_one", [1, 1 << 20])
+@pytest.mark.parametrize(("count", "weight", "d"), [(40, 3.0, 0.6), (400, 60.0, 0.8)])
+def test_seatings_follow_their_distribution(monkeypatch, one_by_one, count, weight, d):
+    monkeypatch.setattr(pitman_yor, "ONE_BY_ONE", one_by_one)
+    draw, rng = random.Random(1).random, np.random.default_rng(1)
+    sizes, seen = [count], []
+    for sweep in range(800):
+        pitman_yor.reseat(sizes, weight, d, draw, rng)
+        assert sum(sizes) == count and min(sizes) > 0
+        seen += [len(sizes)] if sweep >= 50 else []
+    assert np.mean(seen) == pytest.approx(mean_tables(count, weight, d), rel=0.04)
+
+
+def test_a_sweep_moves_all_customers_of_a_frequent_word():
+    count, room = 1_000_000, np.array([2000.0, 0.0])
+    seating = pitman_yor.Seating(
+        0.5, 0.5, np.array([2e6, 0.0]), (room - pitman_yor.THETA) / 0.5, 4000, 2000, 100
+    )
+    row = [[b"hot"], [count], [[0]], [[count]], [[[count]]], [[2000]], [[0.0]], [[]]]
+    kinds = [pa.binary(), pa.int64(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.list_(pa.int64()))]
+    kinds += [pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 2]
+    names = [column.split()[0] for column in pitman_yor.STATE.split(", ")]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
+    (after,) = pitman_yor._sweep(iter([batch]), seating, 1, start=False, keep=False, move=True)
+    sizes = after.column(4)[0].as_py()[0]
+    assert sum(sizes) == count and len(sizes) > 100
+
+
 def test_contexts_follow_markers():
     found = pitman_yor.contexts([b"x", b"the", b"y", b"der", b""], {b"the": 1, b"der": 2})
     assert found.tolist() == [0, 0, 1, 1, 2]
