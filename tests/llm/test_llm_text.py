@@ -135,6 +135,30 @@ def test_one_of_each_group_stays(spark):
     assert simhash.one_of_each(docs(spark, [])).count() == 0
 
 
+def test_groups_are_those_of_exact_similarity(spark, monkeypatch):
+    """Pairs just at 0.8 and just below, one group dealt out in parts, and repeats."""
+    monkeypatch.setattr(simhash, "FAMILY", 3)
+
+    def text(name, n, cut=0):
+        return " ".join([*(f"{name}w{i}" for i in range(n)), *(f"{name}x{cut}y{i}" for i in range(cut))])
+
+    rows = []
+    for pair in range(40):  # 100 shared shingles: of 125 in all, or of 127
+        name, more = f"p{pair}", 25 if pair % 2 else 27
+        rows.append((2 * pair, text(name, 104), "en", "a", 1))
+        rows.append((2 * pair + 1, text(name, 104, more), "en", "a", 1))
+    rows += [(200 + i, text("same", 300, i), "en", "a", 1) for i in range(12)]
+    # The same set but for few shingles, one of them repeated very often.
+    rows += [(300, text("r", 200), "en", "a", 1), (301, text("r", 200) + " again" * 2000, "en", "a", 1)]
+    kept = {row.doc_id for row in simhash.one_of_each(docs(spark, rows)).collect()}
+    grams = {i: set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for i, t, *_ in rows}
+    alone = {
+        i for i in grams
+        if not any(j < i and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) for j in grams)
+    }
+    assert kept == alone and 1 in kept and 3 not in kept
+
+
 def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 400)] + [(500, 500)]
     found = dict(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
