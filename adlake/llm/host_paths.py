@@ -59,7 +59,8 @@ ENDED_BY = {
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({UNREAD.replace(' ', '|')})\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<(?:{UNREAD.replace(' ', '|')})(?:/|\s[^>]*+(?<=[\s\"']/))>"
+    rf"|<({UNREAD.replace(' ', '|')})(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/a-zA-Z][^>]*+>",
     re.S | re.I,
@@ -74,13 +75,20 @@ class Page:
     def __init__(self, text: str):
         self.paths = [""]
         self.parents = [-1]
-        self.dropped = [False]
         self.inside = [False]
+        #: What may be furniture: the one around each, whether it is for certain.
+        self.around = [0]
+        self.certain = [False]
+        self.marked = [0]  # the innermost one around each container
+        self.articles: list[int] = []
         self.blocks: list[tuple[int, str, int]] = []
-        self._parse(text)
+        found = self._parse(text)
+        furniture = self._furniture(found)
+        self.blocks = [(node, block, linked) for node, block, linked, mark in found if not furniture[mark]]
 
-    def _parse(self, text: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    def _parse(self, text: str) -> list[tuple[int, str, int, int]]:
+        stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        found: list[tuple[int, str, int, int]] = []
         parts: list[str] = []
         linked = [0, 0]  # open links, and characters in links
 
@@ -91,11 +99,11 @@ class Page:
                     linked[1] += len(piece)
 
         def flush() -> None:
-            _, node, dropped = stack[-1]
-            if parts and not dropped:
+            _, node, mark = stack[-1]
+            if parts and not self.certain[mark]:
                 block = " ".join(entities.unescape("".join(parts)).split())
                 if block:
-                    self.blocks.append((node, block, min(linked[1], len(block))))
+                    found.append((node, block, min(linked[1], len(block)), mark))
             parts.clear()
             linked[1] = 0
 
@@ -131,19 +139,52 @@ class Page:
             stack.append(self._open(name, match[4], stack[-1]))
         add(text[at:])
         flush()
-
-    def _open(self, name: str, attributes: str, above: tuple[str, int, bool]) -> tuple[str, int, bool]:
-        _, node, dropped = above
+        return found
+
+    def _furniture(self, found: list[tuple[int, str, int, int]]) -> list[bool]:
+        """Of each that may be furniture, whether it is: not if no article is outside of
+        all of them, and it holds the page's longest one or most of the unlinked text."""
+        top = list(range(len(self.paths)))
+        article = set(self.articles)
+        for node in range(1, len(top)):
+            if node not in article:
+                top[node] = top[self.parents[node]]
+        weight, held = [0] * len(self.around), dict.fromkeys(self.articles, 0)
+        for node, block, linked, mark in found:
+            weight[mark] += len(block) - linked
+            if top[node] in held:
+                if not mark:
+                    return [False, *[True] * (len(weight) - 1)]
+                if mark == self.marked[top[node]]:
+                    held[top[node]] += len(block) - linked
+        for mark in range(len(weight) - 1, 0, -1):
+            weight[self.around[mark]] += weight[mark]
+        furniture = [
+            mark > 0 and (self.certain[mark] or not weight[mark] or weight[mark] < HOLDS * weight[0])
+            for mark in range(len(weight))
+        ]
+        best = max(held, key=lambda node: (held[node], -node), default=0)
+        mark = self.marked[best] if held.get(best) else 0
+        while mark:
+            furniture[mark] = False
+            mark = self.around[mark]
+        for mark in range(1, len(weight)):
+            furniture[mark] = furniture[mark] or furniture[self.around[mark]]
+        return furniture
+
+    def _open(self, name: str, attributes: str, above: tuple[str, int, int]) -> tuple[str, int, int]:
+        _, node, mark = above
         found = {
             key.lower(): a or b or c for key, a, b, c in _ATTRIBUTE.findall(attributes or "")
         }
         named = f"{found.get('class', '')} {found.get('id', '')}"
         marks = {word.lower() for word in _WORD.findall(named)} if named.strip() else set()
         in_article = self.inside[node]
+        certain = name in FURNITURE - {"form"} or found.get("role", "").lower() in ROLES
         furniture = (
-            name in FURNITURE
+            certain
+            or name == "form"
             or (not in_article and (name == "header" or "header" in marks))
-            or found.get("role", "").lower() in ROLES
             or not marks.isdisjoint(MARKS)
         )
         # What encloses the whole page, or is the article itself, isn't furniture.
@@ -151,18 +192,23 @@ class Page:
             name == "article" and not marks.isdisjoint(("comment", "comments", "reply", "ad", "ads"))
         ):
             furniture = False
-        dropped = dropped or furniture
+        if furniture:
+            self.around.append(mark)
+            self.certain.append(certain or self.certain[mark])
+            mark = len(self.around) - 1
         if name in CONTAINERS:
             kinds = sorted({re.sub(r"\d+", "#", kind.lower()) for kind in found.get("class", "").split()})
             step = ".".join([name, *kinds])
             self.paths.append(f"{self.paths[node]}>{step}" if self.paths[node] else step)
             self.parents.append(node)
-            self.dropped.append(dropped)
             self.inside.append(
                 in_article or name in ("article", "main") or found.get("role", "").lower() == "main"
             )
+            self.marked.append(mark)
             node = len(self.paths) - 1
-        return name, node, dropped
+            if self.inside[node] and not in_article and not furniture:
+                self.articles.append(node)
+        return name, node, mark
 
     def proposal(self) -> tuple[str, int] | None:
         """Path of the container that seems to hold the article, and its characters

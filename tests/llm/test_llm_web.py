@@ -93,6 +93,26 @@ def test_page_query_keeps_articles(spark, sf_dir):
         assert "<p>" not in row.text and "&middot;" not in row.text
 
 
+BODY = "<p>A sentence of the article that goes on for a while."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='content with-sidebar'><article>{BODY}</article><div class='sidebar'>x</div></div>",
+        f"<form id='aspnetForm'><div class='nav'><p>x</div><main>{BODY}</main></form>",
+        f"<div class='layout-sidebar-right'><div class='post'>{BODY}</div><div class='sidebar'>x</div></div>",
+        f"<svg class='i'/><article>{BODY}</article>",
+        f"<article><svg/>{BODY}</article><svg><path d='M0'/></svg><p>x",
+        f"<button-group></button-group><article>{BODY}</article><button>b</button>",
+        f"<article>{BODY}</article><div class='comments'><article>" + "<p>More was said. " * 9 + "</article></div>",
+    ],
+)
+def test_articles_in_marked_containers_and_after_empty_elements_stay(page):
+    page = host_paths.Page(f"<html><body>{page}</body></html>")
+    assert page.text([page.proposal()[0]]) == BODY.removeprefix("<p>")
+
+
 def test_deep_and_broken_pages_are_read():
     deep = "<div>" * 5000 + "<p>text" + "</span>" * 10
     page = host_paths.Page(deep)
