@@ -7,6 +7,7 @@ from adlake.llm import (  # noqa: F401
     token_queries,
     vector_queries,
     web_queries,
+    word_queries,
 )
 from adlake.llm.registry import ORACLES, QUERIES
 
