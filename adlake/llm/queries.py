@@ -3,6 +3,7 @@
 from adlake.llm import (  # noqa: F401
     dedup_queries,
     model_queries,
+    negative_queries,
     text_queries,
     token_queries,
     vector_queries,
