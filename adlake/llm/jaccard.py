@@ -37,6 +37,10 @@ from adlake.llm.components import connected_components
 #: Ids that may be broadcast, of 8 bytes each; beyond, tables are joined by shuffle.
 BROADCAST = 1 << 20
 
+#: What an entry that leaves out a member costs, in members compared: it is written,
+#: shuffled twice and grouped.
+ENTRY = 4
+
 MARKED = "id long, n long, low long, high long, band int, keys array<long>"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -63,10 +67,11 @@ def members(text: str | None, size: int) -> np.ndarray:
     if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], np.uint64)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    shingle = np.zeros(len(words) - size + 1, np.uint64)
+    count = len(words) - size + 1
+    shingle = np.zeros(count, np.uint64)
     for k in range(size):
-        shingle = mixed(shingle ^ hashes[k : k + len(shingle)])
-    return np.unique(shingle)
+        shingle = shingle * _MORE + hashes[k : k + count]
+    return np.unique(mixed(shingle))
 
 
 class Bands:
@@ -97,7 +102,8 @@ class Bands:
 
 
 def _segment(own: np.ndarray, count: int) -> np.ndarray:
-    return ((own >> np.uint64(33)) % np.uint64(count)).astype(np.int64)
+    """Equal ranges of numbers, so that sorted members are in the order of segments."""
+    return ((own >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
 def _name(sums: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -110,10 +116,8 @@ def segment_keys(own: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     count = bands.segments(band)
     if not count:
         return np.empty(0, np.int64)
-    at = _segment(own, count)
-    order = np.argsort(at, kind="stable")
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own[order]))])
-    edges = np.searchsorted(at[order], np.arange(count + 1))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own))])
+    edges = np.searchsorted(_segment(own, count), np.arange(count + 1))
     places = (np.int64(band) << 32) + np.arange(count)
     return _name(sums[edges[1:]] - sums[edges[:-1]], places)
 
@@ -140,7 +144,7 @@ def _mark(batches: Iterator[pa.RecordBatch], size: int, part: int, whole: int) -
             if not len(own):
                 rows.append((0, 0, 0, -1, []))
                 continue
-            low, high = mixed(own).sum(dtype=np.uint64), mixed(own ^ _MIX).sum(dtype=np.uint64)
+            low, high = own.sum(dtype=np.uint64), (own * (own | np.uint64(1))).sum(dtype=np.uint64)
             band = bands.of(len(own))
             keys = segment_keys(own, band, bands)
             if band:
@@ -250,8 +254,7 @@ def _across(rows: DataFrame, keys: DataFrame, part: int, whole: int) -> DataFram
 
 
 def _segments(marked: DataFrame, part: int, whole: int, price: float) -> tuple[DataFrame, DataFrame]:
-    """Bands with their number of segments, and what entries for two segments would cost
-    in terms of pairs compared."""
+    """Bands with their number of segments, and with the sets and members they hold."""
     top = marked.agg(F.max("band")).first()[0]
     bands = Bands(part, whole)
     spark = marked.sparkSession
@@ -263,32 +266,41 @@ def _segments(marked: DataFrame, part: int, whole: int, price: float) -> tuple[D
         .groupBy("band")
         .agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("held"))
     )
-    cost = (F.col("sets") + 2 * F.col("held") / F.col("segments")) / (2 * F.col("held") / F.col("sets"))
-    return counts, counts.join(held, "band").select("band", "segments", (cost * price).alias("cost"))
+    return counts, counts.join(held, "band").select("band", "segments", "sets", "held", F.lit(price).alias("price"))
 
 
-def _allocate(crossing: DataFrame, costs: DataFrame) -> DataFrame:
+def _allocate(crossing: DataFrame, held: DataFrame) -> DataFrame:
     """``band``, ``first`` and ``second`` of segments to be taken together.
 
-    Segments of a band are ordered by the unlinked pairs they still hold and taken two by
-    two, so that where their number is odd the one with the fewest stays alone. Two are
-    taken together if their pairs outweigh the entries."""
+    Segments of a band are ordered by the unlinked pairs they still hold, and the first
+    ``2 * r`` of them are taken together two by two. A pair of sets is mostly met in many
+    segments but compared once, so what is left to compare is about what the next segment
+    holds; against it stand reading the band again and ``r`` times the entries of two
+    segments. ``r`` is the number that costs least, in members of sets handled.
+    """
     of_band = Window.partitionBy("band").orderBy(F.desc("crossing"), "segment")
-    every = costs.select("band", "cost", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment"))
+    every = held.select("*", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment"))
     ranked = (
         every.join(crossing, ["band", "segment"], "left")
         .withColumn("crossing", F.coalesce("crossing", F.lit(0).cast("long")))
-        .withColumn("pair", F.floor((F.row_number().over(of_band) - 1) / 2))
+        .withColumn("place", F.row_number().over(of_band) - 1)
     )
+    paired = F.floor(F.col("place") / 2)
+    entries = ENTRY * (F.col("sets") + 2 * F.col("held") / F.col("segments"))
+    spent = F.when(paired > 0, F.col("price") * (F.col("held") + paired * entries)).otherwise(0.0)
+    compared = F.col("crossing") * 2 * F.col("held") / F.col("sets")
+    # In an even place 2 * r the row tells what r costs; past the last segment nothing is left.
+    all_paired = F.col("price") * (F.col("held") + F.floor(F.col("segments") / 2) * entries)
+    choices = ranked.where("place % 2 = 0").select("band", paired.alias("pairs"), (spent + compared).alias("cost"))
+    choices = choices.unionByName(
+        held.where("segments % 2 = 0").select("band", F.floor(F.col("segments") / 2).alias("pairs"), all_paired.alias("cost"))
+    )
+    chosen = choices.groupBy("band").agg(F.min(F.struct("cost", "pairs")).alias("least"))
     return (
-        ranked.groupBy("band", "pair")
-        .agg(
-            F.min("segment").alias("first"),
-            F.max("segment").alias("second"),
-            F.sum("crossing").alias("crossing"),
-            F.max("cost").alias("cost"),
-        )
-        .where("first < second AND crossing > cost")
+        ranked.join(chosen, "band")
+        .where(paired < F.col("least.pairs"))
+        .groupBy("band", paired.alias("pair"))
+        .agg(F.min("segment").alias("first"), F.max("segment").alias("second"))
         .select("band", "first", "second")
     )
 
@@ -325,7 +337,7 @@ def near_duplicates(
     same = copies.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
 
     # One row for each set and segment. The keys of the own band come first.
-    counts, costs = _segments(known.select("band", "n"), part, whole, price)
+    counts, held = _segments(known.select("band", "n"), part, whole, price)
     sets = known.join(_small(copies.select("id", "n", "low", "high")), ["id", "n", "low", "high"], "left_anti")
     entries = sets.select("id", "n", "band", F.posexplode("keys").alias("at", "key"))
     shared = entries.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last"))
@@ -356,7 +368,7 @@ def near_duplicates(
     )
     where = stored(where, "places")
     crossing = where.groupBy("band", "segment").agg(F.sum("crossing").alias("crossing"))
-    together = stored(_allocate(crossing, costs), "together")
+    together = stored(_allocate(crossing, held), "together")
     either = together.select("band", F.explode(F.array("first", "second")).alias("segment"))
     single = where.join(either, ["band", "segment"], "left_anti")
     pairs = _across(rows, single, part, whole)
