@@ -15,15 +15,19 @@ being alike, and that is counted: after one round over single segments, those th
 hold unlinked pairs are ranked, and two by two get the entries of their union if these
 are fewer than the members to be compared.
 
-No group of sets that share a segment is ever gathered. In the first round each set is
-compared with the smallest of those it shares one with; what that leaves unlinked is
-compared pair by pair, but only across the components found so far. Copies are one set.
+In the first round each set is compared with the smallest of those it shares a segment
+with. What that leaves unlinked is compared pair by pair, but only across the components
+found so far, and where many sets share a segment they are first held against each other
+by sketches, in parts of bounded size: the bits of a sketch are the parities of members
+by hash, so two sets differ in as many members as their sketches in bits, or more. Of the
+pairs that stand this, those that would connect components are compared word by word, and
+in the end all that still lie across components. Copies are one set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,16 @@ BROADCAST = 1 << 20
 #: shuffled twice and grouped.
 ENTRY = 4
 
-MARKED = "id long, n long, low long, high long, band int, keys array<long>"
+#: Bits of a sketch.
+BITS = 2048
+
+#: Sets that share a key and are joined pair by pair; more are compared by sketches, in
+#: parts of so many sets, and pairs of them held in memory at a time.
+FEW = 16
+PART = 4096
+PAIRS = 1 << 20
+
+MARKED = "id long, n long, low long, high long, band int, keys array<long>, sketch binary"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xBF58476D1CE4E5B9)
@@ -133,6 +146,12 @@ def deletion_keys(own: np.ndarray, band: int, first: int, second: int, bands: Ba
     return np.unique(_name(sums, np.full(len(sums), (band << 32) + (1 << 31) + first)))
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of the members by hash."""
+    odd = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def _mark(batches: Iterator[pa.RecordBatch], size: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
     """Documents with the size and a 128-bit sum of their set, and its segment keys: those
     of its own band first, then those of the band below."""
@@ -142,19 +161,19 @@ def _mark(batches: Iterator[pa.RecordBatch], size: int, part: int, whole: int) -
         for text in batch.column(1).to_pylist():
             own = members(text, size)
             if not len(own):
-                rows.append((0, 0, 0, -1, []))
+                rows.append((0, 0, 0, -1, [], None))
                 continue
             low, high = own.sum(dtype=np.uint64), (own * (own | np.uint64(1))).sum(dtype=np.uint64)
             band = bands.of(len(own))
             keys = segment_keys(own, band, bands)
             if band:
                 keys = np.concatenate([keys, segment_keys(own, band - 1, bands)])
-            rows.append((len(own), int(low.view(np.int64)), int(high.view(np.int64)), band, keys))
+            rows.append((len(own), int(low.view(np.int64)), int(high.view(np.int64)), band, keys, sketch(own)))
         columns = list(zip(*rows, strict=True))
-        kinds = [pa.int64()] * 3 + [pa.int32(), pa.list_(pa.int64())]
+        kinds = [pa.int64()] * 3 + [pa.int32(), pa.list_(pa.int64()), pa.binary()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True))],
-            ["id", "n", "low", "high", "band", "keys"],
+            ["id", "n", "low", "high", "band", "keys", "sketch"],
         )
 
 
@@ -228,7 +247,7 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _unsettled(rows: DataFrame) -> DataFrame:
     """Keys whose rows (``key``, ``id``, ``root``) lie in several components: ``key``,
-    ``most`` (the root with the most rows) and ``crossing``, the pairs of rows between
+    ``total``, ``most`` (the root with the most rows) and ``crossing``, the pairs of rows between
     components."""
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
     per_key = sizes.groupBy("key").agg(
@@ -237,7 +256,9 @@ def _unsettled(rows: DataFrame) -> DataFrame:
         F.max(F.struct("rows", "root")).alias("most"),
     )
     crossing = ((F.col("total") * F.col("total") - F.col("within")) / 2).cast("long")
-    return per_key.select("key", F.col("most.root").alias("most"), crossing.alias("crossing")).where("crossing > 0")
+    return per_key.select("key", "total", F.col("most.root").alias("most"), crossing.alias("crossing")).where(
+        "crossing > 0"
+    )
 
 
 def _across(rows: DataFrame, keys: DataFrame, part: int, whole: int) -> DataFrame:
@@ -253,6 +274,74 @@ def _across(rows: DataFrame, keys: DataFrame, part: int, whole: int) -> DataFram
     return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
+def _compare(cell: pa.Table, part: int, whole: int, spanning: bool) -> pa.Table:
+    """Pairs of a cell that lie in different components and that sketches don't rule out;
+    of those that are ``spanning``, only as many as connect what they connect."""
+    ids, n = cell.column("id").to_numpy(), cell.column("n").to_numpy()
+    roots, root = np.unique(cell.column("root").to_numpy(), return_inverse=True)
+    side = cell.column("side").to_numpy()
+    words = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), "<u8").reshape(len(ids), -1)
+    parent = np.arange(len(roots))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    found: list[tuple[int, int]] = []
+    stripe = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), stripe):
+        rows = left[at : at + stripe]
+        apart = np.zeros((len(rows), len(right)), np.int64)
+        for word in range(words.shape[1]):
+            apart += np.bitwise_count(words[rows, word][:, None] ^ words[right, word][None, :])
+        most = (whole - part) * (n[rows][:, None] + n[right][None, :]) // (whole + part)
+        i, j = np.nonzero((apart <= most) & (root[rows][:, None] != root[right][None, :]))
+        order = np.argsort(apart[i, j], kind="stable")
+        for x, y in zip(rows[i[order]].tolist(), right[j[order]].tolist(), strict=True):
+            if spanning:
+                a, b = top(root[x]), top(root[y])
+                if a == b:
+                    continue
+                parent[max(a, b)] = min(a, b)
+            found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _candidates(
+    rows: DataFrame, keys: DataFrame, sketches: DataFrame, part: int, whole: int, spanning: bool
+) -> DataFrame:
+    """Pairs of ``rows`` that share one of ``keys`` and lie in different components.
+
+    Sets of a crowded key are dealt out as pairs of parts, each of which is one cell."""
+    few = _across(rows, keys.where(F.col("total") <= FEW), part, whole)
+    splits = F.ceil(F.col("total") / PART)
+    crowded = rows.join(keys.where(F.col("total") > FEW).select("key", splits.alias("splits")), "key")
+    own, other = F.pmod(F.xxhash64("id"), F.col("splits")), F.col("other")
+    dealt = (
+        crowded.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
+        .select(
+            "key",
+            F.least(own, other).alias("one"),
+            F.greatest(own, other).alias("two"),
+            F.when(own == other, 3).when(own < other, 1).otherwise(2).alias("side"),
+            "id",
+            "n",
+            "root",
+        )
+        .join(sketches, "id")
+    )
+
+    def compare(cell: pa.Table) -> pa.Table:
+        return _compare(cell, part, whole, spanning)
+
+    met = dealt.groupBy("key", "one", "two").applyInArrow(compare, "a long, b long")
+    return few.unionByName(met).distinct()
+
+
 def _segments(marked: DataFrame, part: int, whole: int, price: float) -> tuple[DataFrame, DataFrame]:
     """Bands with their number of segments, and with the sets and members they hold."""
     top = marked.agg(F.max("band")).first()[0]
@@ -364,28 +453,39 @@ def near_duplicates(
         F.when(below, F.col("at") - F.col("segments")).otherwise(F.col("at")).alias("segment"),
     )
     where = placed.join(unsettled, "key").groupBy("key").agg(
-        F.min("band").alias("band"), F.min("segment").alias("segment"), F.min("crossing").alias("crossing"), F.min("most").alias("most")
+        F.min("band").alias("band"), F.min("segment").alias("segment"), F.min("crossing").alias("crossing")
     )
     where = stored(where, "places")
     crossing = where.groupBy("band", "segment").agg(F.sum("crossing").alias("crossing"))
     together = stored(_allocate(crossing, held), "together")
     either = together.select("band", F.explode(F.array("first", "second")).alias("segment"))
     single = where.join(either, ["band", "segment"], "left_anti")
-    pairs = _across(rows, single, part, whole)
+    crossed = [(rows.select("key", "id", "n"), single)]
     if not together.isEmpty():
-        pairs = pairs.unionByName(
-            _left_out(sets, texts, together, roots, size, part, whole)
-        ).distinct()
-    pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = stored(links.unionByName(_alike(pairs, texts, size, part, whole)), "links")
-    return _components(marked, connected_components(links))
+        crossed.append((stored(_left_out(sets, texts, together, size, part, whole), "left_out"), None))
+    sketches = sets.select("id", "sketch")
+    for spanning in (True, False):
+        found = []
+        for met, keys in crossed:
+            met = _labelled(met, roots)
+            among = met if keys is None else met.join(keys.select("key"), "key", "left_semi")
+            open_keys = stored(_unsettled(among), "unsettled")
+            found.append(_candidates(met, open_keys, sketches, part, whole, spanning))
+        pairs = reduce(DataFrame.unionByName, found)
+        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        links = stored(links.unionByName(_alike(pairs, texts, size, part, whole)), "links")
+        roots = connected_components(links)
+        tried = stored(tried.unionByName(pairs), "tried")
+    return _components(marked, roots)
 
 
 def _left_out(
-    sets: DataFrame, texts: DataFrame, together: DataFrame, roots: DataFrame, size: int, part: int, whole: int
+    sets: DataFrame, texts: DataFrame, together: DataFrame, size: int, part: int, whole: int
 ) -> DataFrame:
-    """Pairs across components that differ in one member at most in two segments which
-    are taken together."""
+    """``key``, ``id`` and ``n``: sets that share a key differ in one member at most in two
+    segments which are taken together."""
     per_band = together.groupBy("band").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))
     asked = sets.select("id", F.explode(F.array("band", F.col("band") - 1)).alias("band")).join(per_band, "band")
     keys = (
@@ -393,10 +493,9 @@ def _left_out(
         .select("id", "text", "band", "pairs")
         .mapInArrow(partial(_leave_out, size=size, part=part, whole=whole), "key long, id long, n long")
     )
-    keys = stored(keys, "left_out")
+    keys = stored(keys, "entries")
     shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last")
-    rows = _labelled(keys.join(shared.select("key"), "key", "left_semi"), roots)
-    return _across(rows, stored(_unsettled(rows), "unsettled"), part, whole)
+    return keys.join(shared.select("key"), "key", "left_semi")
 
 
 def _components(marked: DataFrame, roots: DataFrame) -> DataFrame:
