@@ -19,7 +19,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from adlake.plans import run_full, run_increment, stages
-from adlake.sources import Lake, overwrite, read_any, read_csv, read_report, with_lineage
+from adlake.sources import Lake, overwrite, quarantine_counts, read_any, read_report
 from adlake.streaming import run_stream
 
 
@@ -51,23 +51,31 @@ def show_all(report: DataFrame) -> None:
     report.unpersist()
 
 
+def refuse_corrupt(lake: Lake) -> None:
+    """End with an error if records lie in quarantine, after listing the worst files."""
+    found = quarantine_counts(stages.stored_bronze(lake)).orderBy("quarantined", ascending=False)
+    if not found.isEmpty():
+        found.show(20, truncate=False)
+        raise SystemExit("some records can't be read; see the quarantine")
+
+
 def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     spark = SparkSession.builder.appName(f"adlake-{args.command}").getOrCreate()
     if args.command == "full":
         made = run_full(spark, args.raw, args.root, metrics_mode=args.metrics)
         show_all(made["validation"])
-        lost = made["unreadable"].groupBy("column").sum("unreadable")
-        if not lost.isEmpty():
-            show_all(lost)
-            raise SystemExit("some cells can't be read as their column's type")
+        show_all(made["row_counts"])
+        refuse_corrupt(Lake(spark, args.root))
     elif args.command == "increment":
-        batch = with_lineage(read_csv(spark, args.raw))
+        batch = stages.raw_rows(Lake(spark, args.root), args.raw)
         show_all(run_increment(spark, batch, args.root, metrics_mode=args.metrics))
+        refuse_corrupt(Lake(spark, args.root))
     elif args.command == "stream":
         added = run_stream(spark, args.raw, args.root, metrics_mode=args.metrics)
         for layer, rows in added.items():
             print(f"{layer}: {rows} rows added")
+        refuse_corrupt(Lake(spark, args.root))
     elif args.command == "profile":
         for name, report in stages.profile_bronze(Lake(spark, args.root)).items():
             overwrite(report, f"{args.out}/{name}")

@@ -96,16 +96,21 @@ def typed_rows(df: DataFrame, spec: CampaignSpec = DEFAULT_SPEC) -> DataFrame:
 
 
 def clean(
-    df: DataFrame, spec: CampaignSpec = DEFAULT_SPEC, run_ts: datetime | None = None
+    df: DataFrame,
+    spec: CampaignSpec = DEFAULT_SPEC,
+    run_ts: datetime | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Silver rows: keyed, unique, typed, without missing measures.
 
     Null keys go before the dedupe, and parsing comes after it, so that only
-    surviving rows are parsed and no null group is ever shuffled.
+    surviving rows are parsed and no null group is ever shuffled. Rows whose keys are
+    known to be ``unique`` need no dedupe, and so no shuffle.
     """
-    keyed = drop_null_keys(df, spec.keys)
-    unique = first_per_key(keyed, spec.keys, dedupe_order(df, spec))
-    silver = typed_rows(unique, spec)
+    rows = drop_null_keys(df, spec.keys)
+    if not unique:
+        rows = first_per_key(rows, spec.keys, dedupe_order(df, spec))
+    silver = typed_rows(rows, spec)
     return silver if run_ts is None else stamp(silver, S.CLEANED_AT, run_ts)
 
 

@@ -125,9 +125,10 @@ def unseen_rows(
 
     ``batch`` (from :func:`measure_keys`) describes the keys of ``new``, or of
     rows that ``new`` was made from. Their bounds limit what is read of
-    ``existing``; if they are few, they are broadcast to cut it down further
-    where it is scanned, and no shuffle of the large side is left. Otherwise
-    both sides are shuffled once.
+    ``existing``; if they are few, they are broadcast to cut it down where it is
+    scanned, and the keys that are left, no more than those of the batch, are
+    broadcast in turn: neither side's rows are shuffled. Otherwise both sides are
+    shuffled once.
 
     ``salts`` > 1 splits every key of ``new`` over that many partitions, for a
     ``new`` in which one key may hold a large share; the keys of ``existing``
@@ -139,7 +140,8 @@ def unseen_rows(
     if batch is not None:
         seen = within_bounds(seen, keys, batch)
         if batch.few is not None:
-            seen = seen.join(F.broadcast(batch.few), keys, "left_semi")
+            met = seen.join(F.broadcast(batch.few), keys, "left_semi").distinct()
+            return new.join(F.broadcast(met), keys, "left_anti")
     seen = seen.distinct()
     if salts == 1:
         return new.join(seen, keys, "left_anti")
@@ -160,16 +162,22 @@ def new_rows(
 ) -> DataFrame:
     """Unseen keys of a batch, one row each.
 
-    The dedupe comes first and leaves the batch partitioned by key, so the anti
-    join adds no second shuffle of it, and no hot key reaches the join.
+    Where the batch's keys are few, seen rows go first, without a shuffle, and only the
+    others are sorted out by key. Otherwise the dedupe comes first and leaves the batch
+    partitioned by key, so the anti join adds no second shuffle of it, and no hot key
+    reaches the join.
     """
-    unique = first_per_key(drop_null_keys(new, keys), keys, order_by)
-    return unseen_rows(unique, existing, keys, batch)
+    keyed = drop_null_keys(new, keys)
+    if batch is not None and batch.few is not None:
+        return first_per_key(unseen_rows(keyed, existing, keys, batch), keys, order_by)
+    return unseen_rows(first_per_key(keyed, keys, order_by), existing, keys, batch)
 
 
-def union_by_name(existing: DataFrame, more: DataFrame) -> DataFrame:
-    """All rows of both; columns are matched by name and must be the same."""
-    return existing.unionByName(more)
+def union_by_name(existing: DataFrame, more: DataFrame, allow_missing: bool = False) -> DataFrame:
+    """All rows of both; columns are matched by name. They must be the same, or with
+    ``allow_missing`` are null where a side does not have one. Numbers take the wider type
+    of both sides."""
+    return existing.unionByName(more, allowMissingColumns=allow_missing)
 
 
 def merge_new(

@@ -6,7 +6,7 @@ turned into rows afterwards, however many columns are checked.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -227,20 +227,42 @@ def profile_counts(
     return _long(wide, cells, ["check", "column", "value"])
 
 
+def profile_groups(df: DataFrame, keys: Sequence[str], dimensions: Sequence[str]) -> DataFrame:
+    """Keys that occur more than once, and all values of every dimension, from one
+    aggregate over grouping sets: the keys, ``column`` (the dimension, null for keys),
+    ``value`` and ``row_count``. Null is a key and a value."""
+    sets = [[F.col(name) for name in keys], *([F.col(name)] for name in dimensions)]
+    columns = [F.col(name) for name in (*keys, *dimensions)]
+    labels = F.coalesce(*(F.when(F.grouping(name) == 0, F.lit(name)) for name in dimensions))
+    counted = df.groupingSets(sets, *columns).agg(F.count(F.lit(1)).alias("row_count"), labels.alias("column"))
+    return counted.where(F.col("column").isNotNull() | (F.col("row_count") > 1)).select(
+        *keys, "column", F.coalesce(*dimensions).alias("value"), "row_count"
+    )
+
+
 def profile(
-    df: DataFrame, spec: CampaignSpec = DEFAULT_SPEC, sample: int = 5
+    df: DataFrame,
+    spec: CampaignSpec = DEFAULT_SPEC,
+    sample: int = 5,
+    stored: Callable[[DataFrame], DataFrame] = lambda groups: groups,
 ) -> dict[str, DataFrame]:
-    """Everything known about a bronze table. Nothing runs until it is used,
-    samples read only what they show, and duplicates and distinct values stay tables, however many there are."""
+    """Everything known about a bronze table, from two passes over it: one aggregate for
+    all counts, and one for the groups of keys and dimensions, which ``stored`` may write
+    somewhere so that the tables made of it don't start from ``df`` again. Samples read
+    only what they show; duplicates and distinct values stay tables, however many there
+    are."""
     numeric = [*spec.keys, *spec.measures]
+    counts = profile_counts(df, numeric, spec)
+    groups = stored(profile_groups(df, spec.keys, spec.profiled_dimensions))
+    values = groups.where(F.col("column").isNotNull())
     return {
         "schema": schema_listing(df),
         "sample": sample_rows(df, sample),
-        "counts": profile_counts(df, numeric, spec),
-        "duplicates": duplicate_keys(df, spec.keys),
+        "counts": counts,
+        "duplicates": groups.where(F.col("column").isNull()).select(*spec.keys, "row_count"),
         "invalid_sample": sample_rows(rows_any_negative(df, numeric, spec), sample),
-        "distinct_values": distinct_values(df, spec.profiled_dimensions),
-        "distinct_counts": distinct_counts(df, spec.profiled_dimensions),
+        "distinct_values": values.select("column", "value"),
+        "distinct_counts": values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values")),
     }
 
 

@@ -10,7 +10,7 @@ from adlake.plans import stages
 from adlake.plans.increment import require_later, run_increment
 from adlake.sources import lake as L
 from adlake.sources.lake import Lake
-from adlake.sources.readers import read_csv, unreadable_cells, with_lineage
+from adlake.sources.readers import quarantine_counts, to_micros
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
 
 
@@ -23,7 +23,7 @@ def run_full(
     metrics_mode: str = "recompute",
     then_increment: bool = False,
 ) -> dict[str, DataFrame]:
-    """Load the raw CSV files and rebuild every layer below ``root``.
+    """Load the raw CSV files, rebuild every layer below ``root`` and report on them.
 
     Bronze and silver are replaced. A filtered layer that exists keeps its rows
     and gains the keys it does not have.
@@ -31,8 +31,10 @@ def run_full(
     ``then_increment`` looks at the raw files once more at the end, for files
     that arrived during the run; it adds nothing otherwise.
 
-    Returns the layers and the reports (schema, unreadable cells, profile,
-    validation), all as DataFrames. An error in any stage is raised to the caller.
+    Returns the layers and the reports: schema, quarantine per file, profile, null audit,
+    row counts and validation. All of them have been computed and are stored as tables
+    of the lake, reports as ``report_<name>``. An error in any stage is raised to the
+    caller; what validation finds is not an error.
     """
     run_ts = run_ts or datetime.now(UTC)
     lake = Lake(spark, root)
@@ -45,11 +47,10 @@ def run_full(
     stages.summarise(lake, run_ts, spec, metrics_mode)
     if then_increment:
         later = run_ts + timedelta(microseconds=1)
-        again = with_lineage(read_csv(spark, raw_path, spec.raw_schema))
+        again = stages.raw_rows(lake, raw_path, spec)
         run_increment(spark, again, root, spec, later, metrics_mode)
         lake = Lake(spark, root)
     layers = (
-        L.BRONZE,
         L.SILVER,
         L.FILTERED,
         L.CAMPAIGN_SUMMARY,
@@ -57,11 +58,19 @@ def run_full(
         L.DAILY_SUMMARY,
         L.SQL_METRICS,
     )
-    reports = stages.profile_bronze(lake, spec)
-    return {
+    profiled = stages.profile_bronze(lake, spec)
+    reports = {
         "schema": stages.explore_schema(lake, raw_path, spec),
-        "unreadable": unreadable_cells(spark, raw_path, spec.raw_schema),
-        **{name: lake.read(name) for name in layers},
-        **{f"profile_{name}": report for name, report in reports.items()},
+        "quarantine": quarantine_counts(stages.stored_bronze(lake, spec)),
+        **{f"profile_{name}": report for name, report in profiled.items()},
+        "null_audit": stages.audit_nulls(lake, spec),
+        "row_counts": stages.count_rows(lake, spec),
         "validation": stages.validate_gold(lake, spec),
     }
+    named = {name: f"report_{name}" for name in reports}
+    lake.replace_all({named[name]: reports[name] for name in reports}, to_micros(run_ts))
+    return {
+        L.BRONZE: stages.bronze_rows(lake, spec),
+        **{name: lake.read(name) for name in layers},
+        **{name: lake.read(table) for name, table in named.items()},
+    }

@@ -3,6 +3,8 @@
 from adlake.sources.lake import Lake
 from adlake.sources.readers import (
     has_rows,
+    quarantine_counts,
+    quarantined_rows,
     read_any,
     read_csv,
     read_json,
@@ -13,6 +15,8 @@ from adlake.sources.readers import (
     row_count,
     sample_rows,
     schema_listing,
+    set_apart,
+    sound_rows,
     stamp,
     unreadable_cells,
     with_lineage,
@@ -24,6 +28,8 @@ __all__ = [
     "append_rows",
     "has_rows",
     "overwrite",
+    "quarantine_counts",
+    "quarantined_rows",
     "read_any",
     "read_csv",
     "read_json",
@@ -34,7 +40,9 @@ __all__ = [
     "row_count",
     "sample_rows",
     "schema_listing",
+    "set_apart",
     "shared_dir",
+    "sound_rows",
     "stamp",
     "typed_empty",
     "unreadable_cells",

@@ -19,24 +19,44 @@ from adlake import spec as S
 NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
+def with_corrupt_record(schema: StructType, name: str) -> StructType:
+    """``schema`` with a text column that takes up records which don't fit it."""
+    if name in schema.names:
+        return schema
+    return StructType([*schema.fields, StructField(name, StringType())])
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     schema: StructType | None = S.RAW_SCHEMA,
     header: bool = True,
+    corrupt: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV files or directories.
 
     With a schema (the default) no inference pass is made, and a column keeps
     its type whatever files are present. A header that differs from the schema
     raises an error, it is not mapped by position. ``schema=None`` infers.
+
+    ``corrupt`` names a further column: of a record with too few or too many cells, or
+    with a cell that is no value of its type, it holds the text as it is in the file; of
+    others it is null. Records end with their line, so that files can be split. With
+    ``multi_line`` quoted cells may hold line breaks, and a file is read by one task;
+    without, such a record comes out as broken ones.
     """
     reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    reader = reader.option("multiLine", multi_line)
     if schema is None:
-        reader = reader.option("inferSchema", True)
-    else:
-        reader = reader.schema(schema).option("enforceSchema", not header)
-    return reader.csv(path)
+        inferred = reader.option("inferSchema", True).csv(path)
+        if corrupt is None:
+            return inferred
+        schema = inferred.schema
+    if corrupt is not None:
+        schema = with_corrupt_record(schema, corrupt)
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return reader.schema(schema).option("enforceSchema", not header).csv(path)
 
 
 def unreadable_cells(
@@ -80,11 +100,50 @@ def read_parquet(
 
 
 def read_json(
-    spark: SparkSession, path: str | list[str], schema: StructType | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType | None = None,
+    corrupt: str | None = None,
 ) -> DataFrame:
-    """JSON lines; with a schema there is no inference pass."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(path)
+    """JSON lines; with a schema there is no inference pass.
+
+    ``corrupt`` names a further column with the text of lines that are no JSON object or
+    hold a value of another type; of others it is null.
+    """
+    reader = spark.read
+    if corrupt is not None:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+        schema = with_corrupt_record(reader.json(path).schema if schema is None else schema, corrupt)
+    return (reader if schema is None else reader.schema(schema)).json(path)
+
+
+def set_apart(df: DataFrame, corrupt: str = S.CORRUPT_RECORD) -> DataFrame:
+    """Add :data:`~adlake.spec.QUARANTINED`, whether a record could not be read. A table
+    without the column of corrupt records has none."""
+    if corrupt not in df.columns:
+        df = df.withColumn(corrupt, F.lit(None).cast("string"))
+    return df.withColumn(S.QUARANTINED, F.col(corrupt).isNotNull())
+
+
+def sound_rows(df: DataFrame, corrupt: str = S.CORRUPT_RECORD) -> DataFrame:
+    """The rows that were read as they are in the file, without the columns that tell.
+    Where a table is partitioned by the mark, the others aren't opened."""
+    mark = ~F.col(S.QUARANTINED) if S.QUARANTINED in df.columns else F.col(corrupt).isNull()
+    return df.where(mark).drop(corrupt, S.QUARANTINED)
+
+
+def quarantined_rows(df: DataFrame, corrupt: str = S.CORRUPT_RECORD) -> DataFrame:
+    """File, ingestion time and text of the records that could not be read."""
+    kept = [name for name in (S.SOURCE_FILE, S.INGESTED_AT) if name in df.columns]
+    mark = F.col(S.QUARANTINED) if S.QUARANTINED in df.columns else F.col(corrupt).isNotNull()
+    return df.where(mark).select(*kept, corrupt)
+
+
+def quarantine_counts(df: DataFrame, corrupt: str = S.CORRUPT_RECORD) -> DataFrame:
+    """``source_file`` and ``quarantined``, the number of its records that could not be
+    read, for every file that has some."""
+    found = quarantined_rows(df, corrupt).groupBy(S.SOURCE_FILE)
+    return found.agg(F.count(F.lit(1)).alias("quarantined"))
 
 
 def read_any(

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def overwrite(df: DataFrame, path: str) -> None:
+def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace ``path``. Spark refuses a path that ``df`` itself reads; use
-    :class:`adlake.sources.lake.Layer` for tables that are rebuilt from
-    themselves."""
-    df.write.mode("overwrite").parquet(path)
+    :class:`adlake.sources.lake.Lake` for tables that are rebuilt from themselves."""
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

@@ -84,12 +84,16 @@ MEDIUM_RISK_FROM = 0.0
 
 INGESTED_AT = "ingestion_timestamp"
 SOURCE_FILE = "source_file"
+CORRUPT_RECORD = "corrupt_record"
+QUARANTINED = "quarantined"
 CLEANED_AT = "silver_cleaned_timestamp"
 FILTERED_AT = "filter_timestamp"
 AGGREGATED_AT = "aggregation_timestamp"
 METRICS_AT = "metrics_timestamp"
 AUDIT_COLUMNS = (
     SOURCE_FILE,
+    CORRUPT_RECORD,
+    QUARANTINED,
     INGESTED_AT,
     CLEANED_AT,
     FILTERED_AT,
@@ -132,5 +136,16 @@ class CampaignSpec:
             ]
         )
 
+    @property
+    def stored_schema(self) -> T.StructType:
+        """Bronze with the text of records that can't be read, which are set apart."""
+        return T.StructType(
+            [
+                *self.bronze_schema.fields,
+                T.StructField(CORRUPT_RECORD, T.StringType()),
+                T.StructField(QUARANTINED, T.BooleanType()),
+            ]
+        )
+
 
 DEFAULT_SPEC = CampaignSpec()

@@ -10,15 +10,25 @@ from __future__ import annotations
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from adlake import spec as S
-from adlake.operators.incremental import ingested_after
-from adlake.plans.increment import propagate, require_later
+from adlake.plans.increment import as_bronze, propagate, require_later
 from adlake.sources import lake as L
 from adlake.sources.lake import Lake
-from adlake.sources.readers import read_or_empty, stamp, to_micros, with_lineage
+from adlake.sources.readers import (
+    read_or_empty,
+    sound_rows,
+    to_micros,
+    with_corrupt_record,
+    with_lineage,
+)
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
 
+#: The run that brought a row, by its time in microseconds.
+RUN = "run"
+
 
 def stream_to_bronze(
     spark: SparkSession,
@@ -29,18 +39,23 @@ def stream_to_bronze(
 ) -> str:
     """Append all files not read before to the streamed bronze table, and stop.
 
-    Returns the table's path.
+    The table is partitioned by run, so that what a layer has not taken over yet is a
+    filter on partitions, and by whether records could be read. Returns its path.
     """
-    target = f"{root.rstrip('/')}/bronze_stream"
+    run_ts = run_ts or datetime.now(UTC)
+    target = f"{root.rstrip('/')}/{L.STREAMED}"
     files = (
-        spark.readStream.schema(spec.raw_schema)
+        spark.readStream.schema(with_corrupt_record(spec.raw_schema, S.CORRUPT_RECORD))
         .option("header", True)
         .option("enforceSchema", False)
+        .option("columnNameOfCorruptRecord", S.CORRUPT_RECORD)
         .csv(raw_path)
     )
     query = (
-        stamp(with_lineage(files), S.INGESTED_AT, run_ts or datetime.now(UTC))
+        as_bronze(with_lineage(files), run_ts)
+        .withColumn(RUN, F.lit(to_micros(run_ts)))
         .writeStream.format("parquet")
+        .partitionBy(RUN, S.QUARANTINED)
         .option("checkpointLocation", f"{target}_checkpoint")
         .option("path", target)
         .trigger(availableNow=True)
@@ -70,9 +85,11 @@ def run_stream(
     if lake.has(L.BRONZE):
         raise ValueError("this lake is fed by batches")
     table = stream_to_bronze(spark, raw_path, root, spec, run_ts)
-    bronze = read_or_empty(spark, table, spec.bronze_schema)
+    schema = StructType([*spec.stored_schema.fields, StructField(RUN, LongType())])
+    bronze = sound_rows(read_or_empty(spark, table, schema))
 
     def bronze_since(time: int | None) -> DataFrame:
-        return ingested_after(bronze, time)
+        rows = bronze if time is None else bronze.where(F.col(RUN) > time)
+        return rows.drop(RUN)
 
     return propagate(lake, bronze_since, to_micros(run_ts), spec, run_ts, metrics_mode)

@@ -61,7 +61,7 @@ def steps(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     lake = Lake(spark, f"{root}/lake")
 
     def raw() -> DataFrame:
-        return io.with_lineage(io.read_csv(spark, f"{root}/raw", SPEC.raw_schema))
+        return stages.raw_rows(lake, f"{root}/raw", SPEC)
 
     def reports() -> None:
         for report in stages.profile_bronze(lake, SPEC).values():
@@ -77,7 +77,7 @@ def steps(spark: SparkSession, sf_dir: str) -> dict[str, float]:
 
     def whole() -> None:
         made = run_full(spark, f"{root}/raw", f"{root}/other", SPEC, run_ts)
-        for name in ("schema", "unreadable", "profile_distinct_counts", "validation"):
+        for name in ("row_counts", "validation"):
             compute(made[name])
 
     work: dict[str, Callable[[], object]] = {

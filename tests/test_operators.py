@@ -142,15 +142,14 @@ def test_unseen_rows_with_a_hot_key_on_both_sides(spark, salts, measured):
     assert rows_of(found) == brute_unseen(new, existing)
 
 
-def test_keys_are_measured_in_bytes(spark, monkeypatch):
+def test_keys_are_measured_in_bytes(spark):
     df = spark.createDataFrame([("x" * 100,)] * 9 + [(None,)], "k string")
     batch = I.measure_keys(df, ["k"])
     assert batch.rows == 10
     assert batch.size == 9 * 100 + 10 * I.BYTES_PER_KEY
     assert batch.lowest == batch.highest == ("x" * 100,)
     assert batch.few is not None
-    monkeypatch.setattr(I, "BROADCAST_BYTES", batch.size - 1)
-    assert I.measure_keys(df, ["k"]).few is None
+    assert I.measure_keys(df, ["k"], batch.size - 1).few is None
     empty = I.measure_keys(df.limit(0), ["k"])
     assert (empty.rows, empty.size, empty.lowest) == (0, 0, (None,))
 
