@@ -119,7 +119,11 @@ def read_json(
 
 def set_apart(df: DataFrame, corrupt: str = S.CORRUPT_RECORD) -> DataFrame:
     """Add :data:`~adlake.spec.QUARANTINED`, whether a record could not be read. A table
-    without the column of corrupt records has none."""
+    without the column of corrupt records has none.
+
+    Store the result before asking for some of its columns: Spark parses no cells that a
+    query does not need, so a query over the files may not see what is wrong with others.
+    """
     if corrupt not in df.columns:
         df = df.withColumn(corrupt, F.lit(None).cast("string"))
     return df.withColumn(S.QUARANTINED, F.col(corrupt).isNotNull())

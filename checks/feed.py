@@ -93,9 +93,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def campaigns(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def campaigns(
+    spark: SparkSession, sf_dir: str, *columns: str, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The campaign rows with the given business columns (all if none is given),
-    the tie-break columns and the ship date.
+    the tie-break columns, the ship date, and those to ``keep`` of the line item.
 
     All five joins are made whatever the columns: a line item without its partners
     is no campaign.
@@ -112,7 +114,7 @@ def campaigns(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         rows = rows.join(table(spark, sf_dir, name), F.col(foreign) == F.col(own))
     expressions = _campaign_columns()
     return rows.select(
-        *(expressions[name].alias(name) for name in wanted), *TIE_BREAK, "l_shipdate"
+        *(expressions[name].alias(name) for name in wanted), *TIE_BREAK, "l_shipdate", *keep
     )
 
 

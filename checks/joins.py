@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from adlake.operators import incremental as I
 from adlake.operators.clean import business_filter, clean, dedupe_order
 from adlake.operators.metrics import campaign_metrics, update_metrics
+from adlake.sources import Lake, schema_listing, shared_dir
 from checks import feed
 from checks.aggregates import METRICS_SQL, rounded_metrics
 from checks.feed import SPEC, SPLIT_DAY, TIE_BREAK, sql
@@ -154,3 +155,33 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @checked(sql("SELECT DISTINCT Campaign_ID FROM campaigns"))
 def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.distinct_keys(feed.campaigns(spark, sf_dir, "Campaign_ID"), SPEC.keys)
+
+
+@checked(
+    """SELECT c_custkey, c_name, CAST(NULL AS DOUBLE) AS c_acctbal FROM customer WHERE c_custkey % 2 = 0
+       UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer WHERE c_custkey % 2 = 1"""
+)
+def union_by_name_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each half lacks a column of the other, and the second has wider keys."""
+    customers = feed.table(spark, sf_dir, "customer")
+    even = F.col("c_custkey") % 2 == 0
+    first = customers.where(even).select(F.col("c_custkey").cast("int").alias("c_custkey"), "c_name")
+    second = customers.where(~even).select("c_acctbal", F.col("c_custkey").cast("long").alias("c_custkey"))
+    return I.union_by_name(first, second, allow_missing=True)
+
+
+@checked(
+    """SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END AS c_acctbal,
+              'c_acctbal double' AS listed FROM customer"""
+)
+def layer_new_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch brings a column that a stored layer does not have, and wider keys."""
+    customers = feed.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    even = F.col("c_custkey") % 2 == 0
+    lake = Lake(spark, shared_dir(spark, "layer_new_column"))
+    narrow = customers.where(even).withColumn("c_custkey", F.col("c_custkey").cast("int"))
+    lake.replace("customers", narrow.drop("c_acctbal"), 1)
+    lake.append("customers", customers.where(~even).withColumn("c_custkey", F.col("c_custkey").cast("long")), 2)
+    rows = lake.read("customers")
+    listed = schema_listing(rows).where("column = 'c_acctbal'")
+    return rows.join(listed.select(F.concat_ws(" ", "column", "type").alias("listed")))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlake import sources as io
+from adlake.plans.increment import extend_bronze
+from adlake.sources import Lake
+from adlake.spec import CORRUPT_RECORD, DEFAULT_SPEC
 from checks import feed
 from checks.feed import BUSINESS, SPEC, SPLIT_DAY, sql
 from checks.registry import checked
 
+FIRST_RUN = datetime(2026, 2, 2, tzinfo=UTC)
 BUSINESS_LIST = ", ".join(f'"{name}"' for name in BUSINESS)
 
 
@@ -64,6 +70,123 @@ def scan_csv_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+KIND = """CASE l_orderkey % 7 WHEN 0 THEN 'short' WHEN 1 THEN 'long' WHEN 2 THEN 'broken'
+          ELSE 'sound' END"""
+
+
+def ragged_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """CSV text in three folders, without headers: of every seven orders the records of one
+    lack their last cell, those of another have one too many, and those of a third have a
+    line break within quotes."""
+    rows = feed.campaigns(spark, sf_dir, *BUSINESS, keep=("l_orderkey",)).withColumn("kind", F.col("l_orderkey") % 7)
+    first = BUSINESS[0]
+    inner = F.struct(*BUSINESS[2:])
+    line = (
+        F.when(F.col("kind") == 0, F.to_csv(F.struct(*BUSINESS[:-1])))
+        .when(F.col("kind") == 1, F.concat(F.to_csv(F.struct(*BUSINESS)), F.lit(",more")))
+        .when(
+            F.col("kind") == 2,
+            F.concat(F.coalesce(F.col(first).cast("string"), F.lit("")), F.lit(',"one\ntwo",'), F.to_csv(inner)),
+        )
+        .otherwise(F.to_csv(F.struct(*BUSINESS)))
+    )
+    files = rows.select(line.alias("value"), (F.col("l_linenumber") % 3).alias("file"))
+    files.write.partitionBy("file").text(path)
+
+
+def per_file(df: DataFrame, *more: Column) -> DataFrame:
+    """Records that could be read and others, for each folder of files."""
+    folder = F.regexp_extract("source_file", "file=([0-9])", 1).cast("int").alias("file")
+    return df.groupBy(folder).agg(
+        F.count_if(~F.col("quarantined")).alias("sound"), F.count_if("quarantined").alias("broken"), *more
+    )
+
+
+@checked(
+    sql(
+        f"""SELECT l_linenumber % 3 AS file,
+                   count(*) FILTER ({KIND} = 'sound') AS sound,
+                   CAST(count(*) FILTER ({KIND} IN ('short', 'long'))
+                        + 2 * count(*) FILTER ({KIND} = 'broken') AS BIGINT) AS broken,
+                   CAST(sum(CASE WHEN l_partkey % 19 = 0 THEN NULL WHEN l_quantity > 48 THEN 0
+                                 ELSE CAST(l_quantity AS INTEGER) END)
+                        FILTER ({KIND} = 'sound') AS BIGINT) AS clicks
+            FROM lineitem GROUP BY 1"""
+    )
+)
+def scan_csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loaded twice, line by line: short and long records and both halves of a broken one
+    lie in quarantine once."""
+    root = io.shared_dir(spark, "scan_csv_ragged")
+    ragged_csv(spark, sf_dir, f"{root}/raw")
+    lake = Lake(spark, f"{root}/lake")
+    for hours in range(2):
+        raw = io.read_csv(spark, f"{root}/raw", header=False, corrupt=CORRUPT_RECORD)
+        extend_bronze(lake, io.with_lineage(raw).drop("file"), DEFAULT_SPEC, FIRST_RUN + timedelta(hours=hours))
+    clicks = F.sum(F.when(~F.col("quarantined"), F.col("Clicks"))).alias("clicks")
+    return per_file(lake.read("bronze"), clicks)
+
+
+@checked(
+    sql(
+        f"""SELECT l_linenumber % 3 AS file,
+                   count(*) FILTER ({KIND} NOT IN ('short', 'long')) AS sound,
+                   count(*) FILTER ({KIND} IN ('short', 'long')) AS broken,
+                   count(*) FILTER ({KIND} = 'broken') AS of_two_lines
+            FROM lineitem GROUP BY 1"""
+    )
+)
+def scan_csv_multi_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files with line breaks in quotes read as part of their cell."""
+    path = io.shared_dir(spark, "scan_csv_multi_line")
+    ragged_csv(spark, sf_dir, path)
+    raw = io.read_csv(spark, path, header=False, corrupt=CORRUPT_RECORD, multi_line=True)
+    of_two = F.count_if((F.col("Company") == "one\ntwo") & ~F.col("quarantined"))
+    return per_file(io.set_apart(io.with_lineage(raw)), of_two.alias("of_two_lines"))
+
+
+@checked(
+    """SELECT CAST(event_id % 3 AS INTEGER) AS file,
+              count(*) FILTER (event_id % 5 > 1) AS sound,
+              count(*) FILTER (event_id % 5 <= 1) AS broken,
+              round(coalesce(sum(value) FILTER (event_id % 5 > 1), 0), 4) AS value_total
+       FROM events GROUP BY 1"""
+)
+def scan_json_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every five lines one is cut off and another holds text for a number."""
+    path = io.shared_dir(spark, "scan_json_corrupt")
+    events = feed.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    line = F.to_json(F.struct("event_id", "event_type", "value"))
+    odd = F.to_json(F.struct(F.lit("many").alias("event_id"), "event_type"))
+    kind = F.col("event_id") % 5
+    text = F.when(kind == 0, F.substring(line, F.lit(1), F.length(line) - 1)).when(kind == 1, odd).otherwise(line)
+    files = events.select(text.alias("value"), (F.col("event_id") % 3).alias("file"))
+    files.write.partitionBy("file").text(path)
+    lines = io.set_apart(io.with_lineage(io.read_json(spark, path, events.schema, corrupt=CORRUPT_RECORD)))
+    found = feed.stored(lines, "scan_json_corrupt")
+    total = F.coalesce(F.sum(F.when(~F.col("quarantined"), F.col("value"))), F.lit(0.0))
+    return per_file(found, F.round(total, 4).alias("value_total"))
+
+
+@checked(
+    """SELECT n_nationkey::VARCHAR AS key, n_name AS name, 'no types' AS read FROM nation
+       UNION ALL SELECT n_nationkey::VARCHAR, n_name, 'no header' FROM nation"""
+)
+def read_any_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV without inference, and without a header line."""
+    nations = feed.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    path = io.shared_dir(spark, "read_any_flags")
+    write_csv(nations, f"{path}/with")
+    nations.write.csv(f"{path}/without")
+    plain = io.read_any(spark, f"{path}/with", "csv", infer_schema=False)
+    bare = io.read_any(spark, f"{path}/without", "CSV", header=False)
+    parts = [
+        df.select(F.col(df.columns[0]).cast("string").alias("key"), F.col(df.columns[1]).alias("name"), F.lit(kind).alias("read"))
+        for df, kind in ((plain, "no types"), (bare, "no header"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @checked(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
               l_extendedprice, l_returnflag FROM lineitem"""

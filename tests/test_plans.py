@@ -6,6 +6,7 @@ import io
 import re
 
 import pytest
+from conftest import rows_of
 from pyspark.sql import functions as F
 
 from adlake.operators import clean as C
@@ -137,6 +138,61 @@ def test_validation_scans_the_filtered_rows_once(lake):
     assert len(re.findall(r"FileScan.*/filtered", text)) == 1
 
 
+def test_the_profile_is_two_scans(lake):
+    """One for all counts, one for the groups that everything else is made of."""
+    written = []
+
+    def stored(groups):
+        written.append(plan(groups))
+        return lake.replace("groups", groups, 1)
+
+    bronze = lake.read("bronze")
+    found = Q.profile(bronze, SPEC, stored=stored)
+    assert [text.count("FileScan") for text in (plan(found["counts"]), *written)] == [1, 1]
+    assert written[0].count("Expand") == 1 and shuffles(written[0]) == 1
+    for name in ("duplicates", "distinct_values", "distinct_counts"):
+        scans = re.findall(r"FileScan.*?Location: [^,]*", plan(found[name]))
+        assert len(scans) == 1 and "/groups" in scans[0]
+
+
+def test_the_profile_agrees_with_its_parts(lake):
+    bronze = lake.read("bronze")
+    found = Q.profile(bronze, SPEC)
+    for name, alone in (
+        ("duplicates", Q.duplicate_keys(bronze, SPEC.keys)),
+        ("distinct_values", Q.distinct_values(bronze, SPEC.profiled_dimensions)),
+        ("distinct_counts", Q.distinct_counts(bronze, SPEC.profiled_dimensions)),
+    ):
+        assert rows_of(found[name]) == rows_of(alone) != []
+
+
+def test_nothing_of_an_old_batch_is_shuffled(lake, no_broadcast):
+    batch, stored = lake.read("bronze"), lake.read("silver")
+    measured = I.measure_keys(batch, SPEC.keys)
+    text = plan(I.new_rows(batch, stored, SPEC.keys, SPEC.tie_break, measured))
+    above, below = text.split("LeftAnti", 1)
+    assert "BroadcastHashJoin" in above[-80:] or "BroadcastHashJoin" in above
+    streamed = below[: below.index("BroadcastExchange")]
+    assert "FileScan" in streamed and "Exchange hashpartitioning" not in streamed
+    assert shuffles(above) == 1, "only rows with new keys are sorted out by key"
+
+
+def test_rows_with_new_keys_are_cleaned_without_a_shuffle(lake):
+    assert "Exchange" not in plan(C.clean(lake.read("bronze"), SPEC, unique=True))
+
+
+def test_quarantine_and_runs_are_partitions(spark, tmp_path):
+    from samples import campaign, raw_table
+
+    from adlake.plans import run_increment, stages
+
+    run_increment(spark, raw_table(spark, [campaign()]), str(tmp_path), run_ts=RUN)
+    own = Lake(spark, str(tmp_path))
+    for rows in (stages.bronze_rows(own), stages.quarantine(own)):
+        filters = re.search(r"PartitionFilters: \[[^]]*", formatted(rows)).group()
+        assert "quarantined" in filters and "version" in filters
+
+
 def test_profile_counts_are_one_pass(lake):
     text = plan(Q.profile_counts(lake.read("bronze"), SPEC.measures, SPEC))
     assert text.count("FileScan") == 1

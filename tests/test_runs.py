@@ -5,6 +5,7 @@ import shutil
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows_of
 from samples import campaign, raw_table
 
@@ -16,7 +17,7 @@ from adlake.operators.incremental import measure_keys, unseen_rows
 from adlake.plans import run_full, run_increment, stages
 from adlake.plans.increment import extend_bronze
 from adlake.sources import Lake
-from adlake.spec import AUDIT_COLUMNS, DEFAULT_SPEC
+from adlake.spec import AUDIT_COLUMNS, DEFAULT_SPEC, RAW_SCHEMA
 from adlake.streaming import run_stream
 
 START = dt.datetime(2026, 2, 2, tzinfo=dt.UTC)
@@ -262,6 +263,74 @@ def test_full_run_again_and_followed_by_an_increment(spark, tmp_path, expected):
     assert made["bronze"].count() == len(EVERYTHING)
 
 
+def write_broken(spark, path, *rows):
+    write_raw(spark, list(rows), path)
+    spark.createDataFrame([(",".join(RAW_SCHEMA.names),), ("77,too short",)], "value string").coalesce(1).write.mode(
+        "append"
+    ).text(path)
+
+
+def quarantined(spark, root):
+    found = stages.validate_gold(Lake(spark, root)).where("check = 'quarantined'").first()
+    return found.violations, found.passed
+
+
+def test_corrupt_records_go_to_quarantine_once_and_fail_validation(spark, root, tmp_path):
+    raw, lake = str(tmp_path / "raw"), Lake(spark, root)
+    assert quarantined(spark, root) == (0, True)
+    write_broken(spark, raw, campaign(Campaign_ID=500))
+    for n in (1, 2):
+        counts = run_increment(spark, stages.raw_rows(lake, raw), root, run_ts=hour(n))
+        counts = {(r.stage, r.metric): r.value for r in counts.collect()}
+        assert counts["bronze", "rows_received"] == 2
+        assert counts["bronze", "rows_added"] == counts["bronze", "rows_quarantined"] == (n == 1)
+    assert quarantined(spark, root) == (1, False)
+    assert [row.corrupt_record for row in stages.quarantine(Lake(spark, root)).collect()] == ["77,too short"]
+    # Put right and sent again, the record is new.
+    load(spark, [campaign(Campaign_ID=77)], root, 3)
+    silver = Lake(spark, root).read("silver")
+    assert silver.where("Campaign_ID IN (77, 500)").count() == 2 and "corrupt_record" not in silver.columns
+
+
+@pytest.mark.parametrize("run", [run_full, run_stream])
+def test_whole_runs_set_corrupt_records_apart(spark, tmp_path, run):
+    raw, root = str(tmp_path / "raw"), str(tmp_path / "lake")
+    write_broken(spark, raw, campaign(Campaign_ID=1, Clicks=3, Impressions=9))
+    made = run(spark, raw, root, run_ts=hour(0))
+    assert quarantined(spark, root) == (1, False)
+    assert Lake(spark, root).read("silver").count() == 1
+    if run is run_full:
+        assert made["quarantine"].first().quarantined == 1
+        counts = {(r.stage, r.metric): r.value for r in made["row_counts"].collect()}
+        assert counts["bronze", "rows_quarantined"] == 1 and counts["filtered", "rows_stored"] == 1
+        assert rows_of(made["null_audit"]) == [("Campaign_ID", 0, 0), ("Date", 0, 0)]
+        assert {f"report_{name}" for name in ("schema", "validation", "profile_counts")} <= Lake(spark, root).state().keys()
+        with pytest.raises(SystemExit, match="quarantine"):
+            cli.refuse_corrupt(Lake(spark, root))
+
+
+def test_a_new_column_is_carried_through_the_layers(spark, root):
+    batch = raw_table(spark, [campaign(Campaign_ID=900)]).withColumn("Budget", F.lit(7.5))
+    run_increment(spark, batch, root, run_ts=hour(1))
+    for layer in ("bronze", "silver", "filtered"):
+        rows = Lake(spark, root).read(layer)
+        assert rows.where("Campaign_ID = 900").first().Budget == 7.5
+        assert rows.where("Budget IS NOT NULL").count() == 1 < rows.count()
+
+
+def test_after_a_second_full_run_filtered_rows_are_looked_up_again(spark, tmp_path):
+    """Filtered keeps keys that the new raw files lack, so new ones may be known to it."""
+    root = str(tmp_path / "lake")
+    write_raw(spark, BATCH_1, f"{tmp_path}/one")
+    run_full(spark, f"{tmp_path}/one", root, run_ts=hour(0))
+    write_raw(spark, rows_from(60, 70), f"{tmp_path}/two")
+    run_full(spark, f"{tmp_path}/two", root, run_ts=hour(1))
+    load(spark, BATCH_1, root, 2)
+    filtered = Lake(spark, root).read("filtered")
+    assert filtered.count() == filtered.select("Campaign_ID").distinct().count()
+    assert stages.validate_gold(Lake(spark, root)).where("check LIKE 'totals%' AND NOT passed").isEmpty()
+
+
 def test_command_line(spark, tmp_path, capsys):
     raw, root = str(tmp_path / "raw"), str(tmp_path / "lake")
     write_raw(spark, BATCH_1, f"{raw}/a")

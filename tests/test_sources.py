@@ -13,6 +13,7 @@ from samples import campaign, raw_table
 from adlake import RAW_SCHEMA
 from adlake import sources as io
 from adlake.sources import Lake
+from adlake.spec import CORRUPT_RECORD, QUARANTINED
 
 
 def write_csv(path, lines):
@@ -273,6 +274,67 @@ def test_unknown_layer(spark, tmp_path):
         Lake(spark, str(tmp_path)).read("t")
 
 
+BROKEN_CSV = [
+    HEADER,
+    LINE,
+    LINE.rsplit(",", 1)[0],
+    f"{LINE},more",
+    LINE.replace('"Smith, Sons"', '"Smith'),
+    LINE.replace("1,", "x,", 1),
+]
+
+
+def corrupt_csv(spark, path, **options):
+    rows = io.set_apart(io.with_lineage(io.read_csv(spark, path, corrupt=CORRUPT_RECORD, **options)))
+    io.overwrite(rows, f"{path}_stored", [QUARANTINED])
+    return io.read_parquet(spark, f"{path}_stored", rows.schema)
+
+
+def test_ragged_and_unreadable_csv_records_are_set_apart(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", BROKEN_CSV)
+    stored = corrupt_csv(spark, str(tmp_path / "a.csv"))
+    assert io.sound_rows(stored).count() == 1
+    assert io.sound_rows(stored).columns == [*RAW_SCHEMA.names, "source_file"]
+    texts = {row.corrupt_record for row in io.quarantined_rows(stored).collect()}
+    assert texts == set(BROKEN_CSV[2:])
+    assert [row.quarantined for row in io.quarantine_counts(stored).collect()] == [4]
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    whole = LINE.replace("Smith, Sons", "Smith\nSons")
+    write_csv(tmp_path / "a.csv", [HEADER, LINE, whole])
+    by_line = corrupt_csv(spark, str(tmp_path / "a.csv"))
+    assert (io.sound_rows(by_line).count(), io.quarantined_rows(by_line).count()) == (1, 2)
+    write_csv(tmp_path / "b.csv", [HEADER, LINE, whole])
+    together = corrupt_csv(spark, str(tmp_path / "b.csv"), multi_line=True)
+    names = {row.Company for row in io.sound_rows(together).collect()}
+    assert names == {"Smith, Sons", "Smith\nSons"}
+    assert io.quarantined_rows(together).isEmpty()
+
+
+def test_inferred_csv_with_corrupt_records(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", ["a,b", "1,2", "3"])
+    rows = io.read_csv(spark, str(tmp_path / "a.csv"), schema=None, corrupt="bad")
+    assert rows_of(rows) == sorted([(1, 2, None), (3, None, "3")], key=repr)
+
+
+def test_broken_json_lines_are_set_apart(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text('{"a": 1}\n{"a": \n{"a": "x"}\n[1]\n')
+    for schema in (T.StructType.fromDDL("a long"), None):
+        rows = io.read_json(spark, str(path), schema, corrupt="bad").cache()
+        assert rows.columns[0] == "a" and "bad" in rows.columns
+        assert rows.where("bad IS NULL").count() >= 1 and rows.where("bad IS NOT NULL").count() >= 1
+        rows.unpersist()
+    typed = io.read_json(spark, str(path), T.StructType.fromDDL("a long"), corrupt="bad")
+    assert {row.bad for row in typed.collect()} == {None, '{"a": ', '{"a": "x"}', "[1]"}
+
+
+def test_tables_without_the_column_are_sound(spark):
+    rows = io.set_apart(spark.range(2))
+    assert io.sound_rows(rows).count() == 2 and io.quarantined_rows(rows).isEmpty()
+
+
 def test_sample_rows_leave_nulls_out(spark):
     df = raw_table(spark, [campaign(Company=None)]).select("Campaign_ID", "Company")
     assert io.sample_rows(df, 5, ["Campaign_ID"]).first()[0] == '{"Campaign_ID":1}'
