@@ -246,13 +246,13 @@ def _index(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.Recor
 
 
 def usable(table: DataFrame, id: str, vector: str, label: str) -> DataFrame:
-    """``id``, ``label`` and ``vector`` of rows that have all three, with finite
-    components only."""
+    """``id``, ``label`` and ``vector`` of rows that have all three, with components that
+    are all finite."""
     at = F.col(vector)
     sound = F.forall(
         at, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
     )
-    return table.where(F.col(id).isNotNull() & F.col(label).isNotNull() & at.isNotNull() & sound).select(
+    return table.where(F.col(id).isNotNull() & F.col(label).isNotNull() & at.isNotNull() & (F.size(at) > 0) & sound).select(
         F.col(id).cast("long").alias("id"),
         F.col(label).cast("string").alias("label"),
         at.cast("array<double>").alias("vector"),
@@ -301,7 +301,7 @@ def hard_negatives(
 
     A score is the inner product of vectors whose components are ``floor(scale * x)``;
     higher ones come first, ties go to the smaller id. Rows without id, label or vector,
-    or with null or non-finite components, take no part. Rows of one id count once, the
+    or with no, null or non-finite components, take no part. Rows of one id count once, the
     first by label and vector. Vectors of different lengths have no score. Scores beyond
     2**56 count as 2**56 either way. An empty table gives no rows, as does an anchor
     without positives or a positive without negatives. Rows are dealt into shards by hash
