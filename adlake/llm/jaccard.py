@@ -41,9 +41,11 @@ from adlake.llm.components import connected_components
 #: Ids that may be broadcast, of 8 bytes each; beyond, tables are joined by shuffle.
 BROADCAST = 1 << 20
 
-#: What an entry that leaves out a member costs, in members compared: it is written,
-#: shuffled twice and grouped.
+#: What an entry that leaves out a member costs, and two sets held against each other by
+#: their sketches, in members of sets read: an entry is written, shuffled twice and
+#: grouped; a pair of sketches is 32 words of 64 bits compared in bulk.
 ENTRY = 4
+COMPARISON = 4
 
 #: Bits of a sketch.
 BITS = 2048
@@ -377,7 +379,7 @@ def _allocate(crossing: DataFrame, held: DataFrame) -> DataFrame:
     paired = F.floor(F.col("place") / 2)
     entries = ENTRY * (F.col("sets") + 2 * F.col("held") / F.col("segments"))
     spent = F.when(paired > 0, F.col("price") * (F.col("held") + paired * entries)).otherwise(0.0)
-    compared = F.col("crossing") * 2 * F.col("held") / F.col("sets")
+    compared = F.col("crossing") * COMPARISON
     # In an even place 2 * r the row tells what r costs; past the last segment nothing is left.
     all_paired = F.col("price") * (F.col("held") + F.floor(F.col("segments") / 2) * entries)
     choices = ranked.where("place % 2 = 0").select("band", paired.alias("pairs"), (spent + compared).alias("cost"))
