@@ -219,17 +219,7 @@ class Lake:
         """Let the written versions count, in place of the state before the last one."""
         state = self.state() | {layer.layer: layer for layer in written}
         commit = self._commit + 1
-        rows = F.array(
-            *(
-                F.struct(
-                    *(
-                        F.lit(value).cast(field.dataType).alias(field.name)
-                        for value, field in zip((commit, *layer), STATE_SCHEMA)
-                    )
-                )
-                for layer in state.values()
-            )
-        )
-        listing = self.spark.range(1, numPartitions=1).select(F.inline(rows))
+        rows = [(commit, *layer) for layer in state.values()]
+        listing = self.spark.createDataFrame(rows, STATE_SCHEMA).coalesce(1)
         overwrite(listing, f"{self.root}/state/slot={commit % 2}")
         self._commit, self._state = commit, state
