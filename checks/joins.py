@@ -184,4 +184,4 @@ def layer_new_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake.append("customers", customers.where(~even).withColumn("c_custkey", F.col("c_custkey").cast("long")), 2)
     rows = lake.read("customers")
     listed = schema_listing(rows).where("column = 'c_acctbal'")
-    return rows.join(listed.select(F.concat_ws(" ", "column", "type").alias("listed")))
+    return rows.withColumn("listed", listed.select(F.concat_ws(" ", "column", "type")).scalar())
