@@ -12,10 +12,6 @@ from adlake.llm.common import stored
 #: A line on this many distinct sites or more is boilerplate.
 MIN_SITES = 5
 
-#: A text that would lose more than this share of its characters is left as it is:
-#: it is a copy of other texts, which near-dedup decides on, not one with boilerplate.
-MAX_SHARE = 0.5
-
 #: log2 of a sketch's registers.
 LG_K = 12
 
@@ -76,13 +72,14 @@ def drop_spread_lines(
     text: str = "text",
     site: str = "source",
     min_sites: int = MIN_SITES,
-    max_share: float = MAX_SHARE,
 ) -> DataFrame:
     """One row per row of ``docs``: its columns as struct ``row``, the text without
     boilerplate as ``text``, and ``n_lines`` and ``n_removed``, lines that hold a word.
 
-    Every occurrence of a boilerplate line goes, unless the text would lose more than
-    ``max_share`` of the characters of its lines. Lines are told apart by 64-bit hash.
+    Every occurrence of a boilerplate line goes from every text that has a worded line of
+    its own, however little of it is left. A text all of whose worded lines are boilerplate
+    is a copy, on which near-dedup decides, and stays as it is. Lines are told apart by
+    64-bit hash.
     Null text stays null with no lines; a null site is a site of its own; repeated rows
     are treated alike; an empty table gives no rows. The lines of a text are judged
     once per distinct text, so a text that a third of all rows share is no hot key but
@@ -105,10 +102,8 @@ def drop_spread_lines(
     removed = F.filter(
         lines, lambda line: has_word(line) & F.array_contains("spread", F.xxhash64(line))
     )
-    size = lambda part: F.length(F.array_join(part, ""))
     worded = F.filter(lines, has_word)
-    too_much = size(removed) > size(worded) * F.lit(float(max_share))
-    cut = F.col("spread").isNotNull() & ~too_much
+    cut = F.col("spread").isNotNull() & (F.size(removed) < F.size(worded))
     left = F.filter(
         lines, lambda line: ~(has_word(line) & F.array_contains("spread", F.xxhash64(line)))
     )

@@ -73,8 +73,7 @@ spread AS (SELECT line FROM worded GROUP BY line
 marked AS (SELECT w.k, w.i, w.line, s.line IS NOT NULL AS gone
            FROM worded w LEFT JOIN spread s ON w.line = s.line),
 sums AS (SELECT k, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone,
-           coalesce(sum(length(line)) FILTER (gone), 0)
-             <= {line_spread.MAX_SHARE} * sum(length(line)) AS cut
+           NOT bool_and(gone) AS cut
          FROM marked GROUP BY k),
 left_over AS (SELECT l.k, string_agg(l.line, chr(10) ORDER BY l.i) AS text
               FROM l LEFT JOIN marked m ON l.k = m.k AND l.i = m.i
