@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from adlake.llm.common import filesystem, partitions, ship, small_batches, stored
 
-#: Start of a gzip member: two magic bytes, the deflate method, no header extras.
-MAGIC = b"\x1f\x8b\x08\x00"
+#: Start of a gzip member: two magic bytes and the deflate method; any flags may follow.
+MAGIC = b"\x1f\x8b\x08"
 
 #: Bytes per read, and of an archive that one task owns.
 BUFFER = 1 << 20
@@ -25,6 +25,7 @@ RANGE = 8 << 20
 
 #: Fixed values of the archive format.
 VERSION = "WARC/1.1"
+VERSIONS = b"WARC/"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
@@ -122,7 +123,7 @@ class _Window:
 
     def __init__(self, file, size: int, at: int):
         self.file, self.size, self.start = file, size, at
-        self.data = b""
+        self.data = bytearray()
 
     def reach(self, end: int) -> bool:
         """Have bytes up to ``end``; False if the file ends before."""
@@ -148,30 +149,36 @@ class _Window:
         return -1
 
     def drop(self, at: int) -> None:
-        self.data = self.data[at - self.start :]
+        del self.data[: at - self.start]
         self.start = at
 
-    def inflate(self, at: int) -> tuple[bytes, int] | None:
-        """The member that begins at ``at`` and where it ends; None if there is none.
+    def begins(self, at: int) -> bool:
+        """Whether the bytes at ``at`` decode to the beginning of a record. If not, a magic
+        found there was but bytes within another member."""
+        engine, head, place = zlib.decompressobj(31), b"", at
+        while len(head) < len(VERSIONS) and not engine.eof and self.reach(place + 1):
+            chunk = bytes(self.data[place - self.start : place - self.start + 512])
+            try:
+                head += engine.decompress(chunk, 64)
+            except zlib.error:
+                return False
+            place += len(chunk)
+        return head.startswith(VERSIONS)
 
-        The first bytes must decode to a record's version line, or the magic was but
-        bytes within another member, and the rest isn't decoded.
-        """
+    def inflate(self, at: int) -> tuple[bytes, int] | None:
+        """The member that begins at ``at`` and where it ends; None if it is damaged."""
         engine = zlib.decompressobj(31)
         parts: list[bytes] = []
         place = at
         while not engine.eof:
             if not self.reach(place + 1):
                 return None
-            chunk = self.data[place - self.start : place - self.start + (1 << 16)]
+            chunk = bytes(self.data[place - self.start : place - self.start + (1 << 16)])
             try:
                 parts.append(engine.decompress(chunk))
             except zlib.error:
                 return None
             place += len(chunk)
-            seen = b"".join(parts) if len(parts) > 1 and len(parts[0]) < 5 else parts[0]
-            if not seen.startswith(b"WARC/"[: len(seen)]):
-                return None
         return b"".join(parts), place - len(engine.unused_data)
 
 
@@ -192,39 +199,58 @@ def parse(data: bytes) -> dict | None:
     return headers | {"payload": rest[: int(length)]}
 
 
-def records_in(file, size: int, start: int, end: int) -> Iterator[dict]:
-    """The records that start within ``[start, end)``; the last may end beyond.
+def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict | None]]:
+    """The records that start within ``[start, end)``, each with its place; the last may
+    end beyond. None stands for a damaged one.
 
-    From a range's start on, candidates for a member are tried in turn. After a member
-    the next one follows where it ended, so no bytes inside a member are tried again.
+    From a range's start on, candidates for a member are tried in turn until one decodes to
+    the beginning of a record. Where a member ends the next one must begin, so no bytes
+    inside a member are tried, and none is passed over unseen: what does not begin there,
+    or breaks off, is damaged, and the search goes on behind it. The member that begins
+    where the range's last one ends is the next range's, but whether it begins is told here,
+    as that range would take a damaged beginning for the end of this member.
     """
-    window, at = _Window(file, size, start), start
-    while 0 <= (at := window.find(at, end)):
-        member = window.inflate(at)
-        parsed = parse(member[0]) if member else None
-        if parsed is None:
-            at += 1
+    window, at, due = _Window(file, size, start), start, start == 0
+    while at < end or (due and at < size):
+        if not due and (at := window.find(at, end)) < 0:
+            return
+        if not window.begins(at):
+            if due:
+                yield at, None
+            at, due = at + 1, False
             continue
-        yield parsed
-        at = member[1]
+        if at >= end:
+            return
+        member = window.inflate(at)
+        yield at, parse(member[0]) if member else None
+        at, due = (member[1], True) if member else (at + 1, False)
         if at < end:
             window.drop(at)
 
 
 def _number(urn: str | None) -> int | None:
+    """The page that a record of :func:`record` is of; other records' ids name none."""
     text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(text) if text else None
+    if not text.isascii() or not text.removeprefix("-").isdecimal():
+        return None
+    number = int(text)
+    return number if -(1 << 63) <= number < 1 << 63 else None
 
 
+DAMAGED = "damaged"
+
 RECORDS = (
     "page_id long, record_type string, refers_to long, payload_digest string, "
-    "url string, payload binary"
+    "url string, payload binary, record_id string, path string, at long"
 )
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.RecordBatch]:
     names = [column.split()[0] for column in RECORDS.split(", ")]
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
+    kinds = (
+        pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(),
+        pa.string(), pa.int64(),
+    )
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
@@ -233,10 +259,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for path, size, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            files, at = filesystem(path)
+            files, place = filesystem(path)
             rows, held = [], 0
-            with files.open_input_file(at) as file:
-                for found in records_in(file, size, start, end):
+            with files.open_input_file(place) as file:
+                for at, found in records_in(file, size, start, end):
+                    if found is None:
+                        if strict:
+                            raise ValueError(f"{path} has a damaged record at byte {at}")
+                        rows.append((None, DAMAGED, *[None] * 5, path, at))
+                        continue
                     rows.append(
                         (
                             _number(found.get("warc-record-id")),
@@ -245,6 +276,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             found.get("warc-payload-digest", "").removeprefix("sha1:"),
                             found.get("warc-target-uri"),
                             found["payload"],
+                            found.get("warc-record-id"),
+                            path,
+                            at,
                         )
                     )
                     held += len(found["payload"])
@@ -254,12 +288,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(rows)
 
 
-def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = RANGE) -> DataFrame:
-    """All records of the listed archives (``path``, ``size``): ``page_id``,
-    ``record_type``, ``refers_to``, ``payload_digest``, ``url`` and ``payload``.
+def read_archives(
+    spark: SparkSession, archives: DataFrame, range_bytes: int = RANGE, strict: bool = True
+) -> DataFrame:
+    """All records of the listed archives (``path``, ``size``), of whatever type and made by
+    whatever program, one gzip member each: ``page_id``, ``record_type``, ``refers_to``,
+    ``payload_digest``, ``url``, ``payload``, ``record_id``, ``path`` and ``at``, its first
+    byte. Record ids that name no page give a null ``page_id`` and ``refers_to``.
 
     Archives are cut into byte ranges, each read by whichever task gets it; a record
-    belongs to the range it starts in. An empty list gives no rows.
+    belongs to the range it starts in. A damaged record ends the job, or, unless ``strict``,
+    is a row of the type "damaged" with nothing but ``path`` and ``at``. An empty list gives
+    no rows.
     """
     ship(spark)
     ranges = archives.where("size > 0").select(
@@ -268,4 +308,4 @@ def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = R
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"),
     ).withColumn("end", F.least("size", F.col("start") + range_bytes))
     spread = ranges.repartition(partitions(spark), "path", "start")
-    return spread.mapInArrow(_read, RECORDS)
+    return spread.mapInArrow(partial(_read, strict=strict), RECORDS)
