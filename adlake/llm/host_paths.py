@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -57,11 +58,15 @@ ENDED_BY = {
     "tr": frozenset(["tr", "td", "th"]),
 }
 
+#: A tag has at most this many pieces in and between quotes; a longer one opens nothing.
+#: Without a bound, every tag of a page with an unclosed quote is looked for to its end.
+PIECES = 400
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?:{UNREAD.replace(' ', '|')})(?:/|\s[^>]*+(?<=[\s\"']/))>"
     rf"|<({UNREAD.replace(' ', '|')})(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){{0,{PIECES}}}+)>"
     r"|<[!?/a-zA-Z][^>]*+>",
     re.S | re.I,
 )
@@ -69,11 +74,24 @@ _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def _unclosed(match: re.Match) -> bool:
+    """Whether the text from ``match`` on is a comment or an unread element without end."""
+    if match[1]:
+        return not re.search(rf"</{match[1]}\s*>\Z", match[0], re.I)
+    return match[0].startswith("<!--") and not match[0].endswith("-->")
+
+
 class Page:
-    """Containers and text blocks of one page, in page order."""
+    """Containers and text blocks of one page, in page order.
+
+    Time and memory are linear in the page, however deep its containers are and whatever
+    it leaves open: a path is a number for the path above it and the last step.
+    """
 
     def __init__(self, text: str):
-        self.paths = [""]
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.steps = [(-1, "")]  # of each path, the path above it and its last step
+        self.paths = [0]  # of each container
         self.parents = [-1]
         self.inside = [False]
         #: What may be furniture: the one around each, whether it is for certain.
@@ -88,6 +106,7 @@ class Page:
 
     def _parse(self, text: str) -> list[tuple[int, str, int, int]]:
         stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        opened: Counter[str] = Counter()
         found: list[tuple[int, str, int, int]] = []
         parts: list[str] = []
         linked = [0, 0]  # open links, and characters in links
@@ -109,11 +128,13 @@ class Page:
 
         def close(depth: int) -> None:
             flush()
+            opened.subtract(name for name, _, _ in stack[depth:])
             del stack[depth:]
             linked[0] = 0
 
-        at = 0
-        for match in _TOKEN.finditer(text):
+        at, last = 0, text.rfind(">") + 1  # no tag ends after that
+        match = None
+        for match in _TOKEN.finditer(text, 0, last):
             add(text[at : match.start()])
             at = match.end()
             name = (match[3] or "").lower()
@@ -124,9 +145,8 @@ class Page:
             if name not in CONTAINERS and name not in LEAVES:
                 continue
             if match[2]:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-                if depth:
-                    close(depth)
+                if opened[name]:
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
                 continue
             ended = ENDED_BY.get(name, frozenset())
             depth = len(stack)
@@ -137,7 +157,9 @@ class Page:
                 depth -= 1
             close(depth)
             stack.append(self._open(name, match[4], stack[-1]))
-        add(text[at:])
+            opened[name] += 1
+        if match is None or match.end() < last or not _unclosed(match):
+            add(text[at:].partition("<!--")[0])
         flush()
         return found
 
@@ -197,9 +219,11 @@ class Page:
             self.certain.append(certain or self.certain[mark])
             mark = len(self.around) - 1
         if name in CONTAINERS:
-            kinds = sorted({re.sub(r"\d+", "#", kind.lower()) for kind in found.get("class", "").split()})
-            step = ".".join([name, *kinds])
-            self.paths.append(f"{self.paths[node]}>{step}" if self.paths[node] else step)
+            kinds = {re.sub(r"\d+", "#", kind.lower()) for kind in found.get("class", "").split()}
+            place = self.paths[node], ".".join([name, *sorted(kinds)]).replace(">", "")
+            self.paths.append(self.numbers.setdefault(place, len(self.steps)))
+            if self.paths[-1] == len(self.steps):
+                self.steps.append(place)
             self.parents.append(node)
             self.inside.append(
                 in_article or name in ("article", "main") or found.get("role", "").lower() == "main"
@@ -210,6 +234,21 @@ class Page:
                 self.articles.append(node)
         return name, node, mark
 
+    def _path(self, node: int) -> str:
+        path, steps = self.paths[node], []
+        while path:
+            path, step = self.steps[path]
+            steps.append(step)
+        return ">".join(reversed(steps))
+
+    def _number(self, path: str) -> int | None:
+        number: int | None = 0
+        for step in path.split(">") if path else ():
+            number = self.numbers.get((number, step))
+            if number is None:
+                return None
+        return number
+
     def proposal(self) -> tuple[str, int] | None:
         """Path of the container that seems to hold the article, and its characters
         outside links."""
@@ -227,25 +266,23 @@ class Page:
         ]
         if said:
             best = max(said, key=lambda node: (weight[node], -node))
-            return self.paths[best], weight[best]
+            return self._path(best), weight[best]
         best = 0
-        while True:
-            inner = [
-                node
-                for node in range(best + 1, len(weight))
-                if self.parents[node] == best and weight[node] >= HOLDS * weight[best]
-            ]
-            if not inner:
-                return self.paths[best], weight[best]
-            best = inner[0]
+        for node in range(1, len(weight)):  # what a container holds comes after it
+            if self.parents[node] == best and weight[node] >= HOLDS * weight[best]:
+                best = node
+        return self._path(best), weight[best]
 
     def text(self, paths: list[str]) -> str:
         """Blocks of the containers at the first of ``paths`` that the page has text at."""
         for path in paths:
+            number = self._number(path)
+            if number is None:
+                continue
             chosen = [False] * len(self.paths)
             for node in range(len(self.paths)):
                 above = node > 0 and chosen[self.parents[node]]
-                chosen[node] = above or self.paths[node] == path
+                chosen[node] = above or self.paths[node] == number
             found = [block for node, block, _ in self.blocks if chosen[node]]
             if found:
                 return "\n".join(found)
