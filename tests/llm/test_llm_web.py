@@ -1,9 +1,13 @@
 """Archives, main texts and nearest neighbours."""
 
 import base64
+import gzip
 import hashlib
+import io
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from adlake.llm import host_paths, multi_index, warc
@@ -67,6 +71,66 @@ ARTICLE = """<!DOCTYPE html><html><head><title>t</title></head><body><header><h1
 <aside>side</aside><!-- <p>no --><footer>&copy; x</footer>"""
 
 
+def _member(kind, id, payload, name=""):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {id}\r\nContent-Length: {len(payload)}\r\n\r\n"
+    packed = io.BytesIO()
+    with gzip.GzipFile(name, "wb", fileobj=packed) as out:
+        out.write(head.encode() + payload + b"\r\n\r\n")
+    return packed.getvalue()
+
+
+def _places(data, size):
+    file, size = pa.BufferReader(data), size or len(data)
+    return [
+        (at, found and found["payload"])
+        for start in range(0, len(data), size)
+        for at, found in warc.records_in(file, len(data), start, min(start + size, len(data)))
+    ]
+
+
+def test_archives_of_other_programs_are_read(spark, tmp_path):
+    members = [
+        _member("warcinfo", "<urn:uuid:6f1c0e5e-0000-4000-8000-0123456789ab>", b"software: x", "a.warc"),
+        _member("request", "<urn:page:9999999999999999999999>", b"GET / HTTP/1.1", "b"),
+        _member("response", "<urn:page:7>", np.random.default_rng(1).bytes(3 << 20)),
+        _member("response", "", b""),
+    ]
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(b"".join(members))
+    size = path.stat().st_size
+    listed = spark.createDataFrame([(str(path), size)], "path string, size long")
+    for step in (1 << 16, size):
+        rows = warc.read_archives(spark, listed, step).orderBy("at").collect()
+        assert [row.record_type for row in rows] == ["warcinfo", "request", "response", "response"]
+        assert [row.page_id for row in rows] == [None, None, 7, None]
+        assert rows[0].record_id.startswith("<urn:uuid:") and len(rows[2].payload) == 3 << 20
+
+
+@pytest.mark.parametrize("hurt", range(5))
+@pytest.mark.parametrize("offset", [0, 2, 10, 40, -3])
+def test_no_damaged_record_is_passed_over(hurt, offset):
+    members = [_member("response", f"<urn:page:{i}>", bytes([65 + i]) * 3 + bytes(range(256)) * 3) for i in range(5)]
+    starts = [sum(map(len, members[:i])) for i in range(5)]
+    data = bytearray(b"".join(members))
+    data[starts[hurt] + offset % len(members[hurt])] ^= 0xFF
+    for size in (7, 64, len(members[0]), 0):
+        found = _places(bytes(data), size)
+        assert [at for at, payload in found if payload is not None] == [s for i, s in enumerate(starts) if i != hurt]
+        assert [at for at, payload in found if payload is None] == [starts[hurt]]
+
+
+def test_damage_ends_the_job_or_is_a_row(spark, tmp_path):
+    data = b"".join(_member("response", f"<urn:page:{i}>", b"x" * 900) for i in range(3))
+    path = tmp_path / "cut.warc.gz"
+    path.write_bytes(data[:-5])
+    listed = spark.createDataFrame([(str(path), len(data) - 5)], "path string, size long")
+    with pytest.raises(Exception, match="damaged record at byte"):
+        warc.read_archives(spark, listed).collect()
+    rows = warc.read_archives(spark, listed, strict=False).orderBy("at").collect()
+    assert [row.record_type for row in rows] == ["response", "response", warc.DAMAGED]
+    assert rows[2].path == str(path) and rows[2].payload is None
+
+
 def test_main_text_of_a_page():
     page = host_paths.Page(ARTICLE)
     path = page.proposal()[0]
@@ -121,6 +185,44 @@ def test_deep_and_broken_pages_are_read():
     assert broken.text([broken.proposal()[0]]).startswith("a < b")
 
 
+@pytest.mark.parametrize(
+    "piece", ["<a ", "<div>", "<a<b'", "<ul><li>", "<!-", "<script ", '<a ">" ', "<div class=x></section>"]
+)
+def test_hostile_pages_take_linear_time(piece):
+    def seconds(n):
+        start = time.process_time()
+        page = host_paths.Page(piece * n + '"')
+        page.text([(page.proposal() or ("",))[0]])
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(40_000) < 20 * seconds(5_000) + 0.5
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a<script>if (a > b) c", "a"),
+        ("<p>a<!-- b > c", "a"),
+        ("<p>a<p>b <!-- c", "a\nb"),
+        ("<p>a<script>b</script>c", "ac"),
+        ("no tags", "no tags"),
+        ("a < b", "a < b"),
+        ("<div class='[&>p]:mt-2'><p>a</div>", "a"),
+        ("<p>a</section></div>b", "ab"),
+    ],
+)
+def test_what_a_page_leaves_open(page, text):
+    page = host_paths.Page(page)
+    assert page.text([page.proposal()[0]]) == text
+
+
+def test_repeated_rows_are_extracted_alike(spark):
+    rows = [(1, "http://a.example/1", f"<html><body><article>{BODY}</article></body></html>")] * 3
+    found = host_paths.extract(spark.createDataFrame(rows, PAGE)).collect()
+    assert len(found) == 3 and {row.text for row in found} == {BODY.removeprefix("<p>")}
+
+
 def test_probing_finds_all_within_the_radius():
     codes = np.random.default_rng(4).integers(0, 1 << 63, (300, 4)).astype("<u8")
     codes[100:200] = codes[:100] ^ np.uint64(0b1011)
