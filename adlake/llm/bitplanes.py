@@ -34,12 +34,15 @@ BLOCK = 1 << 16
 
 
 def to_planes(ids: np.ndarray, planes: int, by: int) -> list[bytes]:
-    """``planes`` planes of ``by`` bits (1 or 8) of up to 32-bit ids, lowest first."""
-    raw = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    """``planes`` planes of ``by`` bits (1 or 8) of ids of 16 or 32 bits, lowest first."""
+    width = ids.dtype.itemsize
+    raw = np.ascontiguousarray(ids).view(np.uint8).reshape(-1, width)
+    whole = [np.ascontiguousarray(raw[:, k]) for k in range(min(width, -(-planes * by // 8)))]
     if by == 8:
-        return [raw[:, k].tobytes() for k in range(planes)]
-    bits = np.unpackbits(raw[:, : -(-planes // 8)], axis=1, bitorder="little")
-    return [np.packbits(bits[:, k], bitorder="little").tobytes() for k in range(planes)]
+        return [part.tobytes() for part in whole]
+    return [
+        np.packbits(whole[k // 8] & (1 << k % 8), bitorder="little").tobytes() for k in range(planes)
+    ]
 
 
 def from_planes(planes: list[bytes], count: int, by: int) -> np.ndarray:
@@ -49,11 +52,12 @@ def from_planes(planes: list[bytes], count: int, by: int) -> np.ndarray:
         for k, plane in enumerate(planes):
             raw[:, k] = np.frombuffer(plane, np.uint8)
     else:
-        bits = np.zeros((count, 8 * -(-len(planes) // 8)), np.uint8)
-        for k, plane in enumerate(planes):
-            bits[:, k] = np.unpackbits(np.frombuffer(plane, np.uint8), bitorder="little")[:count]
-        packed = np.packbits(bits, axis=1, bitorder="little")
-        raw[:, : packed.shape[1]] = packed
+        for first in range(0, len(planes), 8):
+            part = np.zeros(count, np.uint8)
+            for k, plane in enumerate(planes[first : first + 8]):
+                bits = np.unpackbits(np.frombuffer(plane, np.uint8), count=count, bitorder="little")
+                part |= bits << k
+            raw[:, first // 8] = part
     return raw.view("<u4").reshape(-1)
 
 

@@ -210,3 +210,31 @@ def test_scoring_stands_awkward_rows(spark):
     assert {row.n_tokens for row in rows if row.id in (3, 4, 5)} == {1}
     assert all(math.isfinite(row.score) for row in rows)
     assert pitman_yor.score_corpus(docs(spark, [])).count() == 0
+
+
+def test_id_files_query_against_the_library(spark, sf_dir, encoder):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    start, expected = 0, []
+    for row in sorted(rows, key=lambda row: row.doc_id):
+        ids = [*library_ids(encoder, row.text), 2]
+        expected.append((row.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    found = QUERIES["op7_bit_planes"](spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_packing_query_against_the_library(spark, sf_dir, encoder):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    ids = {row.doc_id: np.array([*library_ids(encoder, row.text), 0], "<u4") for row in rows}
+    pieces = QUERIES["op10_hilbert_packing"](spark, sf_dir).collect()
+    held, filled = collections.defaultdict(list), collections.defaultdict(list)
+    for row in pieces:
+        piece = ids[row.doc_id][row.start : row.start + row.length]
+        assert len(piece) == row.length and zlib.crc32(piece.tobytes()) == row.ids_crc32
+        assert row.doc_tokens == len(ids[row.doc_id])
+        held[row.doc_id].append((row.start, row.length))
+        filled[row.sequence_id].append((row.offset, row.length))
+    for spans, whole in [*((held[i], len(ids[i])) for i in ids), *((s, None) for s in filled.values())]:
+        ends = [0, *itertools.accumulate(length for _, length in sorted(spans))]
+        assert [at for at, _ in sorted(spans)] == ends[:-1]
+        assert ends[-1] == whole if whole else ends[-1] <= 1024
