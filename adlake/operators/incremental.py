@@ -9,14 +9,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BinaryType,
+    BooleanType,
     DataType,
     DateType,
+    DecimalType,
     IntegralType,
     StringType,
+    TimestampNTZType,
+    TimestampType,
 )
 
 from adlake import spec as S
@@ -28,6 +32,21 @@ from adlake.sources.readers import has_rows, time_literal
 BROADCAST_BYTES = 64 * 1024 * 1024
 BYTES_PER_KEY = 32
 
+# Words of 64 bits that the filter over a batch's keys has at most: some 50 MB as a hash
+# table. It is given four keys a word, which lets 1 in 200 other keys through, and beyond
+# its full size up to 16, which let through 1 in 6; with more it would sort out too little.
+FILTER_WORDS = 1 << 20
+KEYS_PER_WORD = 4
+MOST_PER_WORD = 16
+
+
+class KeyFilter(NamedTuple):
+    """A Bloom filter over keys: of each key's word, the bits its hash stands for."""
+
+    words: DataFrame
+    size: int
+    types: list[DataType]
+
 
 class BatchKeys(NamedTuple):
     """What is known about the keys of a batch, from one aggregate over them."""
@@ -37,6 +56,7 @@ class BatchKeys(NamedTuple):
     lowest: tuple
     highest: tuple
     few: DataFrame | None
+    filter: KeyFilter | None = None
 
 
 def high_water_mark(df: DataFrame, ts: str) -> DataFrame:
@@ -72,13 +92,74 @@ def _has_order(dtype: DataType) -> bool:
     return isinstance(dtype, (IntegralType, StringType, DateType))
 
 
+def _word_and_bits(df: DataFrame, keys: Sequence[str], size: int) -> tuple[Column, Column]:
+    """Which of ``size`` words a key belongs to, and up to four bits of that word. Whole
+    numbers of any width that are equal have the same."""
+    whole = [
+        F.col(name).cast("long") if isinstance(df.schema[name].dataType, IntegralType) else F.col(name)
+        for name in keys
+    ]
+    hashed = F.xxhash64(*whole)
+    one, bits = F.lit(1).cast("long"), F.lit(0).cast("long")
+    for place in range(0, 24, 6):
+        bit = F.shiftright(hashed, place).bitwiseAND(F.lit(63)).cast("int")
+        bits = bits.bitwiseOR(F.call_function("shiftleft", one, bit))
+    return F.pmod(F.shiftright(hashed, 24), F.lit(size)), bits
+
+
+def key_filter(df: DataFrame, keys: Sequence[str], rows: int, most: int = FILTER_WORDS) -> KeyFilter | None:
+    """A filter over the keys of ``df``, which has ``rows`` rows; None if they are too many
+    for ``most`` words. Tasks combine the bits of their own keys before the words meet."""
+    if rows > most * MOST_PER_WORD:
+        return None
+    size = 1
+    while size < most and size * KEYS_PER_WORD < rows:
+        size *= 2
+    word, bits = _word_and_bits(df, keys, size)
+    words = (
+        drop_null_keys(df, keys)
+        .select(word.alias("__word"), bits.alias("__bits"))
+        .groupBy("__word")
+        .agg(F.bit_or("__bits").alias("__bits"))
+    )
+    return KeyFilter(words, size, [df.schema[name].dataType for name in keys])
+
+
+def _hashed_alike(a: DataType, b: DataType) -> bool:
+    """Whether keys of these types that a join finds equal have the same hash for sure."""
+    if isinstance(a, IntegralType) and isinstance(b, IntegralType):
+        return True
+    plain = (BinaryType, BooleanType, DateType, DecimalType, TimestampType, TimestampNTZType)
+    return a == b and (isinstance(a, plain) or a == StringType())
+
+
+def may_be_in(df: DataFrame, keys: Sequence[str], batch: KeyFilter) -> DataFrame:
+    """Rows of ``df`` whose key may be one of the batch's: all that are, and few others.
+
+    The words are broadcast, no more rows than the filter has words, so rows go where they
+    are scanned, ahead of any shuffle. Keys of types that might hash differently are kept.
+    """
+    if not all(_hashed_alike(df.schema[name].dataType, kind) for name, kind in zip(keys, batch.types)):
+        return df
+    word, bits = _word_and_bits(df, keys, batch.size)
+    asked = df.select("*", word.alias("__of"), bits.alias("__asked"))
+    met = (F.col("__of") == F.col("__word")) & (
+        F.col("__bits").bitwiseAND(F.col("__asked")) == F.col("__asked")
+    )
+    return asked.join(F.broadcast(batch.words), met, "left_semi").select(*df.columns)
+
+
 def measure_keys(
-    df: DataFrame, keys: Sequence[str], broadcast_bytes: int = BROADCAST_BYTES
+    df: DataFrame,
+    keys: Sequence[str],
+    broadcast_bytes: int = BROADCAST_BYTES,
+    filter_words: int = FILTER_WORDS,
 ) -> BatchKeys:
     """Count the rows of a batch, size its keys and find their bounds.
 
     ``few`` are the keys themselves if they were measured to take no more than
-    ``broadcast_bytes``, so that they may be broadcast, else None: join by shuffle.
+    ``broadcast_bytes``, so that they may be broadcast. Else it is None, and ``filter``
+    is a filter over them of at most ``filter_words`` words, None if that is too small.
     """
     width = F.lit(BYTES_PER_KEY)
     for name in keys:
@@ -93,8 +174,9 @@ def measure_keys(
         F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0)).cast("long"), *bounds
     ).first()
     few = df.select(*keys) if size <= broadcast_bytes else None
+    filter = None if few is not None else key_filter(df, keys, rows, filter_words)
     half = len(keys)
-    return BatchKeys(rows, size, tuple(bounds[:half]), tuple(bounds[half:]), few)
+    return BatchKeys(rows, size, tuple(bounds[:half]), tuple(bounds[half:]), few, filter)
 
 
 def within_bounds(df: DataFrame, keys: Sequence[str], batch: BatchKeys) -> DataFrame:
@@ -128,7 +210,9 @@ def unseen_rows(
     ``existing``; if they are few, they are broadcast to cut it down where it is
     scanned, and the keys that are left, no more than those of the batch, are
     broadcast in turn: neither side's rows are shuffled. Otherwise both sides are
-    shuffled once.
+    shuffled once, but of ``existing`` only what passes the filter over the batch's
+    keys; what passes wrongly finds no match in the join. Beyond the filter's size all
+    keys within the bounds are shuffled.
 
     ``salts`` > 1 splits every key of ``new`` over that many partitions, for a
     ``new`` in which one key may hold a large share; the keys of ``existing``
@@ -142,6 +226,8 @@ def unseen_rows(
         if batch.few is not None:
             met = seen.join(F.broadcast(batch.few), keys, "left_semi").distinct()
             return new.join(F.broadcast(met), keys, "left_anti")
+        if batch.filter is not None:
+            seen = may_be_in(seen, keys, batch.filter)
     seen = seen.distinct()
     if salts == 1:
         return new.join(seen, keys, "left_anti")

@@ -85,6 +85,25 @@ def new_keys_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.drop("l_shipdate")
 
 
+@checked(
+    sql(
+        f"""SELECT Campaign_ID, {TIE_LIST} FROM campaigns n
+            WHERE {LATER} AND Campaign_ID IS NOT NULL
+              AND NOT EXISTS (SELECT 1 FROM campaigns e
+                              WHERE e.Campaign_ID = n.Campaign_ID AND e.{EARLIER})
+            QUALIFY row_number() OVER (PARTITION BY Campaign_ID ORDER BY {TIE_LIST}) = 1"""
+    )
+)
+def new_keys_beyond_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The increment of a layer by a batch whose keys count as too many to broadcast: they
+    are put into a filter that the layer's rows must pass before they are shuffled."""
+    rows = feed.campaigns(spark, sf_dir, "Campaign_ID")
+    batch, stored = feed.later(rows), feed.earlier(rows)
+    measured = I.measure_keys(batch, SPEC.keys, broadcast_bytes=0)
+    fresh = I.new_rows(batch, stored, SPEC.keys, dedupe_order(batch, SPEC), measured)
+    return fresh.drop("l_shipdate")
+
+
 @checked(
     sql(
         f"""SELECT {FILTERED_LIST} FROM filtered

@@ -154,6 +154,44 @@ def test_keys_are_measured_in_bytes(spark):
     assert (empty.rows, empty.size, empty.lowest) == (0, 0, (None,))
 
 
+def test_filter_lets_all_own_keys_through_and_few_others(spark):
+    df = spark.range(4000).select(F.concat(F.lit("key "), F.col("id")).alias("k"), "id")
+    own = I.key_filter(df.where("id < 1000").unionByName(df.limit(0)), ["k", "id"], 1000)
+    assert own.size == 256 and own.words.count() <= 256
+    passed = I.may_be_in(df, ["k", "id"], own)
+    assert passed.columns == df.columns
+    found = {row.id for row in passed.collect()}
+    assert set(range(1000)) <= found and len(found) < 1000 + 3000 * 0.03
+    full = I.key_filter(df, ["k"], 4000, most=256)
+    assert full.size == 256 and I.key_filter(df, ["k"], 4097, most=256) is None
+    more = df.select(F.concat(F.lit("other "), F.col("id")).alias("k"))
+    assert I.may_be_in(more, ["k"], full).count() < 4000 * 0.3
+
+
+def test_filter_takes_whole_numbers_of_any_width_as_equal(spark):
+    narrow = spark.createDataFrame([(1,), (-5,), (None,)], "k int")
+    wide = spark.createDataFrame([(1,), (-5,), (1 << 40,), (None,)], "k long")
+    for own, other in ((narrow, wide), (wide, narrow)):
+        found = {row.k for row in I.may_be_in(other, ["k"], I.key_filter(own, ["k"], 4, most=1 << 16)).collect()}
+        assert {1, -5} <= found and None not in found
+    words = spark.createDataFrame([("1",)], "k string")
+    assert I.may_be_in(words, ["k"], I.key_filter(wide, ["k"], 4)).count() == 1
+    assert I.may_be_in(wide, ["k"], I.key_filter(wide.limit(0), ["k"], 0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [0, 1, 8, 1 << 20])
+@pytest.mark.parametrize("salts", [1, 4])
+def test_unseen_rows_of_a_batch_too_large_to_broadcast(spark, words, salts):
+    """Whatever the filter lets through, the rows are those of brute force."""
+    new = [(7 if i % 3 == 0 else i, i) for i in range(900)] + [(None, 1)]
+    existing = [(11 if i % 3 == 0 else 2 * i, i) for i in range(600)] + [(None, 2)]
+    left = spark.createDataFrame(new, "k long, v long")
+    right = spark.createDataFrame(existing, "k int, v long")
+    batch = I.measure_keys(left, ["k"], broadcast_bytes=0, filter_words=words)
+    assert batch.few is None and (batch.filter is None) == (words < 900 / I.MOST_PER_WORD)
+    assert rows_of(I.unseen_rows(left, right, ["k"], batch, salts)) == brute_unseen(new, existing)
+
+
 @pytest.mark.parametrize(
     ("kind", "known", "new"),
     [

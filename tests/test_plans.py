@@ -66,6 +66,22 @@ def test_clean_is_one_shuffle_with_a_limit_on_the_map_side(lake):
     assert "try_to_date" not in below and "translate" not in below
 
 
+def test_layer_passes_the_filter_of_a_large_batch_before_its_shuffle(spark, lake, no_broadcast):
+    """Of the stored side only what may be met is shuffled; so much less, the smaller the batch."""
+    stored = lake.read("silver")
+    shuffled = []
+    for share in (0.5, 0.01):
+        batch = feed.campaigns(spark, "/root/testdata/sf0.001").sample(share, 3)
+        measured = I.measure_keys(batch, SPEC.keys, broadcast_bytes=0)
+        text = plan(I.unseen_rows(batch, stored, SPEC.keys, measured))
+        side = text[text.rindex("BroadcastHashJoin") :]
+        assert "LeftSemi" in side.split("\n")[0] and "Campaign_ID" in side
+        assert re.search(r"SortMergeJoin|ShuffledHashJoin", text[: text.rindex("BroadcastHashJoin")])
+        assert text.index("Exchange hashpartitioning(Campaign_ID") < text.rindex("BroadcastHashJoin")
+        shuffled.append(I.may_be_in(stored, SPEC.keys, measured.filter).count())
+    assert shuffled[1] < 0.1 * shuffled[0] and shuffled[0] < stored.count()
+
+
 def test_business_filter_reaches_the_scan(lake):
     text = formatted(C.business_filter(lake.read("silver"), SPEC))
     pushed = re.search(r"PushedFilters: \[(.*)\]", text).group(1)
