@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from llm_rows import DOCS, clashing, docs
 
 from adlake.llm import bitplanes, bpe, chunks, packing, pitman_yor
@@ -152,11 +153,111 @@ def test_scores_against_brute_force(spark, sf_dir):
     assert better > 0
 
 
-def test_probabilities_sum_to_one(spark, sf_dir):
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
-    model = pitman_yor.learn(texts)
-    sums = (10 ** model.known(model.words.toArrow())).sum(0)
-    assert sums + 10 ** model.unknown() == pytest.approx(np.ones(pitman_yor.CLASSES + 1), rel=1e-6)
+def with_held(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(docs.doc_id.alias("id"), pitman_yor.held_out_of(docs.doc_id).alias("held_out"), "text")
+
+
+def seats_of(model):
+    """Per pair its customers and the tables of each seating, and per word its customers
+    and for each seating tables after it and both numbers of the shared restaurant."""
+    pairs, words = {}, {}
+    for row in model.pairs.collect():
+        keys = zip(np.frombuffer(row.keys, np.uint64).tolist(), np.frombuffer(row.x, np.uint64).tolist(), strict=True)
+        kept = np.frombuffer(row.z, np.int64).reshape(len(model.seatings), -1).T.tolist()
+        pairs |= dict(zip(keys, zip(np.frombuffer(row.c, np.int64).tolist(), kept, strict=True), strict=True))
+    for row in model.words.collect():
+        keys = np.frombuffer(row.keys, np.uint64).tolist()
+        kept = np.frombuffer(row.z, np.int64).reshape(len(model.seatings), 3, len(keys)).transpose(2, 0, 1).tolist()
+        words |= dict(zip(keys, zip(np.frombuffer(row.c, np.int64).tolist(), kept, strict=True), strict=True))
+    return pairs, words
+
+
+@pytest.fixture(scope="module")
+def model(spark, sf_dir):
+    return pitman_yor.learn(with_held(spark, sf_dir))
+
+
+@pytest.fixture(scope="module")
+def learnt(spark, sf_dir):
+    """Per row of the table: id, whether held out, and hashes of its tokens."""
+    rows = with_held(spark, sf_dir).collect()
+    return [(r.id, r.held_out, [xxhash.xxh64_intdigest(w) for w in pitman_yor.tokens(r.text)]) for r in rows]
+
+
+def pairs_of(words):
+    return zip([pitman_yor.END, *words], words, strict=False)
+
+
+def test_seats_against_brute_force(model, learnt):
+    met = collections.Counter(p for _, held, words in learnt if not held for p in pairs_of(words))
+    seen = collections.Counter(w for _, held, words in learnt if not held for w in words)
+    pairs, words = seats_of(model)
+    assert {pair: c for pair, (c, _) in pairs.items()} == {pair: n for pair, n in met.items() if n > 1}
+    assert {word: c for word, (c, _) in words.items()} == seen
+    for at, shared in enumerate(model.seatings):
+        after, served = collections.Counter(), collections.Counter()
+        for pair, n in met.items():
+            tables = pairs[pair][1][at] if n > 1 else 1
+            assert 1 <= tables <= n
+            after[pair[0]] += tables
+            served[pair[1]] += tables
+        assert all(kept[at][:2] == [after[w], served[w]] for w, (_, kept) in words.items())
+        assert all(1 <= kept[at][2] <= kept[at][1] for _, kept in words.values())
+        assert (shared.customers, shared.kinds) == (sum(seen.values()), len(seen))
+        assert shared.served == sum(served.values()) and shared.held == sum(k[at][2] for _, k in words.values())
+
+
+def chance(model, met, pairs, words, before, word):
+    """Probability of one word after another, averaged over the seatings, by the rule."""
+    n = met[before, word]
+    total, none = 0.0, (0, [[0, 0, 0]] * len(model.seatings))
+    for at, shared in enumerate(model.seatings):
+        _, served, held = words.get(word, none)[1][at]
+        new = (pitman_yor.THETA_TOP + shared.d_top * shared.held) / (shared.kinds + 1)
+        top = (served - shared.d_top * held + new) / (pitman_yor.THETA_TOP + shared.served)
+        context, after = words.get(before, none)
+        tables = pairs[before, word][1][at] if n > 1 else n
+        room = pitman_yor.THETA + shared.d * after[at][0]
+        total += (n - shared.d * tables + room * top) / (pitman_yor.THETA + context)
+    return total / len(model.seatings)
+
+
+def test_model_scores_against_brute_force(model, learnt):
+    met = collections.Counter(p for _, held, words in learnt if not held for p in pairs_of(words))
+    pairs, words = seats_of(model)
+    expected = sorted(
+        (id, sum(math.log10(chance(model, met, pairs, words, *pair)) for pair in pairs_of(own)))
+        for id, _, own in learnt
+    )
+    found = sorted((row.id, row.score) for row in pitman_yor.score(model).collect())
+    assert [id for id, _ in found] == [id for id, _ in expected]
+    assert [s for _, s in found] == pytest.approx([s for _, s in expected], rel=1e-9)
+
+
+def test_probabilities_sum_to_one(model, learnt):
+    met = collections.Counter(p for _, held, words in learnt if not held for p in pairs_of(words))
+    pairs, words = seats_of(model)
+    frequent = [word for word, _ in collections.Counter(p[0] for p in met).most_common(3)]
+    for before in [*frequent, pitman_yor.END, next(iter(words)), 1]:  # 1 is the hash of no word
+        sums = math.fsum(chance(model, met, pairs, words, before, word) for word in [*words, 2])
+        assert sums == pytest.approx(1, rel=1e-9)
+
+
+def test_held_out_texts_are_predicted_from_the_word_before(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[(i * 7 + k * (1 + i % 2)) % 40] for k in range(60))) for i in range(200)]
+    rows = pitman_yor.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [row for row in rows if row.held_out]
+    # Two words may follow each, so some two bits a token at the most; 40 are known.
+    assert held and max(row.perplexity for row in held) < 4
+
+
+def test_held_out_perplexity(spark):
+    """Plain counts come to 11,658 there, nine classes of contexts came to 6,046."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [row for row in pitman_yor.score_corpus(docs).collect() if row.held_out]
+    assert 10 ** (-sum(row.score for row in rows) / sum(row.n_tokens for row in rows)) < 3500
 
 
 def mean_tables(count, weight, d):
@@ -171,37 +272,56 @@ def mean_tables(count, weight, d):
     return (p * tables).sum() / p.sum()
 
 
-@pytest.mark.parametrize("one_by_one", [1, 1 << 20])
-@pytest.mark.parametrize(("count", "weight", "d"), [(40, 3.0, 0.6), (400, 60.0, 0.8)])
-def test_seatings_follow_their_distribution(monkeypatch, one_by_one, count, weight, d):
-    monkeypatch.setattr(pitman_yor, "ONE_BY_ONE", one_by_one)
-    draw, rng = random.Random(1).random, np.random.default_rng(1)
-    sizes, seen = [count], []
-    for sweep in range(800):
-        pitman_yor.reseat(sizes, weight, d, draw, rng)
-        assert sum(sizes) == count and min(sizes) > 0
-        seen += [len(sizes)] if sweep >= 50 else []
-    assert np.mean(seen) == pytest.approx(mean_tables(count, weight, d), rel=0.04)
+@pytest.mark.parametrize("exact", [64, 1024])
+@pytest.mark.parametrize(
+    ("count", "p", "theta", "d"),
+    [(40, 0.3, 3.0, 0.6), (400, 0.02, 60.0, 0.8), (300, 0.001, 2.0, 0.5), (1000, 0.02, 500.0, 0.7)],
+)
+def test_seatings_follow_their_distribution(monkeypatch, exact, count, p, theta, d):
+    """Up to ``EXACT`` by the numbers themselves, beyond by what is close to them."""
+    ways = pitman_yor.stirling(d, count)[count, 1:]
+    weight = ways + np.cumsum(np.log(p * (theta + d * (20 + np.arange(count)))))
+    weight = np.exp(weight - weight.max())
+    tables = np.arange(1, count + 1)
+    mean = (weight * tables).sum() / weight.sum()
+    spread = math.sqrt((weight * (tables - mean) ** 2).sum() / weight.sum())
+    monkeypatch.setattr(pitman_yor, "EXACT", exact)
+    many = 20_000
+    drawn = pitman_yor.draw_tables(
+        np.full(many, count), np.full(many, 20), np.full(many, p), theta, d, np.random.default_rng(1)
+    )
+    assert drawn.min() >= 1 and drawn.max() <= count
+    assert drawn.mean() == pytest.approx(mean, rel=0.01 if exact >= count else 0.05)
+    assert drawn.std() == pytest.approx(spread, rel=0.05 if exact >= count else 0.15, abs=0.05)
 
 
-def test_a_sweep_moves_all_customers_of_a_frequent_word():
-    count, room = 1_000_000, np.array([2000.0, 0.0])
-    seating = pitman_yor.Seating(
-        0.5, 0.5, np.array([2e6, 0.0]), (room - pitman_yor.THETA) / 0.5, 4000, 2000, 100
-    )
-    row = [[b"hot"], [count], [[0]], [[count]], [[[count]]], [[2000]], [[0.0]], [[]]]
-    kinds = [pa.binary(), pa.int64(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.list_(pa.int64()))]
-    kinds += [pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 2]
-    names = [column.split()[0] for column in pitman_yor.STATE.split(", ")]
-    batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
-    (after,) = pitman_yor._sweep(iter([batch]), seating, 1, start=False, keep=False, move=True)
-    sizes = after.column(4)[0].as_py()[0]
-    assert sum(sizes) == count and len(sizes) > 100
-
-
-def test_contexts_follow_markers():
-    found = pitman_yor.contexts([b"x", b"the", b"y", b"der", b""], {b"the": 1, b"der": 2})
-    assert found.tolist() == [0, 0, 1, 1, 2]
+def test_stirling_numbers_give_the_expected_tables():
+    p = pitman_yor.stirling(0.6, 40)[40, 1:41] + np.arange(1, 41) * np.log(3.0)
+    p = np.exp(p - p.max())
+    assert (p * np.arange(1, 41)).sum() / p.sum() == pytest.approx(mean_tables(40, 3.0, 0.6), rel=1e-9)
+
+
+def test_log_gamma():
+    values = np.array([1e-3, 0.4, 1, 2.5, 30, 1e6])
+    assert pitman_yor.log_gamma(values) == pytest.approx([math.lgamma(x) for x in values], rel=1e-10, abs=1e-10)
+
+
+def test_a_frequent_pair_gets_as_many_tables_as_its_weight_asks():
+    # About ``room * log(1 + count / room)`` tables where ``d`` is small.
+    counts, p = np.full(50, 1_000_000), np.full(50, 0.05)
+    drawn = pitman_yor.draw_tables(counts, np.full(50, 20_000), p, 1.0, 0.05, np.random.default_rng(1))
+    room = 0.05 * (1 + 0.05 * 20_000)
+    assert drawn.mean() == pytest.approx(room * math.log(1 + 1e6 / room), rel=0.3)
+
+
+def test_blocks_hold_every_token(spark):
+    rows = [(i, i % 2 == 0, text) for i, text in enumerate([" A b\u00a0B \x1c x\x0b", "", None, "\tÄ a\n", "e" * 70_000])]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("id", "held_out", "text"), row, strict=True)) for row in rows])
+    row = pitman_yor._block([batch], 0)
+    words = np.frombuffer(row["words"], np.uint64)
+    own = [[xxhash.xxh64_intdigest(w) for w in pitman_yor.tokens(text)] for _, _, text in rows]
+    assert words[np.frombuffer(row["codes"], np.uint32)].tolist() == [w for words in own for w in words]
+    assert row["lengths"] == [len(words) for words in own]
 
 
 def test_scoring_stands_awkward_rows(spark):
