@@ -163,13 +163,14 @@ def seats_of(model):
     and for each seating tables after it and both numbers of the shared restaurant."""
     pairs, words = {}, {}
     for row in model.pairs.collect():
-        keys = zip(np.frombuffer(row.keys, np.uint64).tolist(), np.frombuffer(row.x, np.uint64).tolist(), strict=True)
-        kept = np.frombuffer(row.z, np.int64).reshape(len(model.seatings), -1).T.tolist()
-        pairs |= dict(zip(keys, zip(np.frombuffer(row.c, np.int64).tolist(), kept, strict=True), strict=True))
+        keys, before, after = pitman_yor._dense(row.asDict())
+        kept = pitman_yor._ints(row.z).reshape(len(model.seatings), -1).T.tolist()
+        seats = zip(pitman_yor._ints(row.c).tolist(), kept, strict=True)
+        pairs |= dict(zip(zip(keys[before].tolist(), keys[after].tolist(), strict=True), seats, strict=True))
     for row in model.words.collect():
-        keys = np.frombuffer(row.keys, np.uint64).tolist()
-        kept = np.frombuffer(row.z, np.int64).reshape(len(model.seatings), 3, len(keys)).transpose(2, 0, 1).tolist()
-        words |= dict(zip(keys, zip(np.frombuffer(row.c, np.int64).tolist(), kept, strict=True), strict=True))
+        keys = pitman_yor._hashes(row.keys).tolist()
+        kept = pitman_yor._ints(row.z).reshape(len(model.seatings), 3, len(keys)).transpose(2, 0, 1).tolist()
+        words |= dict(zip(keys, zip(pitman_yor._ints(row.c).tolist(), kept, strict=True), strict=True))
     return pairs, words
 
 
@@ -301,6 +302,11 @@ def test_stirling_numbers_give_the_expected_tables():
     assert (p * np.arange(1, 41)).sum() / p.sum() == pytest.approx(mean_tables(40, 3.0, 0.6), rel=1e-9)
 
 
+@pytest.mark.parametrize("values", [[], [0, 0], [3, 0, 255], [256], [1 << 40, 7]])
+def test_packed_numbers_come_back(values):
+    assert pitman_yor._ints(pitman_yor._pack(np.array(values, np.int64))).tolist() == values
+
+
 def test_log_gamma():
     values = np.array([1e-3, 0.4, 1, 2.5, 30, 1e6])
     assert pitman_yor.log_gamma(values) == pytest.approx([math.lgamma(x) for x in values], rel=1e-10, abs=1e-10)
@@ -318,9 +324,9 @@ def test_blocks_hold_every_token(spark):
     rows = [(i, i % 2 == 0, text) for i, text in enumerate([" A b\u00a0B \x1c x\x0b", "", None, "\tÄ a\n", "e" * 70_000])]
     batch = pa.RecordBatch.from_pylist([dict(zip(("id", "held_out", "text"), row, strict=True)) for row in rows])
     row = pitman_yor._block([batch], 0)
-    words = np.frombuffer(row["words"], np.uint64)
+    words = pitman_yor._hashes(row["words"])
     own = [[xxhash.xxh64_intdigest(w) for w in pitman_yor.tokens(text)] for _, _, text in rows]
-    assert words[np.frombuffer(row["codes"], np.uint32)].tolist() == [w for words in own for w in words]
+    assert words[pitman_yor._ints(row["codes"])].tolist() == [w for words in own for w in words]
     assert row["lengths"] == [len(words) for words in own]
 
 
