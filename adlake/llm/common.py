@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+from contextlib import contextmanager
 
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -40,6 +41,23 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within this, what a write has shuffled is removed from the executors' disks once it
+    is done, instead of when the driver's memory is next tidied up. For writes whose results
+    alone are read again. The session's setting is as before afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut, no part
     is computed twice, and a lost executor takes nothing along."""

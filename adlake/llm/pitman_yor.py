@@ -35,13 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlake.llm.common import filesystem, ship, small_batches, stored
+from adlake.llm.common import filesystem, ship, shuffles_dropped, small_batches
 from adlake.sources import shared_dir
 
 #: Sweeps over all pairs, and how many of them come before the first seating kept. The
-#: start, one table for each pair, is that of Kneser and Ney's counts.
-SWEEPS = 2
-BURN_IN = 0
+#: start, one table for each pair, is that of Kneser and Ney's counts; a seating kept must
+#: be some sweeps away from it.
+SWEEPS = 8
+BURN_IN = 5
 
 #: Concentration of every restaurant of a preceding word, and of the shared one.
 THETA = 1.0
@@ -537,27 +538,42 @@ class Model:
     parts: int
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path``, in place of what was there, and read again."""
+    spark = df.sparkSession
+    with shuffles_dropped(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def learn(docs: DataFrame) -> Model:
-    """A model of the rows of ``docs`` (``id``, ``held_out``, ``text``) not held out."""
+    """A model of the rows of ``docs`` (``id``, ``held_out``, ``text``) not held out.
+
+    A sweep reads nothing but the one before it, so sweeps are stored in two places in
+    turn, and the disk they take does not depend on how many there are.
+    """
     ship(docs.sparkSession)
-    blocks = stored(docs.select("id", "held_out", "text").mapInArrow(_blocks, BLOCKS), "blocks")
+    root = shared_dir(docs.sparkSession, "pitman_yor")
+    blocks = _stored(docs.select("id", "held_out", "text").mapInArrow(_blocks, BLOCKS), f"{root}/blocks")
     total = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     parts = max(8, -(-total // BUCKET))
     asked = blocks.drop("ids", "tokens").mapInArrow(partial(_ask_pairs, buckets=parts), ROW)
-    counted = stored(_grouped(asked, partial(_count, parts=parts), parts), "counts")
+    counted = _stored(_grouped(asked, partial(_count, parts=parts), parts), f"{root}/counts")
     places, pairs = _kinds(counted, "place"), counted
     d = discount(*_facts(counted, "pairs", 2))
     step = partial(_word_step, shared=None, seed=0, keep=False)
-    words = stored(_grouped(_kinds(counted, "first", "up"), step, parts), "words")
+    words = _stored(_grouped(_kinds(counted, "first", "up"), step, parts), f"{root}/words0")
     kinds, customers, once, twice, served, held = _facts(words, "words", 6)
     shared = Shared(customers, kinds, d, discount(once, twice), served, held)
     kept = []
     for sweep in range(1, SWEEPS + 1):
-        keep = sweep > BURN_IN
+        keep, slot = sweep > BURN_IN, sweep % 2
         step = partial(_pair_step, shared=shared, parts=parts, seed=sweep, first=sweep <= BURN_IN + 1)
-        pairs = stored(_grouped(_kinds(pairs, "pairs").unionByName(_kinds(words, "down")), step, parts), "pairs")
+        met = _kinds(pairs, "pairs").unionByName(_kinds(words, "down"))
+        pairs = _stored(_grouped(met, step, parts), f"{root}/pairs{slot}")
         step = partial(_word_step, shared=shared, seed=sweep, keep=keep)
-        words = stored(_grouped(_kinds(words, "words").unionByName(_kinds(pairs, "up")), step, parts), "words")
+        told = _kinds(words, "words").unionByName(_kinds(pairs, "up"))
+        words = _stored(_grouped(told, step, parts), f"{root}/words{slot}")
         *_, served, held = _facts(words, "words", 6)
         shared = Shared(customers, kinds, d, shared.d_top, served, held)
         if keep:
@@ -654,7 +670,8 @@ def score(model: Model) -> DataFrame:
     # A block reads its own folder, so that the texts aren't shuffled to what they are told.
     told = shared_dir(model.blocks.sparkSession, "told")
     answers = words.unionByName(pairs).withColumn("block", F.col("to"))
-    answers.repartition("block").write.partitionBy("block").parquet(told)
+    with shuffles_dropped(model.blocks.sparkSession):
+        answers.repartition("block").write.partitionBy("block").parquet(told)
     scored = partial(_scores, told=told, seatings=model.seatings, parts=model.parts)
     return model.blocks.drop("tokens").mapInArrow(scored, SCORES)
 

@@ -14,6 +14,7 @@ import xxhash
 from llm_rows import DOCS, clashing, docs
 
 from adlake.llm import bitplanes, bpe, chunks, packing, pitman_yor
+from adlake.llm.common import shuffles_dropped
 from adlake.llm.queries import QUERIES
 from adlake.sources import shared_dir
 
@@ -364,3 +365,22 @@ def test_packing_query_against_the_library(spark, sf_dir, encoder):
         ends = [0, *itertools.accumulate(length for _, length in sorted(spans))]
         assert [at for at, _ in sorted(spans)] == ends[:-1]
         assert ends[-1] == whole if whole else ends[-1] <= 1024
+
+
+def test_seatings_kept_are_some_sweeps_away_from_the_start(spark, sf_dir, monkeypatch, tmp_path):
+    assert pitman_yor.BURN_IN >= 5 and pitman_yor.SWEEPS - pitman_yor.BURN_IN >= 3
+    root = f"file://{tmp_path}"
+    monkeypatch.setattr(pitman_yor, "shared_dir", lambda spark, name: f"{root}/{name}")
+    model = pitman_yor.learn(with_held(spark, sf_dir).limit(50))
+    assert len(model.seatings) == pitman_yor.SWEEPS - pitman_yor.BURN_IN
+    # However many sweeps, two of them lie on disk.
+    kept = sorted(path.name for path in (tmp_path / "pitman_yor").iterdir())
+    assert kept == ["blocks", "counts", "pairs0", "pairs1", "words0", "words1"]
+
+
+def test_the_session_setting_is_as_before_shuffles_were_dropped(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
