@@ -24,6 +24,7 @@ from adlake.sources.readers import (
     with_corrupt_record,
     with_lineage,
 )
+from adlake.sources.sinks import ROWS_PER_FILE
 from adlake.spec import DEFAULT_SPEC, CampaignSpec
 
 #: The run that brought a row, by its time in microseconds.
@@ -56,6 +57,7 @@ def stream_to_bronze(
         .withColumn(RUN, F.lit(to_micros(run_ts)))
         .writeStream.format("parquet")
         .partitionBy(RUN, S.QUARANTINED)
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
         .option("checkpointLocation", f"{target}_checkpoint")
         .option("path", target)
         .trigger(availableNow=True)

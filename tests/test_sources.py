@@ -12,7 +12,7 @@ from samples import campaign, raw_table
 
 from adlake import RAW_SCHEMA
 from adlake import sources as io
-from adlake.sources import Lake
+from adlake.sources import Lake, sinks
 from adlake.spec import CORRUPT_RECORD, QUARANTINED
 
 
@@ -343,3 +343,11 @@ def test_sample_rows_leave_nulls_out(spark):
 def test_register_view(spark):
     io.register_view(spark.range(4), "four")
     assert spark.sql("SELECT count(*) FROM four").first()[0] == 4
+
+
+def test_no_file_of_a_layer_has_more_rows_than_a_task_can_hold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 30)
+    lake = Lake(spark, str(tmp_path))
+    stored = lake.replace("rows", spark.range(100).coalesce(1), 1)
+    per_file = stored.groupBy(F.input_file_name()).count()
+    assert sorted(row[1] for row in per_file.collect()) == [10, 30, 30, 30]
