@@ -259,6 +259,14 @@ def new_rows(
     return unseen_rows(first_per_key(keyed, keys, order_by), existing, keys, batch)
 
 
+def rows_of_keys(df: DataFrame, keys: Sequence[str], wanted: BatchKeys) -> DataFrame:
+    """Rows of ``df`` whose key is one of the ``wanted`` (from :func:`measure_keys`), without
+    a shuffle. Beyond those few enough to be broadcast, rows of some other keys pass too."""
+    if wanted.few is not None:
+        return df.join(F.broadcast(wanted.few), list(keys), "left_semi").select(*df.columns)
+    return df if wanted.filter is None else may_be_in(df, keys, wanted.filter)
+
+
 def union_by_name(existing: DataFrame, more: DataFrame, allow_missing: bool = False) -> DataFrame:
     """All rows of both; columns are matched by name. They must be the same, or with
     ``allow_missing`` are null where a side does not have one. Numbers take the wider type

@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from adlake import spec as S
 from adlake.operators import gold as G
-from adlake.operators.clean import business_filter, clean, dedupe_order
+from adlake.operators.clean import business_filter, clean, dedupe_order, first_per_key
 from adlake.operators.incremental import (
+    BatchKeys,
+    distinct_keys,
     measure_keys,
     new_rows,
+    rows_of_keys,
     unseen_rows,
 )
 from adlake.operators.metrics import update_metrics
@@ -88,12 +91,22 @@ def extend_bronze(
         count = lake.row_count(L.BRONZE)
         return {"received": count, "added": count - bad, "quarantined": bad}
     staging = f"{lake.root}/staging"
-    overwrite(rows, staging, parts)
+    overwrite(rows, staging, parts, "zstd")
     staged = read_parquet(lake.spark, staging, rows.schema)
     sound, stored = sound_rows(staged), lake.read(L.BRONZE)
     received = measure_keys(sound, spec.keys)
     order = dedupe_order(sound, spec)
-    fresh = new_rows(sound, sound_rows(stored), spec.keys, order, received)
+    if received.few is not None:
+        fresh = new_rows(sound, sound_rows(stored), spec.keys, order, received)
+    else:
+        fresh = unseen_only(
+            lake,
+            sound,
+            sound_rows(stored),
+            list(spec.keys),
+            received,
+            lambda rows: first_per_key(rows, spec.keys, order),
+        )
     bad = staged.where(S.QUARANTINED)
     found = bad.count()
     kept = 0
@@ -111,6 +124,30 @@ def extend_bronze(
     return {"received": received.rows + found, "added": added - kept, "quarantined": kept}
 
 
+def unseen_only(
+    lake: Lake,
+    rows: DataFrame,
+    known: DataFrame,
+    keys: list[str],
+    batch: BatchKeys,
+    step: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """``step`` of the rows whose key is not ``known``, for a batch too large for its keys to
+    be broadcast.
+
+    The unseen keys are found first, in a shuffle of nothing but keys, and stored; only
+    rows that may have one of them go into ``step``, which may shuffle whole rows. A
+    batch that was loaded before ends there.
+    """
+    unseen = unseen_rows(distinct_keys(rows, keys), known, keys, batch)
+    path = f"{lake.root}/staging_keys"
+    overwrite(unseen, path)
+    stored = read_parquet(lake.spark, path, unseen.schema)
+    wanted = measure_keys(stored, keys)
+    found = step(rows_of_keys(rows, keys, wanted))
+    return found if wanted.few is not None else found.join(stored, keys, "left_semi")
+
+
 def carry(
     lake: Lake,
     layer: str,
@@ -135,7 +172,10 @@ def carry(
     if waiting.rows == 0:
         lake.advance(layer, mark)
         return 0
-    fresh = unseen_rows(step(backlog), lake.read(layer), keys, waiting)
+    if waiting.few is not None:
+        fresh = unseen_rows(step(backlog), lake.read(layer), keys, waiting)
+    else:
+        fresh = unseen_only(lake, backlog, lake.read(layer), keys, waiting, step)
     return lake.append(layer, fresh, mark)
 
 

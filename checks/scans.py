@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from adlake import sources as io
 from adlake.plans.increment import extend_bronze
 from adlake.sources import Lake
+from adlake.sources.sinks import ROWS_PER_FILE
 from adlake.spec import CORRUPT_RECORD, DEFAULT_SPEC
 from checks import feed
 from checks.feed import BUSINESS, SPEC, SPLIT_DAY, sql
@@ -20,7 +21,8 @@ BUSINESS_LIST = ", ".join(f'"{name}"' for name in BUSINESS)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    """Raw files as they are often delivered: packed, and none too large for a task."""
+    df.write.option("header", True).option("maxRecordsPerFile", ROWS_PER_FILE).csv(path, compression="gzip")
 
 
 @checked(sql(f"SELECT {BUSINESS_LIST} FROM campaigns"))
@@ -91,7 +93,8 @@ def ragged_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
         .otherwise(F.to_csv(F.struct(*BUSINESS)))
     )
     files = rows.select(line.alias("value"), (F.col("l_linenumber") % 3).alias("file"))
-    files.write.partitionBy("file").text(path)
+    writer = files.write.partitionBy("file").option("maxRecordsPerFile", ROWS_PER_FILE)
+    writer.text(path, compression="gzip")
 
 
 def per_file(df: DataFrame, *more: Column) -> DataFrame:
