@@ -63,8 +63,9 @@ def snapshot_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All raw rows in two loads, dealt out by something that no tie break looks at first."""
-    rows = feed.campaigns(spark, sf_dir).select(*BUSINESS, *TIE_BREAK)
+    """All raw rows in two loads, dealt out by something that no tie break looks at first.
+    They are joined once for all loads."""
+    rows = feed.stored(feed.campaigns(spark, sf_dir).select(*BUSINESS, *TIE_BREAK), "raw_batches")
     even = F.col("l_partkey") % 2 == 0
     return rows.where(even), rows.where(~even)
 

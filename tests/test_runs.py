@@ -3,6 +3,7 @@
 import datetime as dt
 import shutil
 from dataclasses import replace
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,11 +15,13 @@ from adlake.operators import gold as G
 from adlake.operators.clean import business_filter, clean
 from adlake.operators.metrics import campaign_metrics
 from adlake.operators.incremental import measure_keys, unseen_rows
-from adlake.plans import run_full, run_increment, stages
+from adlake.plans import increment, run_full, run_increment, stages
 from adlake.plans.increment import extend_bronze
 from adlake.sources import Lake
 from adlake.spec import AUDIT_COLUMNS, DEFAULT_SPEC, RAW_SCHEMA
 from adlake.streaming import run_stream
+from checks import feed
+from checks import runs as checked_runs
 
 START = dt.datetime(2026, 2, 2, tzinfo=dt.UTC)
 TABLES = (
@@ -444,3 +447,31 @@ def test_keys_are_broadcast_only_up_to_the_limit_and_rows_agree(spark):
     assert few.few is not None and many.few is None
     fresh = [unseen_rows(batch, target, ["Campaign_ID"], keys) for keys in (few, many)]
     assert rows_of(fresh[0]) == rows_of(fresh[1])
+
+
+def test_a_batch_too_large_to_broadcast_moves_only_rows_of_unseen_keys(spark, tmp_path, monkeypatch):
+    root, plain = f"{tmp_path}/large", f"{tmp_path}/plain"
+    batches = (BATCH_1, BATCH_2 + BATCH_2, BATCH_2, BATCH_3)
+    for n, rows in enumerate(batches):
+        run_increment(spark, raw_table(spark, rows), plain, run_ts=hour(n))
+    monkeypatch.setattr(increment, "measure_keys", partial(measure_keys, broadcast_bytes=0))
+    unseen = []
+    for n, rows in enumerate(batches):
+        run_increment(spark, raw_table(spark, rows), root, run_ts=hour(n))
+        if n:
+            unseen.append(sorted(r[0] for r in spark.read.parquet(f"{root}/staging_keys").collect()))
+    keys = [{c["Campaign_ID"] for c in rows} - {None} for rows in batches]
+    assert unseen == [sorted(keys[1] - keys[0]), [], sorted(keys[3] - keys[0] - keys[1])]
+    for layer in ("silver", "filtered", "channel_summary"):
+        names = sorted(Lake(spark, plain).read(layer).columns)
+        found, expected = (rows_of(Lake(spark, at).read(layer).select(*names)) for at in (root, plain))
+        assert found == expected
+
+
+def test_raw_batches_are_joined_once_and_orders_meet_customers_first(spark, sf_dir):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    joins = [line for line in plan(feed.campaigns(spark, sf_dir)).splitlines() if "Join" in line]
+    assert "l_orderkey" in joins[0] and len(joins) == 5
+    assert all("Join" not in plan(batch) for batch in checked_runs.raw_batches(spark, sf_dir))
