@@ -79,22 +79,30 @@ def _arrow(schema: str) -> pa.Schema:
 
 def _pack(values: np.ndarray) -> bytes:
     """Integers from 0 on in as few bytes as the largest takes, compressed. Hashes, which
-    rise, as steps, byte by byte: the higher bytes of many hashes' steps are empty."""
+    rise, as steps. Both byte by byte: the higher bytes of most are empty."""
     if values.dtype == np.uint64:
-        steps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-        return zstandard.ZstdCompressor(level=1).compress(steps.T.tobytes())
+        return _planes(np.diff(values, prepend=np.uint64(0)))
     small = values.astype(np.min_scalar_type(int(values.max(initial=0))))
-    return bytes([small.itemsize]) + zstandard.ZstdCompressor(level=1).compress(small.tobytes())
+    return bytes([small.itemsize]) + _planes(small)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    width = values.itemsize
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _of_planes(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 def _ints(data: bytes) -> np.ndarray:
-    small = zstandard.ZstdDecompressor().decompress(data[1:])
-    return np.frombuffer(small, f"u{data[0]}").astype(np.int64)
+    return _of_planes(data[1:], data[0]).astype(np.int64)
 
 
 def _hashes(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_of_planes(data, 8), dtype=np.uint64)
 
 
 def _row(kind: str, to: int, of: int | None = None, facts: list[int] | None = None, **columns) -> dict:
@@ -210,7 +218,8 @@ class Pairs:
 
 def _dealt(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each part that has any, the places of what belongs to it, in order."""
-    order = np.argsort(part, kind="stable")
+    # Numbers of two bytes are sorted by counting.
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
     ends = np.searchsorted(part[order], np.arange(parts + 1))
     for at in range(parts):
         if ends[at] < ends[at + 1]:
@@ -266,7 +275,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     far = x + 8
     series = (far - 0.5) * np.log(far) - far + 0.5 * np.log(2 * np.pi)
     series += 1 / (12 * far) - 1 / (360 * far**3) + 1 / (1260 * far**5) - 1 / (1680 * far**7)
-    return series - sum(np.log(x + k) for k in range(8))
+    return series - np.log(math.prod(x + k for k in range(8)))
 
 
 @lru_cache(4)
@@ -363,16 +372,19 @@ def draw_tables(
     few = np.flatnonzero((counts > 1) & (counts <= EXACT))
     few = few[np.argsort(counts[few], kind="stable")]
     most = int(counts[few[-1]]) if len(few) else 1
-    ways = stirling(d, most)
+    ways = stirling(d, 1 << (most - 1).bit_length())
     ends = np.searchsorted(counts[few], np.arange(most + 2))
-    for c in range(2, most + 1):
+    c = 1
+    while c < most:
+        # Dishes of about as many customers at once; more tables than customers weigh nothing.
+        least, c = c + 1, min(most, c + 1 + c // 8)
         rows = max(1, 1_000_000 // c)
-        for at in range(ends[c], ends[c + 1], rows):
+        for at in range(ends[least], ends[c + 1], rows):
             mine = few[at : min(at + rows, ends[c + 1])]
             weight = np.zeros((len(mine), c))
             grow = np.log(d * p[mine, None] * (room[mine, None] + np.arange(1, c)))
             np.cumsum(grow, axis=1, out=weight[:, 1:])
-            weight += ways[c, 1 : c + 1]
+            weight += ways[counts[mine], 1 : c + 1]
             total = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
             aim = rng.random(len(mine)) * total[:, -1]
             drawn[mine] = 1 + (total < aim[:, None]).sum(1)
@@ -415,7 +427,7 @@ def _up(bucket: int, keys, before, words, tables, parts: int) -> list[dict]:
 
 def _count(rows: pa.Table, parts: int) -> pa.Table:
     """Of one bucket: the pairs met more than once, what all pairs add to their words,
-    and for every block where its pairs are found (from 2 on; 0 unknown, 1 met once)."""
+    and for every block how often its pairs are met, 2 standing for more, and where those are."""
     asked = _rows(rows, "asked")
     bucket = asked[0]["to"]
     met = [np.stack([keys[first], keys[second]]) for keys, first, second in map(_dense, asked)]
@@ -430,8 +442,11 @@ def _count(rows: pa.Table, parts: int) -> pa.Table:
     often = order[counts[order] > 1]
     found = np.minimum(counts, 1)
     found[often] = 2 + np.arange(len(often))
-    found = np.split(found[place], ends)
-    out = [_row("place", bucket, row["of"], x=mine) for row, mine in zip(asked, found, strict=True)]
+    out = []
+    for row, mine in zip(asked, np.split(found[place], ends), strict=True):
+        # Pairs come in one order everywhere, so places rise and are written as steps.
+        seats = (mine[mine > 1] - 2).astype(np.uint64)
+        out.append(_row("place", bucket, row["of"], keys=seats, x=np.minimum(mine, 2)))
     one = counts == 1
     sums = [np.bincount(words, counts, len(keys)).astype(np.int64)]
     sums += [np.bincount(of[one], minlength=len(keys)) for of in (before, words)]
@@ -528,7 +543,8 @@ def _kinds(rows: DataFrame, *kinds: str) -> DataFrame:
 @dataclass(frozen=True)
 class Model:
     """The texts' blocks; where their pairs are; all pairs and words with the seatings
-    kept; and what each of these seatings shares."""
+    kept; what each of these seatings shares; and the folders of the sweep before the last,
+    which nothing reads any more."""
 
     blocks: DataFrame
     places: DataFrame
@@ -536,6 +552,7 @@ class Model:
     words: DataFrame
     seatings: list[Shared]
     parts: int
+    spare: dict[str, str]
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -578,7 +595,8 @@ def learn(docs: DataFrame) -> Model:
         shared = Shared(customers, kinds, d, shared.d_top, served, held)
         if keep:
             kept.append(shared)
-    return Model(blocks, places, _kinds(pairs, "pairs"), _kinds(words, "words"), kept, parts)
+    spare = {name: f"{root}/{name}{1 - SWEEPS % 2}" for name in ("words", "pairs")}
+    return Model(blocks, places, _kinds(pairs, "pairs"), _kinds(words, "words"), kept, parts, spare)
 
 
 # -- scores ---------------------------------------------------------------------------
@@ -608,9 +626,8 @@ def _tell_pairs(rows: pa.Table, kept: int) -> pa.Table:
     known = np.vstack([_ints(state["c"]), _ints(state["z"]).reshape(kept, -1)])
     out = []
     for row in _rows(rows, "place"):
-        at = _ints(row["x"])
-        often = known[:, at[at > 1] - 2]
-        out.append(_row("pair", row["of"], row["to"], x=np.minimum(at, 2), y=often.ravel()))
+        often = known[:, _hashes(row["keys"]).astype(np.int64)]
+        out.append(_row("pair", row["of"], row["to"], y=often.ravel()) | {"x": row["x"]})
     return _table(out)
 
 
@@ -651,27 +668,34 @@ def _score(row: dict, told: pa.Table, seatings: list[Shared], parts: int) -> pa.
 
 
 def _scores(
-    batches: Iterator[pa.RecordBatch], told: str, seatings: list[Shared], parts: int
+    batches: Iterator[pa.RecordBatch], told: list[str], seatings: list[Shared], parts: int
 ) -> Iterator[pa.RecordBatch]:
-    files, path = filesystem(told)
+    folders = [filesystem(path) for path in told]
     for batch in batches:
         for row in batch.to_pylist():
-            found = dataset.dataset(f"{path}/block={row['block']}", _arrow(ROW), "parquet", filesystem=files)
-            yield _score(row, found.to_table(), seatings, parts)
+            found = [
+                dataset.dataset(f"{path}/block={row['block']}", _arrow(ROW), "parquet", filesystem=files)
+                for files, path in folders
+            ]
+            yield _score(row, pa.concat_tables([part.to_table() for part in found]), seatings, parts)
 
 
 def score(model: Model) -> DataFrame:
     """``id``, ``held_out``, ``n_tokens``, ``n_known``, ``base`` and ``score`` (log10) of
-    every row the model was made with."""
+    every row the model was made with. What the blocks are told takes the place of the
+    sweep before the last; scoring once more writes the same again."""
     kept = len(model.seatings)
     asked = model.blocks.select("block", "words").mapInArrow(partial(_ask_words, parts=model.parts), ROW)
     words = _grouped(model.words.unionByName(asked), partial(_tell_words, kept=kept), model.parts)
     pairs = _grouped(model.pairs.unionByName(model.places), partial(_tell_pairs, kept=kept), model.parts)
-    # A block reads its own folder, so that the texts aren't shuffled to what they are told.
-    told = shared_dir(model.blocks.sparkSession, "told")
-    answers = words.unionByName(pairs).withColumn("block", F.col("to"))
-    with shuffles_dropped(model.blocks.sparkSession):
-        answers.repartition("block").write.partitionBy("block").parquet(told)
+    # A block reads its own folders, so that the texts aren't shuffled to what they are told.
+    # Words and pairs are written one after the other, and the shuffles of the first are gone
+    # before the second begins.
+    for rows, path in ((words, model.spare["words"]), (pairs, model.spare["pairs"])):
+        answers = rows.withColumn("block", F.col("to")).repartition("block")
+        with shuffles_dropped(model.blocks.sparkSession):
+            answers.write.mode("overwrite").partitionBy("block").parquet(path)
+    told = [model.spare["words"], model.spare["pairs"]]
     scored = partial(_scores, told=told, seatings=model.seatings, parts=model.parts)
     return model.blocks.drop("tokens").mapInArrow(scored, SCORES)
 

@@ -378,6 +378,29 @@ def test_seatings_kept_are_some_sweeps_away_from_the_start(spark, sf_dir, monkey
     assert kept == ["blocks", "counts", "pairs0", "pairs1", "words0", "words1"]
 
 
+def test_what_blocks_are_told_takes_the_place_of_the_sweep_before_the_last(spark, sf_dir, monkeypatch, tmp_path):
+    monkeypatch.setattr(pitman_yor, "shared_dir", lambda spark, name: f"file://{tmp_path}/{name}")
+    model = pitman_yor.learn(with_held(spark, sf_dir).limit(50))
+    before = sorted(pitman_yor.score(model).collect())
+    root = tmp_path / "pitman_yor"
+    assert [path.name for path in tmp_path.iterdir()] == ["pitman_yor"]
+    assert sorted(path.name for path in root.iterdir()) == ["blocks", "counts", "pairs0", "pairs1", "words0", "words1"]
+    for name, seating in (("pairs", model.pairs), ("words", model.words)):
+        spare = root / f"{name}{1 - pitman_yor.SWEEPS % 2}"
+        assert [path.name for path in spare.iterdir() if path.is_dir()] == ["block=0"]
+        assert seating.count() > 0
+    assert sorted(pitman_yor.score(model).collect()) == before
+
+
+def test_integers_are_packed_byte_by_byte():
+    # One large value among small ones costs little, as the higher bytes are apart.
+    values = np.random.default_rng(1).integers(0, 200, 10_000)
+    alone = len(pitman_yor._pack(values))
+    values[0] = 1 << 30
+    assert len(pitman_yor._pack(values)) < 1.1 * alone
+    assert pitman_yor._ints(pitman_yor._pack(values)).tolist() == values.tolist()
+
+
 def test_the_session_setting_is_as_before_shuffles_were_dropped(spark):
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, None)
