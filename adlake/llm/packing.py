@@ -8,6 +8,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,11 +74,11 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     encoder = bpe.encoder(path)
     last = np.array([end], encoder.dtype).tobytes()
     for batch in small_batches(batches, 1):
-        ids = [encoder.encode(text or "") + last for text in batch.column(1).to_pylist()]
-        where = [position(np.frombuffer(data, encoder.dtype)) for data in ids]
+        ids = encoder.encode_all(pc.fill_null(batch.column(1), ""), last)
+        where = [position(np.frombuffer(data.as_buffer(), encoder.dtype)) for data in ids]
         keys = hilbert_keys(np.stack(where), BITS)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys), pa.array(ids, pa.binary())], ["id", "key", "ids"]
+            [batch.column(0), pa.array(keys), ids.cast(pa.binary())], ["id", "key", "ids"]
         )
 
 

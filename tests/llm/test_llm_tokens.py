@@ -392,6 +392,30 @@ def test_what_blocks_are_told_takes_the_place_of_the_sweep_before_the_last(spark
     assert sorted(pitman_yor.score(model).collect()) == before
 
 
+ODD = ["", " ", "a", "b.\nC", "b.\n\nC", "b.\t\nC d", "x  y", "word$$$ word.%%% it's", "a\n b", "é.\nÈl, don't", "end ", "1,2\n3", "a<|endoftext|>b c<|", "\nа\n б", "ɐ$ a\u00a0b\nc", "s't\n's"]
+
+
+def test_texts_encoded_together_have_the_librarys_ids(encoder):
+    end = np.array([7], encoder.dtype).tobytes()
+    drawn = random.Random(4)
+    texts = ODD + ["".join(drawn.choices("ab \n\t.,'$<|é7", k=drawn.randrange(12))) for _ in range(2000)]
+    library = encoder.library.encode_batch(texts, add_special_tokens=False)
+    wanted = [np.array(found.ids, encoder.dtype).tobytes() for found in library]
+    assert [encoder.encode(text) for text in texts] == wanted
+    assert encoder.encode_all(pa.array(texts), end).to_pylist() == [ids + end for ids in wanted]
+    assert encoder.encode_all(pa.array(texts).slice(3, 9)).to_pylist() == wanted[3:12]
+    assert encoder.encode_all(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_parts_of_odd_words_are_encoded_once(monkeypatch):
+    encoder, asked = bpe.Encoder(bpe.default_path()), []
+    merge = encoder._merge
+    monkeypatch.setattr(encoder, "_merge", lambda written: asked.append(written) or merge(written))
+    for text in ["one two three", "begin two.\nThree two.\nOne three.\nThree two$$$ three$$$"]:
+        encoder.encode(text)
+    assert len(asked) == len(set(asked))
+
+
 def test_integers_are_packed_byte_by_byte():
     # One large value among small ones costs little, as the higher bytes are apart.
     values = np.random.default_rng(1).integers(0, 200, 10_000)
