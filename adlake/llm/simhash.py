@@ -6,6 +6,10 @@ in at most ``blocks * (r + 1) - 1`` bits differ in at most ``r`` bits of some bl
 visiting every leaf that a ball of radius ``r`` overlaps finds every such pair. One tree
 over all 64 bits would prune next to nothing: random fingerprints lie 32 +- 4 bits from
 any vantage point, as wide as the ball searched for.
+
+The wide fingerprints of near-dedup differ in a fifth of their bits, which no ball over a
+block holds. They are dealt by drawn bits to cells, the more bits the more there are, and
+meet within a cell where two of their bytes are equal (``near_links``).
 """
 
 from __future__ import annotations
@@ -29,6 +33,18 @@ SAMPLE = 1 << 15
 LEAF = 2048
 MOST = 1 << 15
 
+#: Wide fingerprints aimed at per cell; a cell of over twice as many is dealt out in parts.
+CELL = 1 << 15
+
+#: Tables in which the farthest candidates are expected to share a cell, and the keys of two
+#: bytes by which the fingerprints of a cell meet.
+SHARED = 8
+KEYS = 128
+
+#: Fingerprints of a cell that meet without keys, and of a key that are compared set by set.
+ALL = 512
+CROWD = 64
+
 #: Texts of one family of candidates that a task compares exactly with as many others.
 FAMILY = 1024
 
@@ -215,6 +231,27 @@ def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(data), ">u8").astype(np.uint64).reshape(len(data), -1)
 
 
+LINKS = "a_id long, a_print binary, b_id long, b_print binary"
+
+
+def _linked(ids: list, prints: list, a: list[int], b: list[int]) -> pa.Table:
+    return pa.table(
+        {
+            "a_id": pa.array([ids[k] for k in a], pa.int64()),
+            "a_print": pa.array([prints[k] for k in a], pa.binary()),
+            "b_id": pa.array([ids[k] for k in b], pa.int64()),
+            "b_print": pa.array([prints[k] for k in b], pa.binary()),
+        }
+    )
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(
+        F.struct(F.col("a_id").alias("id"), F.col("a_print").alias("print")).alias("a"),
+        F.struct(F.col("b_id").alias("id"), F.col("b_print").alias("print")).alias("b"),
+    ).distinct()
+
+
 def _link(cell: pa.Table, trees: int, blocks: int, radius: int, distance: int) -> pa.Table:
     """Of every linked set within a cell, each member but the smallest with the smallest.
 
@@ -262,14 +299,7 @@ def _link(cell: pa.Table, trees: int, blocks: int, radius: int, distance: int) -
             top = min(group, key=lambda k: (ids[k] is not None, ids[k] or 0, prints[k]))
             a += [k for k in group if k != top]
             b += [top] * (len(group) - 1)
-    return pa.table(
-        {
-            "a_id": pa.array([ids[k] for k in a], pa.int64()),
-            "a_print": pa.array([prints[k] for k in a], pa.binary()),
-            "b_id": pa.array([ids[k] for k in b], pa.int64()),
-            "b_print": pa.array([prints[k] for k in b], pa.binary()),
-        }
-    )
+    return _linked(ids, prints, a, b)
 
 
 def links(
@@ -300,13 +330,187 @@ def links(
     def link(cell: pa.Table) -> pa.Table:
         return _link(cell, trees, blocks, radius, distance)
 
-    found = routed.groupBy("cell").applyInArrow(
-        link, "a_id long, a_print binary, b_id long, b_print binary"
+    return _edges(routed.groupBy("cell").applyInArrow(link, LINKS))
+
+
+def _spots(total: int, bits: int, distance: int) -> np.ndarray:
+    """The bits by which each table deals ``total`` fingerprints out to cells."""
+    width = max(0, int(np.ceil(np.log2(max(1, total) / CELL))))
+    tables = 1 if total <= ALL else int(np.ceil(SHARED / (1 - distance / bits) ** width))
+    laps = np.tile(np.arange(bits), (tables * width // bits + 1, 1))
+    drawn = np.random.default_rng(11).permuted(laps, axis=1).ravel()
+    return drawn[: tables * width].reshape(tables, width)
+
+
+def _cells(prints: np.ndarray, spots: np.ndarray) -> Iterator[np.ndarray]:
+    """Table by table, the cell of each fingerprint: the bits at the table's spots."""
+    ones = np.unpackbits(prints, axis=1)
+    for number, at in enumerate(spots):
+        key = np.full(len(prints), number, np.int64)
+        for spot in at.tolist():
+            key = key << 1 | ones[:, spot]
+        yield key
+
+
+def _bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    data = column.to_pylist()
+    return np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
+
+
+def _deal(
+    batches: Iterator[pa.RecordBatch], spots: np.ndarray, crowded: dict[int, int]
+) -> Iterator[pa.RecordBatch]:
+    """Rows per cell of each table. A crowded cell is dealt out as all pairs of its parts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        prints = _bytes(batch.column(1))
+        mixed = _mixed(prints.view(">u8")[:, 0].astype(np.uint64), 7)
+        for cells in _cells(prints, spots):
+            splits = np.ones(len(cells), np.int64)
+            for cell in crowded.keys() & set(np.unique(cells).tolist()) if crowded else ():
+                splits[cells == cell] = crowded[cell]
+            part = (mixed % splits.astype(np.uint64)).astype(np.int64)
+            for other in range(splits.max()):
+                at = np.flatnonzero(other < splits)
+                low, high = np.minimum(part[at], other), np.maximum(part[at], other)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(cells[at] << 32 | low << 16 | high, pa.int64()),
+                        *(batch.columns if len(at) == len(cells) else batch.take(pa.array(at)).columns),
+                    ],
+                    ["cell", "id", "print"],
+                )
+
+
+def _byte_pairs(number: int, at: np.ndarray, bits: int) -> np.ndarray:
+    """The pairs of bytes that are keys in a table's cells, none with a bit that is equal
+    throughout a cell."""
+    free = np.setdiff1d(np.arange(bits // 8), at // 8)
+    pairs = np.stack(np.triu_indices(len(free), 1), axis=1)
+    return free[np.random.default_rng([12, number]).permutation(pairs)[:KEYS]]
+
+
+class _Sets:
+    """Sets of fingerprints that links connect; only members of different sets are compared."""
+
+    def __init__(self, prints: np.ndarray, distance: int) -> None:
+        words = prints.view(np.uint64)
+        # Of unlike fingerprints half the bits tell already.
+        self.parts = [np.ascontiguousarray(half) for half in np.array_split(words, 2, axis=1)]
+        self.distance = distance
+        self.of = np.arange(len(prints))
+        self.members: dict[int, list[int]] = {}
+        self.compared = 0
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Unite the sets of all of these pairs that are near."""
+        for at in range(0, len(i), 1 << 16):
+            self._link(i[at : at + (1 << 16)], j[at : at + (1 << 16)])
+
+    def _link(self, i: np.ndarray, j: np.ndarray) -> None:
+        other = np.flatnonzero(self.of[i] != self.of[j])
+        i, j = i[other], j[other]
+        self.compared += len(i)
+        apart = np.zeros(len(i), np.int64)
+        for part in self.parts:
+            apart += np.bitwise_count(part[i] ^ part[j]).sum(1, dtype=np.int64)
+            close = apart <= self.distance
+            i, j, apart = i[close], j[close], apart[close]
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = int(self.of[a]), int(self.of[b])
+            if a != b:
+                few, many = sorted((a, b), key=lambda k: len(self.members.get(k, (k,))))
+                gone = self.members.pop(few, [few])
+                self.of[gone] = many
+                self.members.setdefault(many, [many]).extend(gone)
+
+    def link_all(self, rows: np.ndarray) -> None:
+        """The same for all pairs of ``rows``, without a row for each. A set that has over
+        half of them keeps it, whatever is added, so its members are done with."""
+        left = rows
+        while len(left):
+            middle = np.partition(self.of[rows], len(rows) // 2)[len(rows) // 2]
+            if 2 * np.count_nonzero(self.of[rows] == middle) > len(rows):
+                left = left[self.of[left] != middle]
+            if len(left):
+                self.link(np.full(len(rows), left[0]), rows)
+                left = left[1:]
+
+
+def _near_sets(prints: np.ndarray, number: int, at: np.ndarray, distance: int) -> _Sets:
+    """Sets of a cell's fingerprints, linked where two that meet by a key are near."""
+    sets = _Sets(prints, distance)
+    if len(prints) <= ALL:
+        sets.link(*np.triu_indices(len(prints), 1))
+        return sets
+    columns = np.ascontiguousarray(prints.T).astype(np.uint16)
+    for one, two in _byte_pairs(number, at, 8 * len(columns)).tolist():
+        value = columns[one] << 8 | columns[two]
+        order = np.argsort(value, kind="stable")
+        run = value[order]
+        many = np.unique(run[CROWD:][run[CROWD:] == run[:-CROWD]])
+        if len(many):
+            for low, high in zip(
+                np.searchsorted(run, many).tolist(), np.searchsorted(run, many, "right").tolist(), strict=True
+            ):
+                sets.link_all(order[low:high])
+            rest = ~np.isin(run, many)
+            order, run = order[rest], run[rest]
+        step, first = 1, np.flatnonzero(run[1:] == run[:-1])
+        while len(first):
+            sets.link(order[first], order[first + step])
+            step += 1
+            first = first[first + step < len(run)]
+            first = first[run[first] == run[first + step]]
+    return sets
+
+
+def _near(cell: pa.Table, spots: np.ndarray, distance: int) -> pa.Table:
+    """Of every linked set within a cell, each member but the smallest with the smallest."""
+    number = cell.column("cell")[0].as_py() >> 32 + spots.shape[1]
+    prints, ids = cell.column("print").to_pylist(), cell.column("id").to_pylist()
+    sets = _near_sets(_bytes(cell.column("print")), number, spots[number], distance)
+    a, b = [], []
+    for group in sets.members.values():
+        top = min(group, key=lambda k: (ids[k] is not None, ids[k] or 0, prints[k]))
+        a += [k for k in group if k != top]
+        b += [top] * (len(group) - 1)
+    return _linked(ids, prints, a, b)
+
+
+def near_links(nodes: DataFrame, bits: int, distance: int) -> DataFrame:
+    """Edges ``a``, ``b`` that connect fingerprints within ``distance`` bits of each other;
+    ``nodes`` has distinct ``print`` with ``id``.
+
+    A cell holds up to ``CELL`` fingerprints on average however many there are, as the bits
+    that deal them out grow with the logarithm of their number. Those of a cell are compared
+    where they share one of ``KEYS`` pairs of bytes, which unlike ones do once in 2**16. So
+    comparisons grow with tables, not with the square of ``nodes``. Tables grow by a quarter
+    with each bit, so that a pair ``distance`` bits apart shares ``SHARED`` cells on average.
+    """
+    total = nodes.count()
+    spots = _spots(total, bits, distance)
+    crowded: dict[int, int] = {}
+    if spots.shape[1]:
+        # One in so many by hash, so that tasks send no more than their share of the sample.
+        one_in = max(1, total // SAMPLE)
+        drawn = F.pmod(F.xxhash64("print", F.lit(7)), F.lit(one_in)) == 0
+        sample = nodes.where(drawn).select("print").collect()
+        if sample:
+            for cells in _cells(_bytes(pa.array([bytes(row[0]) for row in sample])), spots):
+                for cell, count in zip(*np.unique(cells, return_counts=True), strict=True):
+                    parts = -(-int(count) * total // (len(sample) * CELL))
+                    if parts > 2:
+                        crowded[int(cell)] = min(parts, 1 << 15)
+    dealt = nodes.select("id", "print").mapInArrow(
+        partial(_deal, spots=spots, crowded=crowded), "cell long, id long, print binary"
     )
-    return found.select(
-        F.struct(F.col("a_id").alias("id"), F.col("a_print").alias("print")).alias("a"),
-        F.struct(F.col("b_id").alias("id"), F.col("b_print").alias("print")).alias("b"),
-    ).distinct()
+
+    def near(cell: pa.Table) -> pa.Table:
+        return _near(cell, spots, distance)
+
+    return _edges(dealt.groupBy("cell").applyInArrow(near, LINKS))
 
 
 def near_duplicates(
@@ -402,8 +606,6 @@ def one_of_each(
     size: int = 5,
     bits: int = 768,
     distance: int = 156,
-    blocks: int = 6,
-    radius: int = 0,
     alike: float = 0.8,
 ) -> DataFrame:
     """``docs`` with only the smallest id of every group of near-duplicates: of texts
@@ -411,14 +613,13 @@ def one_of_each(
 
     Fingerprints only find candidates. Sets of similarity 0.8 point in directions 27
     degrees apart, which ``bits`` 768 measures as 117 +- 10 differing bits; ``distance``
-    lies four deviations above. Of the 72 blocks of 10 or 11 bits 12 are equal on average;
-    within radius 0 no ball crosses a boundary, so every fingerprint lies in
-    one leaf of a tree. Candidates are put into families, and the texts of a family are
-    compared by their shingles; texts without words are alike. Equal rows are one document.
+    lies four deviations above. ``near_links`` finds them. Candidates are put into families,
+    and the texts of a family are compared by their shingles; texts without words are alike.
+    Equal rows are one document.
     """
     marked = stored(fingerprints(docs, id, text, size, bits, once=True), "prints")
     nodes = stored(marked.groupBy("print").agg(F.min("id").alias("id")), "nodes")
-    near = connected_components(links(nodes, bits, distance, blocks, radius)).select(
+    near = connected_components(near_links(nodes, bits, distance)).select(
         F.col("node.print").alias("print"), F.col("root.print").alias("family")
     )
     texts = stored(

@@ -159,6 +159,69 @@ def test_groups_are_those_of_exact_similarity(spark, monkeypatch):
     assert kept == alone and 1 in kept and 3 not in kept
 
 
+def changed(rng, rows, count):
+    """The fingerprints with ``count`` drawn bits of each changed."""
+    ones = np.unpackbits(rows, axis=1)
+    for row in ones:
+        row[rng.choice(ones.shape[1], count, replace=False)] ^= 1
+    return np.packbits(ones, axis=1)
+
+
+def sets_of(prints, distance):
+    """The smallest row that each reaches over links, comparing all with all."""
+    words, of = prints.view(np.uint64), np.arange(len(prints))
+    for i in range(len(words)):
+        near = np.bitwise_count(words ^ words[i]).sum(1, dtype=np.int64) <= distance
+        of[np.isin(of, np.unique(of[near]))] = of[near].min()
+    return of.tolist()
+
+
+def test_candidates_match_brute_force(spark, monkeypatch):
+    """In several cells per table, one of which a group of like fingerprints crowds."""
+    monkeypatch.setattr(simhash, "CELL", 1024)
+    simhash.ship(spark)
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 256, (6000, 96), dtype=np.uint8)
+    for at, count in ((0, 90), (200, 117), (400, 130)):
+        prints[3000 + at : 3200 + at] = changed(rng, prints[at : at + 200], count)
+    prints[1000:3000] = changed(rng, np.repeat(prints[1000:1001], 2000, 0), 30)
+    rows = [(i, bytearray(row.tobytes())) for i, row in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, "id long, print binary").repartition(4)
+    found = components.connected_components(simhash.near_links(nodes, 768, 156))
+    roots = {row.node.id: row.root.id for row in found.collect()}
+    assert [roots.get(i, i) for i in range(6000)] == sets_of(prints, 156)
+
+
+def test_candidates_of_one_key_form_the_right_sets():
+    rng = np.random.default_rng(6)
+    chain = [rng.integers(0, 256, (1, 96), dtype=np.uint8)]
+    for _ in range(99):
+        chain.append(changed(rng, chain[-1], 120))
+    like = changed(rng, np.repeat(chain[0][::-1] ^ 255, 120, 0), 20)
+    prints = rng.permutation(np.concatenate([*chain, like, rng.integers(0, 256, (50, 96), dtype=np.uint8)]))
+    sets = simhash._Sets(prints, 156)
+    sets.link_all(np.arange(len(prints)))
+    first = {}
+    assert [first.setdefault(k, i) for i, k in enumerate(sets.of.tolist())] == sets_of(prints, 156)
+    assert sorted(map(len, sets.members.values())) == [100, 120]
+
+
+def test_candidates_compared_grow_with_the_rows(monkeypatch):
+    """Four times the fingerprints were sixteen times the comparisons."""
+    monkeypatch.setattr(simhash, "CELL", 2048)
+
+    def compared(total):
+        prints = np.random.default_rng(7).integers(0, 256, (total, 96), dtype=np.uint8)
+        spots, count = simhash._spots(total, 768, 156), 0
+        for number, cells in enumerate(simhash._cells(prints, spots)):
+            for cell in np.unique(cells):
+                count += simhash._near_sets(prints[cells == cell], number, spots[number], 156).compared
+        return count
+
+    few, many = compared(1 << 13), compared(1 << 15)
+    assert 0 < few and many < 7 * few
+
+
 def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 400)] + [(500, 500)]
     found = dict(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
